@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +40,22 @@ def remove(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives the Python workers this package, once a context, so that a cluster needs no install."""
+    sc = spark.sparkContext
+    if getattr(sc, "_folioforge_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="folioforge-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = f"{folder}/folioforge.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(archive)
+    sc._folioforge_shipped = True
+
+
 class Tables:
     """Intermediate results as Parquet tables in the shared folder.
 
@@ -46,12 +65,13 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.count = spark, {}, 0
         self.root = f"{shared_folder(spark)}/folioforge/{what}-{uuid.uuid4().hex}"
         atexit.register(remove, spark, self.root)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        self.count += 1
+        path = f"{self.root}/{self.count:03d}-{name}"
         self.paths.setdefault(name, []).append(path)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
