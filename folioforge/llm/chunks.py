@@ -101,7 +101,7 @@ def repeated_spans(docs: DataFrame, mean: int = 40, least: int = 90) -> DataFram
     first = chunks.groupBy("d1", "d2").agg(F.min(F.struct("doc", "place")).alias("f"), F.max("doc").alias("last")).where("f.doc <> last")
     first = first.select("d1", "d2", F.col("f.doc").alias("src"), F.col("f.place").alias("src_place"))
     again = chunks.join(first, ["d1", "d2"]).where("doc <> src").select("doc", F.col("place").bitwiseAND(0xFFFFFFF).cast("int").alias("tag"), _start("place").alias("s"), F.shiftright("place", 28).bitwiseAND(255).cast("int").alias("n"), "src", _start("src_place").alias("ss"))
-    again = again.dropDuplicates(["doc", "tag", "s"])
+    again = again.repartition("doc", "tag").dropDuplicates(["doc", "tag", "s"])  # copies of a row
     by = Window.partitionBy("doc", "tag").orderBy("s")
     again = again.withColumn("new", F.when(F.col("s") == F.lag(F.col("s") + F.col("n")).over(by), 0).otherwise(1))
     again = again.withColumn("island", F.sum("new").over(by))

@@ -19,11 +19,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,23 +109,40 @@ def _sets(width: int):
 
 
 def _across(radius: int):
-    """Pairs of a bucket's block (or of two blocks) within the radius and of different components."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("cls", ignore_index=True)
-        i, j = g["i"].iloc[0], g["j"].iloc[0]
-        sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint16).reshape(len(g), -1)
-        label, block, cls = g["label"].to_numpy(), g["block"].to_numpy(), g["cls"].to_numpy()
-        common = pd.Series(label).mode()[0]
-        a, b = [], []
-        for x in np.flatnonzero(label != common):
-            near = np.flatnonzero((sig != sig[x]).sum(axis=1) <= radius)
-            near = near[(label[near] != label[x]) & ((label[near] == common) | (near > x))]
-            if i != j:
-                near = near[block[near] != block[x]]
-            a += [cls[x]] * len(near)
-            b += cls[near].tolist()
-        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+    """Pairs within the radius and of different components in each run of rows with equal (key, i, j);
+    the rows come sorted by these.  Compares each row with the row d places on, for all runs at once
+    and d = 1, 2 .. while any run is that long."""
+
+    def pairs(run, label, block, two, cls, sig) -> pa.RecordBatch:
+        a, b, here = [], [], np.arange(len(run))
+        for d in range(1, len(run)):
+            here = here[here + d < len(run)]
+            here = here[run[here] == run[here + d]]
+            if not len(here):
+                break
+            x = here[(label[here] != label[here + d]) & (~two[here] | (block[here] != block[here + d]))]
+            for at in range(0, len(x), 50_000):
+                y = x[at : at + 50_000]
+                y = y[(sig[y] != sig[y + d]).sum(axis=1) <= radius]
+                a.append(cls[y])
+                b.append(cls[y + d])
+        both = np.sort(np.stack([np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b)], axis=1), axis=1)
+        both = np.unique(both, axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in chain(batches, [None]):
+            t = pa.Table.from_batches([x for x in (kept, batch) if x is not None]).combine_chunks() if kept is not None or batch is not None else None
+            if t is None or not t.num_rows:
+                continue
+            col = lambda n: t.column(n).to_numpy()  # noqa: E731, B023
+            starts = np.concatenate(([True], (col("key")[1:] != col("key")[:-1]) | (col("i")[1:] != col("i")[:-1]) | (col("j")[1:] != col("j")[:-1])))
+            end = t.num_rows if batch is None else int(np.flatnonzero(starts)[-1])  # the last run may go on
+            if end:
+                sig = np.frombuffer(b"".join(t.column("sig").slice(0, end).to_pylist()), dtype=np.uint16).reshape(end, -1)
+                yield pairs(np.cumsum(starts)[:end], col("label")[:end], col("block")[:end], (col("i") != col("j"))[:end], col("cls")[:end], sig)
+            kept = t.slice(end).combine_chunks().to_batches()[0] if end < t.num_rows else None
 
     return run
 
@@ -188,8 +204,7 @@ def near_duplicates(
     blocks = F.ceil(F.col("rows") / F.lit(block)).cast("int")
     rest = labelled.join(open_keys, "key").join(classes.select("cls", "sig"), "cls").withColumn("block", F.pmod(F.hash("cls"), blocks))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "cls", "label", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    later = rest.groupBy("key", "i", "j").applyInPandas(_across(radius), "a long, b long")
-    later = later.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    later = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(radius), "a long, b long").distinct()
     tested = spark.read.parquet(*tables.paths["first"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     later = later.join(tested, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").where(sized)
     more = confirmed("later", later.select("a", "b", "least_a", "least_b"))

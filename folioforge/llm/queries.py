@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import encode_and_decode
+from .chunks import repeated_spans
 from .common import ship_package
+from .fingerprints import fingerprint_edits
+from .langid import fit, held_out, predict
 from .minhash import near_duplicates
+from .mixing import mix_sources
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,13 +22,41 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every text and of its edited text."""
+    return fingerprint_edits(_read(spark, sf_dir, "documents"))
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all sources at weights 1, 2, 3, none above 3 times its size."""
+    return mix_sources(_read(spark, sf_dir, "documents"), cap=3.0).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from four fifths of the labelled rows, predicts every row."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = predict(docs.drop("lang"), fit(docs, ~held_out()))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every text."""
+    docs = _read(spark, sf_dir, "documents")
+    return encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that another document with a smaller doc_id also has."""
+    return repeated_spans(_read(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of 3-word shingle sets with a similarity of 0.85 or more."""
     return near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    f.__name__: f for f in (op1_document_fingerprints, op2_mix_sources, op4_language_id, op8_byte_level_bpe, op9_substring_dedup, op10_minhash_near_dedup)
 }
 
 ORACLES: dict[str, str] = {}
