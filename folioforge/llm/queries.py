@@ -13,8 +13,12 @@ from .chunks import repeated_spans
 from .common import ship_package
 from .fingerprints import fingerprint_edits
 from .langid import fit, held_out, predict
+from .licenses import scan_licenses
+from .linefreq import line_frequency_rules
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .urlfilter import judge_urls, rule_table
+from .wacz import archive_and_read
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +36,15 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"), cap=3.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: The rules of the URL filter's query.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return judge_urls(_read(spark, sf_dir, "pages"), rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from four fifths of the labelled rows, predicts every row."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -39,6 +52,21 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text counts and the verdict by cross-document line frequency."""
+    return line_frequency_rules(_read(spark, sf_dir, "documents"))
+
+
+def op6_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to ZIP packages of WARC records and read back."""
+    return archive_and_read(_read(spark, sf_dir, "pages"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License names and templates in every text."""
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every text."""
     docs = _read(spark, sf_dir, "documents")
@@ -56,7 +84,19 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_document_fingerprints, op2_mix_sources, op4_language_id, op8_byte_level_bpe, op9_substring_dedup, op10_minhash_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_document_fingerprints,
+        op2_mix_sources,
+        op3_url_filters,
+        op4_language_id,
+        op5_line_frequency,
+        op6_warc_packages,
+        op7_license_scan,
+        op8_byte_level_bpe,
+        op9_substring_dedup,
+        op10_minhash_near_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {}
