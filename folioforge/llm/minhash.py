@@ -11,9 +11,11 @@
    is missed, however large its bucket.
 4. Buckets are not expanded into pairs.  Each member is first compared with its bucket's least
    member; pairs within the radius are confirmed on the full sets and joined into components.  Then
-   only buckets that still hold different components are expanded, and only across components: pairs
-   inside one component cannot change the result.  Large buckets are cut into blocks, so a task holds
-   two blocks of ``block`` rows at most.
+   only buckets that still hold different components are searched, and only across components: pairs
+   inside one component cannot change the result.  Each pair is confirmed in the first bucket that it
+   shares, links found there merge components at once, and only those links come out, so neither rows
+   nor confirmed pairs grow with the square of a group that is linked.  Large buckets are cut into
+   blocks of bounded size; a task holds two.
 """
 
 from __future__ import annotations
@@ -41,19 +43,29 @@ def radius_for(symbols: int, percent: int, miss: float = 2e-6) -> int:
     return r
 
 
-def part_keys(sig: np.ndarray, parts: int, radius: int) -> np.ndarray:
-    """All keys of each signature: for every part and every choice of ``radius // parts`` symbols in
-    it, a 64-bit hash of the part's other symbols.  sig: rows x symbols."""
-    edges = np.linspace(0, sig.shape[1], parts + 1).astype(int)
-    out = []
+def part_slots(symbols: int, parts: int, radius: int) -> np.ndarray:
+    """One row a key: which symbols it covers, for every part and every choice of ``radius // parts``
+    symbols left out of it."""
+    edges = np.linspace(0, symbols, parts + 1).astype(int)
+    rows = []
     for lo, hi in zip(edges, edges[1:]):
         for gone in combinations(range(lo, hi), min(radius // parts, hi - lo)):
-            h = np.full(len(sig), len(out) + 1, dtype=np.uint64)
-            for c in sorted({*range(lo, hi)} - {*gone}):
-                h = (h ^ sig[:, c].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            out.append(h)
-    return np.stack(out, axis=1)
+            row = np.zeros(symbols, dtype=bool)
+            row[sorted({*range(lo, hi)} - {*gone})] = True
+            rows.append(row)
+    return np.array(rows)
+
+
+def part_keys(sig: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """All keys of each signature (rows x symbols): a 64-bit hash of what each slot covers."""
+    out = np.empty((len(sig), len(slots)), dtype=np.uint64)
+    for k, row in enumerate(slots):
+        h = np.full(len(sig), k + 1, dtype=np.uint64)
+        for c in np.flatnonzero(row):
+            h = (h ^ sig[:, c].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        out[:, k] = h
+    return out
 
 
 def _features(width: int, symbols: int):
@@ -80,14 +92,15 @@ def _class_id(s: np.ndarray) -> int | None:
     return int(x.astype(np.int64))
 
 
-def _keys(parts: int, radius: int):
+def _keys(slots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
                 sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint16).reshape(b.num_rows, -1)
-                keys = part_keys(sig, parts, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1]))], ["key", "cls"])
+                keys = part_keys(sig, slots)
+                slot = np.tile(np.arange(len(slots), dtype=np.int16), len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(slot), pa.array(np.repeat(b.column(0).to_numpy(), len(slots)))], ["key", "slot", "cls"])
 
     return run
 
@@ -108,47 +121,76 @@ def _sets(width: int):
     return run
 
 
-def _across(radius: int):
-    """Pairs within the radius and of different components in each run of rows with equal (key, i, j);
-    the rows come sorted by these.  Compares each row with the row d places on, for all runs at once
-    and d = 1, 2 .. while any run is that long."""
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.concatenate((a, b))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _links_across(slots: np.ndarray, radius: int, percent: int):
+    """Links between different components in each run of rows with equal (key, i, j); the rows come
+    sorted by these.
+
+    Compares each row with the row d places on, for all runs at once and d = 1, 2 .. while any run is
+    that long.  What is left after the tests of component, block, distance and first shared slot is
+    confirmed on the sets; a link merges its components within the run before d goes on."""
+    covers = slots.T.astype(np.float32)
 
-    def pairs(run, label, block, two, cls, sig) -> pa.RecordBatch:
-        a, b, here = [], [], np.arange(len(run))
+    def search(run, slot, label, block, two, cls, sig, sets) -> pa.RecordBatch:
+        out, here, label = [], np.arange(len(run)), label.copy()
+        ends = np.append(np.flatnonzero(run[1:] != run[:-1]) + 1, len(run))
+        size = np.array([len(x) for x in sets])
         for d in range(1, len(run)):
             here = here[here + d < len(run)]
             here = here[run[here] == run[here + d]]
             if not len(here):
                 break
             x = here[(label[here] != label[here + d]) & (~two[here] | (block[here] != block[here + d]))]
-            for at in range(0, len(x), 50_000):
-                y = x[at : at + 50_000]
-                y = y[(sig[y] != sig[y + d]).sum(axis=1) <= radius]
-                a.append(cls[y])
-                b.append(cls[y + d])
-        both = np.sort(np.stack([np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b)], axis=1), axis=1)
-        both = np.unique(both, axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            small, large = np.minimum(size[x], size[x + d]), np.maximum(size[x], size[x + d])
+            x = x[100 * small >= percent * large]
+            for at in range(0, len(x), 20_000):
+                y = x[at : at + 20_000]
+                differ = sig[y] != sig[y + d]
+                near = differ.sum(axis=1) <= radius
+                y, differ = y[near], differ[near]
+                y = y[((differ.astype(np.float32) @ covers) == 0).argmax(axis=1) == slot[y]]
+                for r in y.tolist():
+                    a, b = label[r], label[r + d]
+                    if a == b:
+                        continue
+                    inter = _overlap(sets[r], sets[r + d])
+                    if 100 * inter >= percent * (size[r] + size[r + d] - inter):
+                        out.append((cls[r], cls[r + d]))
+                        end = ends[np.searchsorted(ends, r, side="right")]
+                        start = 0 if end == ends[0] else ends[np.searchsorted(ends, end) - 1]
+                        own = label[start:end]
+                        own[own == b] = a
+        pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for batch in chain(batches, [None]):
-            t = pa.Table.from_batches([x for x in (kept, batch) if x is not None]).combine_chunks() if kept is not None or batch is not None else None
-            if t is None or not t.num_rows:
+            have = [x for x in (kept, batch) if x is not None and x.num_rows]
+            if not have:
                 continue
+            t = pa.Table.from_batches(have).combine_chunks()
             col = lambda n: t.column(n).to_numpy()  # noqa: E731, B023
             starts = np.concatenate(([True], (col("key")[1:] != col("key")[:-1]) | (col("i")[1:] != col("i")[:-1]) | (col("j")[1:] != col("j")[:-1])))
             end = t.num_rows if batch is None else int(np.flatnonzero(starts)[-1])  # the last run may go on
             if end:
                 sig = np.frombuffer(b"".join(t.column("sig").slice(0, end).to_pylist()), dtype=np.uint16).reshape(end, -1)
-                yield pairs(np.cumsum(starts)[:end], col("label")[:end], col("block")[:end], (col("i") != col("j"))[:end], col("cls")[:end], sig)
+                lists = t.column("members").slice(0, end).combine_chunks()
+                flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+                sets = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+                yield search(np.cumsum(starts)[:end], col("slot")[:end], col("label")[:end], col("block")[:end], (col("i") != col("j"))[:end], col("cls")[:end], sig, sets)
             kept = t.slice(end).combine_chunks().to_batches()[0] if end < t.num_rows else None
 
     return run
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, symbols: int = 64, parts: int | None = None, block: int = 2000, broadcast_rows: int = 500_000
+    docs: DataFrame, width: int = 5, percent: int = 80, symbols: int = 64, parts: int | None = None, block: int = 2000, block_shingles: int = 2_000_000, broadcast_rows: int = 500_000
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -165,50 +207,52 @@ def near_duplicates(
     spark = docs.sparkSession
     tables = Tables(spark, "minhash")
     radius = radius_for(symbols, percent)
-    parts = parts or radius // 2 + 1  # one error a part
+    slots = part_slots(symbols, parts or radius // 2 + 1, radius)  # one error a part
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     feats = tables.put("feats", docs.mapInArrow(_features(width, symbols), "doc_id long, n_shingles long, cls long, sig binary"))
     own = F.coalesce("doc_id", F.lit(2**63 - 1))
     classes = tables.put("classes", feats.where("cls is not null").groupBy("cls").agg(F.min(own).alias("least"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n")))
 
-    keys = classes.select("cls", "sig").mapInArrow(_keys(parts, radius), "key long, cls long")
+    keys = classes.select("cls", "sig").mapInArrow(_keys(slots), "key long, slot short, cls long")
     shared = keys.groupBy("key").agg(F.min("cls").alias("center"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("size")).where("center <> last").select("key", "center", "size")
     members = tables.put("members", keys.join(shared, "key"))
 
     side = lambda end: classes.select(F.col("cls").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("n").alias(f"n_{end}"), F.col("least").alias(f"least_{end}"))
     sized = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
-    def confirmed(name: str, pairs: DataFrame) -> DataFrame:
-        pairs = tables.put(name, pairs)
-        wanted = tables.put("wanted", pairs.select(F.col("a").alias("cls"), F.col("least_a").alias("least")).union(pairs.select("b", "least_b")).distinct())
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(cls, members) of classes (cls, least), from the texts that they come from."""
+        wanted = tables.put("wanted", wanted.distinct())
         by = F.broadcast(wanted) if small_enough(wanted, broadcast_rows) else wanted
         texts = docs.join(by, F.coalesce(docs["doc_id"], F.lit(2**63 - 1)) == by["least"]).select("cls", "text")
-        sets = tables.put("sets", texts.mapInArrow(_sets(width), "cls long, members array<long>").dropDuplicates(["cls"]))
-        both = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("members").alias("in_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("in_b")), "b")
-        both = both.select("a", "b", (F.size("in_a") + F.size("in_b")).alias("total"), F.size(F.array_intersect("in_a", "in_b")).alias("inter"))
-        links = tables.put("links", both.where(f"100L * inter >= {percent}L * (total - inter)").select("a", "b"))
-        tables.clear("wanted", "sets")
-        return links
+        return tables.put("sets", texts.mapInArrow(_sets(width), "cls long, members array<long>").dropDuplicates(["cls"]))
 
     unequal = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda x: x))
     words = lambda c: F.regexp_extract_all(F.hex(c), F.lit("(....)"), F.lit(1))
     first = members.where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct()
     first = first.join(side("a"), "a").join(side("b"), "b").where(sized).where(unequal(words("sig_a"), words("sig_b")) <= radius)
-    links = confirmed("first", first.select("a", "b", "least_a", "least_b"))
+    first = tables.put("first", first.select("a", "b", "least_a", "least_b"))
+    sets = sets_of(first.select(F.col("a").alias("cls"), F.col("least_a").alias("least")).union(first.select("b", "least_b")))
+    both = first.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("members").alias("in_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("in_b")), "b")
+    both = both.select("a", "b", (F.size("in_a") + F.size("in_b")).alias("total"), F.size(F.array_intersect("in_a", "in_b")).alias("inter"))
+    links = tables.put("links", both.where(f"100L * inter >= {percent}L * (total - inter)").select("a", "b"))
+    tables.clear("wanted", "sets", "first")
     labels = tables.put("labels", connected_components(links, tables))
 
     own_label = F.coalesce("label", "cls").alias("label")
-    labelled = members.select("key", "cls", "size").join(labels, F.col("cls") == F.col("node"), "left").select("key", "cls", "size", own_label)
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("key", "rows")
-    blocks = F.ceil(F.col("rows") / F.lit(block)).cast("int")
-    rest = labelled.join(open_keys, "key").join(classes.select("cls", "sig"), "cls").withColumn("block", F.pmod(F.hash("cls"), blocks))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "cls", "label", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    later = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(radius), "a long, b long").distinct()
-    tested = spark.read.parquet(*tables.paths["first"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    later = later.join(tested, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").where(sized)
-    more = confirmed("later", later.select("a", "b", "least_a", "least_b"))
-    tables.clear("members")
+    labelled = members.select("key", "slot", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("key", "slot", "cls", own_label)
+    labelled = labelled.join(classes.select("cls", "n", "least"), "cls")
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight")).where("lo <> hi")
+    blocks = F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("weight") / block_shingles)).cast("int").alias("blocks")
+    rest = tables.put("rest", labelled.join(open_keys.select("key", blocks), "key"))
+    sets = sets_of(rest.select("cls", "least"))
+    rest = rest.join(classes.select("cls", "sig"), "cls").join(sets, "cls").withColumn("block", F.pmod(F.hash("cls"), "blocks"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", "slot", "cls", "label", "sig", "members", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    found = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_links_across(slots, radius, percent), "a long, b long")
+    more = tables.put("more", found)
+    tables.clear("members", "rest", "wanted", "sets")
 
     if more.limit(1).count():
         labels = tables.put("labels", connected_components(links.union(more), tables))
@@ -217,5 +261,5 @@ def near_duplicates(
     named = tables.put("named", named.join(least, "label").select("cls", "component_id"))
     out = feats.where("cls is not null").select("doc_id", "n_shingles", "cls").join(named, "cls").select("doc_id", "n_shingles", F.when(F.col("component_id") < 2**63 - 1, F.col("component_id")).alias("component_id"))
     out = out.union(feats.where("cls is null").select("doc_id", "n_shingles", "doc_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    tables.clear("classes", "links", "labels", "cc", "first", "later")
+    tables.clear("classes", "links", "labels", "cc", "more")
     return out
