@@ -32,6 +32,7 @@ def parse_date(c: Column) -> Column:
         get = lambda g: F.coalesce(part(pattern, g), F.lit(1)) if g <= groups else F.lit(1)  # noqa: B023, E731
         tried.append(F.when(F.regexp_like(text, F.lit(pattern)), _clamped(part(pattern, 1), get(2), get(3))))
     iso = F.when(F.regexp_like(text, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ].*)?$")), F.try_to_date(F.left(text, F.lit(10)), "yyyy-MM-dd"))
+    iso = F.when(F.year(iso) >= 1, iso)
     return F.coalesce(iso, *tried)
 
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Document types and the substrings that give them, tested in this order.
 DOCUMENT_TYPES = [
@@ -25,7 +26,7 @@ OTHER_TYPE = "기타"
 _DOI = r"(?i)10\.[0-9]{4,9}/[-._;()/:a-z0-9]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -201,7 +202,7 @@ def abstract_from_index(c: Column) -> Column:
 def distinct_ignoring_case(c: Column) -> Column:
     """Trimmed strings in order, the first spelling of each kept, empty ones dropped."""
     start = F.array().cast("array<string>")
-    trimmed = F.filter(F.transform(c, F.trim), lambda x: x != "")
+    trimmed = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
     return F.aggregate(trimmed, start, lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.array_append(acc, x)))
 
 

@@ -29,7 +29,8 @@ def _clean(path: str) -> Column:
 
 def _first_of(path: str) -> Column:
     """A string, or the first of an array of strings."""
-    return T.clean_whitespace(F.coalesce(F.get(_get(path, "array<string>"), 0), _get(path)))
+    values = _get(path, "array<string>")
+    return T.clean_whitespace(F.when(values.isNotNull(), F.get(values, 0)).otherwise(_get(path)))
 
 
 def _strings(path: str, limit: int | None = None) -> Column:
@@ -248,7 +249,7 @@ def mapped(raw: DataFrame, fields: dict[str, str], publisher: str = "", default_
         "journal_or_series": at("series"), "publication_date": published, "source_registered_date": registered, "source_modified_date": F.coalesce(parse_date(at("modified_date")), registered),
         "landing_url": T.first_filled(at("landing_url"), T.doi_url(doi)), "download_url": at("download_url"), "license": at("license"), "license_unknown": at("license") == "",
         "language": T.first_filled(at("language"), T.language(title)), "document_type": F.when(kind == T.OTHER_TYPE, default_type).otherwise(kind),
-        "keywords": F.filter(F.transform(keywords, F.trim), lambda x: x != ""), "abstract_original": at("abstract"),
+        "keywords": F.filter(F.transform(keywords, lambda x: F.trim(x)), lambda x: x != ""), "abstract_original": at("abstract"),
     }
     return _project(raw, values, F.when(key == "", "").otherwise(F.concat("source_id", F.lit(":"), key)))
 

@@ -10,6 +10,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 _NO_QUERY = "cast(null as struct<canonical_ko:string,language:string,terms:array<string>,dictionary_version:string,query_string:string>) as query"
 
@@ -83,7 +84,7 @@ def _records(value) -> list[dict]:
     return best
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def envelope_rows(payload: pd.Series) -> pd.Series:
     """JSON texts of the records somewhere in an envelope: a walk of unknown depth, which SQL can't say."""
 
@@ -115,7 +116,7 @@ def _zip_text(raw: bytes | None, suffix: str) -> dict:
         return out | {"reason": f"{type(e).__name__}: {e}"[:200]}
 
 
-@F.pandas_udf("text string, members array<string>, failed boolean, reason string")
+@F.pandas_udf(StructType().add("text", "string").add("members", ArrayType(StringType())).add("failed", "boolean").add("reason", "string"))
 def zip_document(content: pd.Series, suffix: pd.Series) -> pd.DataFrame:
     """Text and member names of DOCX and HWPX files."""
     return pd.DataFrame([_zip_text(c, s) for c, s in zip(content, suffix)], columns=["text", "members", "failed", "reason"])
