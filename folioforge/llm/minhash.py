@@ -105,7 +105,9 @@ def _keys(slots: np.ndarray):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, packed: bool):
+    """The sets of classes from their texts; ``packed``: as bytes, the upper 48 bits of each hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -115,12 +117,22 @@ def _sets(width: int):
                     s = shingle_set(text, width)
                     if _class_id(s) == cls:  # else another row with the same doc_id
                         ids.append(cls)
-                        out.append(s.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["cls", "members"])
+                        out.append(_pack(s) if packed else s.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary() if packed else pa.list_(pa.int64()))], ["cls", "members"])
 
     return run
 
 
+def _pack(s: np.ndarray) -> bytes:
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    wide[:, 2:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     both = np.concatenate((a, b))
     both.sort()
@@ -180,9 +192,7 @@ def _links_across(slots: np.ndarray, radius: int, percent: int):
             end = t.num_rows if batch is None else int(np.flatnonzero(starts)[-1])  # the last run may go on
             if end:
                 sig = np.frombuffer(b"".join(t.column("sig").slice(0, end).to_pylist()), dtype=np.uint16).reshape(end, -1)
-                lists = t.column("members").slice(0, end).combine_chunks()
-                flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-                sets = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+                sets = [_unpack(x) for x in t.column("members").slice(0, end).to_pylist()]
                 yield search(np.cumsum(starts)[:end], col("slot")[:end], col("label")[:end], col("block")[:end], (col("i") != col("j"))[:end], col("cls")[:end], sig, sets)
             kept = t.slice(end).combine_chunks().to_batches()[0] if end < t.num_rows else None
 
@@ -221,19 +231,19 @@ def near_duplicates(
     side = lambda end: classes.select(F.col("cls").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("n").alias(f"n_{end}"), F.col("least").alias(f"least_{end}"))
     sized = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
+    def sets_of(wanted: DataFrame, packed: bool) -> DataFrame:
         """(cls, members) of classes (cls, least), from the texts that they come from."""
         wanted = tables.put("wanted", wanted.distinct())
         by = F.broadcast(wanted) if small_enough(wanted, broadcast_rows) else wanted
         texts = docs.join(by, F.coalesce(docs["doc_id"], F.lit(2**63 - 1)) == by["least"]).select("cls", "text")
-        return tables.put("sets", texts.mapInArrow(_sets(width), "cls long, members array<long>").dropDuplicates(["cls"]))
+        return tables.put("sets", texts.mapInArrow(_sets(width, packed), f"cls long, members {'binary' if packed else 'array<long>'}").dropDuplicates(["cls"]))
 
     unequal = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda x: x))
     words = lambda c: F.regexp_extract_all(F.hex(c), F.lit("(....)"), F.lit(1))
     first = members.where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct()
     first = first.join(side("a"), "a").join(side("b"), "b").where(sized).where(unequal(words("sig_a"), words("sig_b")) <= radius)
     first = tables.put("first", first.select("a", "b", "least_a", "least_b"))
-    sets = sets_of(first.select(F.col("a").alias("cls"), F.col("least_a").alias("least")).union(first.select("b", "least_b")))
+    sets = sets_of(first.select(F.col("a").alias("cls"), F.col("least_a").alias("least")).union(first.select("b", "least_b")), False)
     both = first.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("members").alias("in_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("in_b")), "b")
     both = both.select("a", "b", (F.size("in_a") + F.size("in_b")).alias("total"), F.size(F.array_intersect("in_a", "in_b")).alias("inter"))
     links = tables.put("links", both.where(f"100L * inter >= {percent}L * (total - inter)").select("a", "b"))
@@ -246,7 +256,7 @@ def near_duplicates(
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight")).where("lo <> hi")
     blocks = F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("weight") / block_shingles)).cast("int").alias("blocks")
     rest = tables.put("rest", labelled.join(open_keys.select("key", blocks), "key"))
-    sets = sets_of(rest.select("cls", "least"))
+    sets = sets_of(rest.select("cls", "least"), True)
     rest = rest.join(classes.select("cls", "sig"), "cls").join(sets, "cls").withColumn("block", F.pmod(F.hash("cls"), "blocks"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", "slot", "cls", "label", "sig", "members", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
