@@ -14,12 +14,22 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.bpe import encode_and_decode
 from folioforge.llm.chunks import without_repeats
-from folioforge.llm.common import Tables, ship_package, text_or_empty
+from folioforge.llm.common import Tables, ship_package, small_enough, text_or_empty
 from folioforge.llm.langid import fit, held_out, predict
 from folioforge.llm.minhash import near_duplicates
 from folioforge.llm.mixing import mix_sources
 
 
+#: Rows up to which a table of (doc_id, tag) is broadcast, some 16 MB; beyond it texts are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def _table(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A written table, broadcast if it is counted to be small."""
+    df = Tables(spark, "stage").put("rows", df)
+    return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is recognised; lang becomes the prediction."""
     ship_package(spark)
@@ -32,8 +42,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keeps of each group of near copies (5-word shingles, similarity 0.8) the smallest doc_id."""
     ship_package(spark)
     found = near_duplicates(docs, width=5, percent=80)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__ff_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__ff_id"]), "left_anti")
+    gone = _table(spark, found.where(~F.col("kept")).select(F.col("doc_id").alias("__ff_id"), F.col("text_tag").alias("__ff_tag")).distinct())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__ff_id"]) & (F.crc32(text_or_empty().cast("binary")) == gone["__ff_tag"]), "left_anti")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +55,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it: 0 to 3 rows."""
     ship_package(spark)
-    mixed = mix_sources(docs).where("repeats > 0").select(F.col("doc_id").alias("__ff_id"), F.col("__row").alias("__ff_row"), "repeats").distinct()
+    mixed = _table(spark, mix_sources(docs).where("repeats > 0").select(F.col("doc_id").alias("__ff_id"), F.col("__row").alias("__ff_row"), F.col("repeats").alias("__ff_repeats")).distinct())
     named = F.concat_ws(":", F.lit("17"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_or_empty())
     row = F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
     out = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["__ff_id"]) & (row == mixed["__ff_row"]))
-    return out.withColumn("__ff_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
+    return out.withColumn("__ff_copy", F.explode(F.sequence(F.lit(1), F.col("__ff_repeats").cast("int")))).select(*docs.columns)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

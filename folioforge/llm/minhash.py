@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import chain, combinations
 from math import comb
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -72,13 +73,14 @@ def _features(width: int, symbols: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = MinHash(symbols)
         for b in batches:
-            n, cls, sig = [], [], []
+            n, cls, sig, tag = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(text, width)
+                tag.append(crc32((text or "").encode("utf-8")))
                 n.append(len(s))
                 cls.append(_class_id(s))
                 sig.append(sign(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "cls", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), pa.array(tag, pa.int64())], ["doc_id", "n_shingles", "cls", "sig", "text_tag"])
 
     return run
 
@@ -202,7 +204,7 @@ def _links_across(slots: np.ndarray, radius: int, percent: int):
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, symbols: int = 64, parts: int | None = None, block: int = 2000, block_shingles: int = 2_000_000, broadcast_rows: int = 500_000
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, text_tag) for every row of ``docs`` (doc_id, text).
 
     Rows are linked if 100 * |intersection| >= percent * |union| of their shingle sets.
     component_id is the smallest doc_id that a row reaches over links, itself included; kept is
@@ -211,7 +213,7 @@ def near_duplicates(
     Defined cases: a text that is null, empty or without words has the empty set and is linked with
     nothing, so it is its own component.  A null doc_id counts as the largest; a component of such rows
     alone has a null component_id and its rows are kept.  Rows that repeat a doc_id are told apart by
-    their texts; equal rows are copies of each other.  An empty table gives no rows; other columns are
+    their texts (text_tag is the text's CRC-32); equal rows are one document and share its verdict.  An empty table gives no rows; other columns are
     ignored.  Memory: a task holds a batch of texts, or two blocks of signatures.
     """
     spark = docs.sparkSession
@@ -220,7 +222,7 @@ def near_duplicates(
     slots = part_slots(symbols, parts or radius // 2 + 1, radius)  # one error a part
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    feats = tables.put("feats", docs.mapInArrow(_features(width, symbols), "doc_id long, n_shingles long, cls long, sig binary"))
+    feats = tables.put("feats", docs.mapInArrow(_features(width, symbols), "doc_id long, n_shingles long, cls long, sig binary, text_tag long"))
     own = F.coalesce("doc_id", F.lit(2**63 - 1))
     classes = tables.put("classes", feats.where("cls is not null").groupBy("cls").agg(F.min(own).alias("least"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n")))
 
@@ -269,7 +271,8 @@ def near_duplicates(
     named = classes.join(labels, classes["cls"] == labels["node"], "left").select("cls", "least", own_label)
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = tables.put("named", named.join(least, "label").select("cls", "component_id"))
-    out = feats.where("cls is not null").select("doc_id", "n_shingles", "cls").join(named, "cls").select("doc_id", "n_shingles", F.when(F.col("component_id") < 2**63 - 1, F.col("component_id")).alias("component_id"))
-    out = out.union(feats.where("cls is null").select("doc_id", "n_shingles", "doc_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = feats.where("cls is not null").select("doc_id", "n_shingles", "cls", "text_tag").join(named, "cls").select("doc_id", "n_shingles", F.when(F.col("component_id") < 2**63 - 1, F.col("component_id")).alias("component_id"), "text_tag")
+    out = out.union(feats.where("cls is null").select("doc_id", "n_shingles", "doc_id", "text_tag"))
+    out = out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_tag")
     tables.clear("classes", "links", "labels", "cc", "more")
     return out

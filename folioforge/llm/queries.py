@@ -81,7 +81,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of 3-word shingle sets with a similarity of 0.85 or more."""
-    return near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
