@@ -258,17 +258,28 @@ def q_search_like(spark, sf_dir):
     return search.search_like(_read(spark, sf_dir, "documents"), "license", ["text", "source"], [F.col("doc_id")], 50).select("doc_id", "source")
 
 
-@query()
+_SENTENCES_SQL = r"""list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?。])\s+', '\1' || chr(1), 'g'), '\x01|\n+'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))),
+ lambda s: length(s) BETWEEN 25 AND 400 AND NOT regexp_matches(s, '^[0-9\s.\-–—]+$'))"""
+
+
+_STOP_SQL = "(" + ", ".join(f"'{w}'" for w in M.STOPWORDS) + ")"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_SENTENCES_SQL.replace("regexp_replace(text,", "regexp_replace(left(text, 40000),")} s FROM documents),
+    e AS (SELECT doc_id, i pos, s[i] sentence, len(s) n, list_filter(regexp_extract_all(lower(s[i]), '[가-힣]{{2,}}|[A-Za-z]{{3,}}'), lambda t: t NOT IN {_STOP_SQL}) t FROM d, unnest(range(1, len(s) + 1)) u(i)),
+    w AS (SELECT doc_id, unnest(t) w FROM e), c AS (SELECT doc_id, w, count(*) c FROM w GROUP BY ALL), m AS (SELECT doc_id, map_from_entries(list((w, c))) m, max(c) peak FROM c GROUP BY doc_id),
+    r AS (SELECT doc_id, pos, sentence, CASE WHEN peak IS NULL THEN 0.0 ELSE list_sum(list_transform(t, lambda x: m[x] / peak)) / len(t) + CASE WHEN pos - 1 < n * 0.2::DOUBLE THEN 0.15 ELSE 0.0 END END::DOUBLE score
+      FROM e LEFT JOIN m USING (doc_id) WHERE len(t) > 0 OR peak IS NULL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) o FROM r)
+    SELECT doc_id, coalesce(string_agg(sentence, ' | ' ORDER BY o) FILTER (o <= 5), '') key_points FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id"""
+)
 def q_key_sentences(spark, sf_dir):
     kept = M.sentences(F.left("fulltext", F.lit(M.FULLTEXT_CHARS)))
     ranked = _resources(spark, sf_dir).select("seq", kept.alias("kept")).select("seq", F.slice(M.ranked_sentences(F.col("kept")), 1, M.POINTS).alias("r"))
     return ranked.select(F.col("seq").alias("doc_id"), F.array_join(F.transform("r", lambda x: x["sentence"]), " | ").alias("key_points"))
 
 
-_SENTENCES_SQL = r"""list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?。])\s+', '\1' || chr(1), 'g'), '\x01|\n+'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))),
- lambda s: length(s) BETWEEN 25 AND 400 AND NOT regexp_matches(s, '^[0-9\s.\-–—]+$'))"""
-
-
 @query(f"SELECT doc_id, len({_SENTENCES_SQL}) n_sentences, md5(array_to_string({_SENTENCES_SQL}, '|')) digest FROM documents")
 def q_sentences(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", M.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("digest"))
