@@ -77,3 +77,36 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_failed,
 ARCHIVES = """WITH p AS (SELECT page_id, coalesce(html, '') h, min(page_id) OVER (PARTITION BY coalesce(html, '')) first FROM pages)
 SELECT page_id, strlen(h)::BIGINT payload_bytes, sha256(h) payload_digest, CASE WHEN strlen(h) >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END record_type,
   CASE WHEN strlen(h) >= 100 AND page_id <> first THEN first END refers_to FROM p"""
+
+
+def licenses(phrases: dict[tuple[str, ...], str], templates: dict[str, str], var_words: int) -> str:
+    """Templates as regular expressions over the words, each after a blank."""
+    import re
+
+    def pattern(markup: str) -> str:
+        out = ""
+        for k, piece in enumerate(re.split(r"<<(.*?)>>", markup)):
+            if k % 2 == 0:
+                out += "".join(f" {w}" for w in re.findall(r"[a-z0-9]+", piece.lower()))
+            else:
+                kind = piece.split(";")[0]
+                out += "(?:" if kind == "beginOptional" else ")?" if kind == "endOptional" else f"(?: [^ ]+){{{0 if '.*' in piece else 1},{var_words}}}"
+        return out + " "
+
+    places = " || ".join(f"list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p))})" for p in phrases)
+    base = " || ".join(f"CASE WHEN contains(t, ' {' '.join(p)} ') THEN ['{label}'] ELSE []::VARCHAR[] END" for p, label in phrases.items())
+    own = " || ".join(f"CASE WHEN regexp_matches(t, '{pattern(m)}') THEN ['{label}'] ELSE []::VARCHAR[] END" for label, m in templates.items())
+    return rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+    t AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' t FROM d), l AS (SELECT doc_id, w, {places} p, {base} b, {own} o FROM t)
+    SELECT doc_id, len(w) n_words, len(p) n_base, list_min(p) - 1 first_word, list_max(p) - 1 last_word, array_to_string(list_sort(list_distinct(b)), ',') base_labels,
+      array_to_string(list_sort(list_distinct(b || o)), ',') labels, CASE WHEN len(o) > 0 THEN 1.0 WHEN len(b) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE score FROM l"""
+
+
+NEAR_DUPLICATES = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], chr(1)) g FROM d, unnest(range(1, greatest(len(w) - 1, 2))) u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) i FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+f AS (SELECT a x, b y FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT f.y, r.c FROM r JOIN f ON f.x = r.doc_id)
+SELECT doc_id, coalesce(any_value(n), 0) n_shingles, min(c) component_id, doc_id = min(c) kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id"""

@@ -14,7 +14,7 @@ from .chunks import repeated_spans
 from .common import ship_package
 from .fingerprints import BLOCK, fingerprint_edits
 from .langid import fit, held_out, predict
-from .licenses import scan_licenses
+from .licenses import PHRASES, TEMPLATES, VAR_WORDS, scan_licenses
 from .linefreq import line_frequency_rules
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -100,11 +100,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: Clusters, signatures, merges, chunks and automata have no SQL form; tests hold those against brute force.
+#: Clusters, merges and chunks have no SQL form; tests hold those against brute force.
 ORACLES: dict[str, str] = {
     "op1_document_fingerprints": oracles.fingerprints(BLOCK),
     "op2_mix_sources": oracles.MIX,
     "op3_url_filters": oracles.url_filter(URL_RULES),
     "op5_line_frequency": oracles.LINES,
     "op6_warc_packages": oracles.ARCHIVES,
+    "op7_license_scan": oracles.licenses(PHRASES, TEMPLATES, VAR_WORDS),
+    "op10_minhash_near_dedup": oracles.NEAR_DUPLICATES,
 }
