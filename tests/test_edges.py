@@ -58,7 +58,7 @@ def test_captured_source(spark, tmp_path):
     spark.dataSource.register(captured.CapturedSource)
     raw = spark.read.format("captured").option("path", str(tmp_path)).load()
     assert spark.read.format("captured").option("path", str(tmp_path)).option("source", "core").load().count() == 1
-    assert raw.count() == 3 and raw.where("source_id = 'core'").count() == 1 and raw.select("seq").distinct().count() == 3
+    assert raw.count() == 3 and raw.where("source_id = 'core'").count() == 1 and raw.select("source_id", "seq").distinct().count() == 3
     got = payloads.normalize(raw.where("source_id = 'zenodo'"), "zenodo").orderBy("title_original").collect()
     assert [(r.official_identifier, r.license_unknown) for r in got] == [("zenodo:1", True), ("zenodo:2", False)]
 
