@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables
@@ -121,17 +121,20 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600, languages: int
     for r in counts.collect():  # _DIM + 1 rows
         found[r["cell"]] = r["n"]
     idf = np.log((1 + found[-1]) / (1 + found[:-1])) + 1
-    names = [r["lang"] for r in rows.where("text rlike '\\\\p{L}'").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    if not names:
+    lettered = rows.where("text rlike '\\\\p{L}'")
+    sizes = {r["lang"]: r["count"] for r in lettered.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    if not sizes:
         return Model([], np.zeros((0, _DIM), np.float32), np.zeros((0, len(_LENGTHS)), np.float32), idf)
-    place = F.substring(F.md5("text"), 1, 8)
-    sample = rows.where(F.col("lang").isin(names)).where("text rlike '\\\\p{L}'").select("lang", place.alias("place"), F.xxhash64("text").alias("h"))
-    from pyspark.sql import Window
-
-    first = sample.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("place", "h"))).where(F.col("k") <= per_language)
-    first = tables.put("sample", first.select("lang", "h").distinct())
-    picked = rows.join(F.broadcast(first.withColumnRenamed("lang", "__l")), (F.xxhash64("text") == F.col("h")) & (F.col("lang") == F.col("__l"))).dropDuplicates(["lang", "h"])
-    fitted = picked.select("lang", "text", F.substring(F.md5("text"), 1, 8).alias("place")).groupBy("lang").applyInPandas(_clusters(idf, clusters, rounds, slack), "lang string, center binary, radius binary")
+    # Of large languages only texts whose MD5 lies low enough for some 2 * per_language to come are looked at.
+    below = {lang: min(1 << 60, (2 * per_language << 60) // n) for lang, n in sizes.items()}
+    bound = F.create_map(*[F.lit(v) for kv in below.items() for v in kv])[F.col("lang")]
+    place = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")
+    low = lettered.where(F.col("lang").isin(list(sizes))).where(place <= bound)
+    sample = low.select("lang", place.alias("place"), F.xxhash64("text").alias("h")).distinct()
+    sample = sample.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("place", "h"))).where(F.col("k") <= per_language)
+    sample = tables.put("sample", sample.select(F.col("lang").alias("__l"), "h"))  # per_language * languages rows at most
+    picked = low.select("lang", "text", place.alias("place")).join(F.broadcast(sample), (F.xxhash64("text") == F.col("h")) & (F.col("lang") == F.col("__l"))).dropDuplicates(["lang", "h"])
+    fitted = picked.select("lang", "text", "place").groupBy("lang").applyInPandas(_clusters(idf, clusters, rounds, slack), "lang string, center binary, radius binary")
     got = fitted.orderBy("lang", "center").collect()
     tables.clear("sample")
     return Model([r["lang"] for r in got], np.stack([np.frombuffer(r["center"], np.float32) for r in got]), np.stack([np.frombuffer(r["radius"], np.float32) for r in got]), idf)
