@@ -93,13 +93,14 @@ def repeated_spans(docs: DataFrame, mean: int = 40, least: int = 90) -> DataFram
     gives no rows; other columns are ignored.
 
     Shuffles: chunks by digest, once to find each digest's first owner (combined before the shuffle)
-    and once for the join with owners, whose hot digests AQE splits.  A document's own spans are the
+    and once for the join with owners.  The owners are a written table, so that both sides of the join
+    are shuffled for it alone and AQE splits hot digests.  A document's own spans are the
     only group that a task gathers.
     """
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc")
     chunks = docs.select(own, F.col("text").cast("string").alias("text")).where("length(text) > 0").mapInArrow(_chunk_rows(mean), "d1 long, d2 long, doc long, place long")
     first = chunks.groupBy("d1", "d2").agg(F.min(F.struct("doc", "place")).alias("f"), F.max("doc").alias("last")).where("f.doc <> last")
-    first = first.select("d1", "d2", F.col("f.doc").alias("src"), F.col("f.place").alias("src_place"))
+    first = Tables(docs.sparkSession, "owners").put("first", first.select("d1", "d2", F.col("f.doc").alias("src"), F.col("f.place").alias("src_place")))
     again = chunks.join(first, ["d1", "d2"]).where("doc <> src").select("doc", F.col("place").bitwiseAND(0xFFFFFFF).cast("int").alias("tag"), _start("place").alias("s"), F.shiftright("place", 28).bitwiseAND(255).cast("int").alias("n"), "src", _start("src_place").alias("ss"))
     again = again.repartition("doc", "tag").dropDuplicates(["doc", "tag", "s"])  # copies of a row
     by = Window.partitionBy("doc", "tag").orderBy("s")
