@@ -43,8 +43,8 @@ class MergeTransducer:
     token that may end there: the last token of the encoding of all bytes so far.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], memory: float = 1.0):
+        self.ranks, self.most_states, self.most_pairs = ranks, int(_MAX_STATES * memory), int(_MAX_PAIRS * memory)
         self.tokens = {i: t for t, i in ranks.items()}
         self.step: dict[int, int] = {}  # (node << 8 | byte) -> node
         self.ends: dict[int, int] = {}  # node -> token
@@ -133,7 +133,7 @@ class MergeTransducer:
                 pair = (last + 1) << 24 | token
                 fits = self.pairs.get(pair)
                 if fits is None:
-                    if len(self.pairs) > _MAX_PAIRS:
+                    if len(self.pairs) > self.most_pairs:
                         self.pairs.clear()
                     fits = self.pairs[pair] = self.compatible(last, token)
                 if fits:
@@ -174,7 +174,7 @@ class MergeTransducer:
         out: list[int] = []
         state, ended = 0, []
         for at in range(0, len(raw), _BLOCK):
-            if len(self.sets) > _MAX_STATES:
+            if len(self.sets) > self.most_states:
                 state = self._forget(self.sets[state])
             moves = self.moves.get
             for byte in raw[at : at + _BLOCK]:
@@ -192,20 +192,20 @@ class Tokenizer:
     """Splits a text by a pattern and runs each match through the transducer, as a vocabulary file's
     library would without special tokens: a match that is itself a token stays whole."""
 
-    def __init__(self, raw: bytes, pattern: str):
-        self.transducer = MergeTransducer(parse_ranks(raw))
+    def __init__(self, raw: bytes, pattern: str, memory: float = 1.0):
+        self.transducer = MergeTransducer(parse_ranks(raw), memory)
         self.find = _finder(pattern)
         size = max(self.transducer.tokens) + 1
         self.bytes_of = [self.transducer.tokens.get(i, b"") for i in range(size)]
         self.text_of = [str(i) for i in range(size)]
-        self.known = _Pieces(self.transducer)
+        self.known = _Pieces(self.transducer, int(_MAX_PIECES * memory))
 
     @classmethod
-    def load(cls, raw: bytes, pattern: str) -> Tokenizer:
+    def load(cls, raw: bytes, pattern: str, memory: float = 1.0) -> Tokenizer:
         """One instance a process and vocabulary, so its states outlive a task."""
-        key = hashlib.sha256(raw + pattern.encode()).hexdigest()
+        key = hashlib.sha256(raw + f"{pattern}{memory}".encode()).hexdigest()
         if key not in _loaded:
-            _loaded[key] = cls(raw, pattern)
+            _loaded[key] = cls(raw, pattern, memory)
         return _loaded[key]
 
     def encode(self, text: str) -> list[int]:
@@ -250,12 +250,12 @@ class _Pieces(dict):
     """Matches already encoded, in two generations, the older dropped when the younger is full, so
     that frequent ones stay; long ones are not kept."""
 
-    def __init__(self, transducer: MergeTransducer):
-        self.transducer = transducer
+    def __init__(self, transducer: MergeTransducer, most: int):
+        self.transducer, self.most = transducer, most
         self.older: dict[str, tuple[int, ...]] = {}
 
     def trim(self) -> None:
-        if len(self) > _MAX_PIECES:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
 
@@ -301,11 +301,11 @@ class Utf8Decoder:
             raise ValueError("the bytes end within a character")
 
 
-def _digests(raw: bytes, pattern: str, with_ids: bool):
+def _digests(raw: bytes, pattern: str, with_ids: bool, memory: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tokenizer.load(raw, pattern)
+        t = Tokenizer.load(raw, pattern, memory)
         names = t.text_of.__getitem__
-        for b in batches:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             ids, n, digest, back = [], [], [], []
             for text in b.column(1):
                 own = t.encode(text.as_py() or "")
@@ -331,7 +331,7 @@ def _digests(raw: bytes, pattern: str, with_ids: bool):
     return run
 
 
-def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = True) -> DataFrame:
+def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = True, memory: float = 1.0) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, token_ids]) for every row of ``docs``.
 
     ``vocabulary`` is a file of ranks that the driver reads and hands to the tasks (a fixed size, under
@@ -340,8 +340,9 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str, with_ids:
 
     Defined cases: a null text counts as empty: no tokens, the digests of nothing.  doc_id is passed
     on as it is, null and repeated ones too.  An empty table gives no rows; other columns are ignored.
-    Memory: one batch of texts, and bounded tables of states and of known matches.
+    Memory: one batch of texts, and bounded tables of states and of known matches: some 450 MB a worker,
+    times ``memory``, which trades it against time and changes no result.
     """
     raw = Path(vocabulary).read_bytes()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_digests(raw, pattern, with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_digests(raw, pattern, with_ids, memory), schema)
