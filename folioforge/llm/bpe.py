@@ -303,7 +303,7 @@ class Utf8Decoder:
 
 def _digests(raw: bytes, pattern: str, with_ids: bool, memory: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tokenizer.load(raw, pattern, memory)
+        t = Tokenizer.load(raw, pattern) if memory >= 1 else Tokenizer(raw, pattern, memory)  # small ones go with the task
         names = t.text_of.__getitem__
         for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             ids, n, digest, back = [], [], [], []

@@ -72,7 +72,7 @@ def part_keys(sig: np.ndarray, slots: np.ndarray) -> np.ndarray:
 def _features(width: int, symbols: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = MinHash(symbols)
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             n, cls, sig, tag = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(text, width)
