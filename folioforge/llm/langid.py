@@ -109,8 +109,8 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600, languages: int
     """Learns from rows of ``docs`` (doc_id, text, lang) where ``learn`` holds.
 
     Document frequencies count all such rows.  Clusters are fitted on a bounded sample: of each language
-    the ``per_language`` texts whose MD5 comes first, of at most ``languages`` languages by number of
-    texts; so a fit holds per_language vectors, and the driver languages * clusters centroids.  A
+    the ``per_language`` distinct texts whose MD5 comes first (all, if it has fewer), of at most
+    ``languages`` languages by number of rows; so a fit holds per_language vectors, and the driver languages * clusters centroids.  A
     centroid's radius at a length class is ``slack`` times the least cosine that the sample's texts of
     that class have with their centroids (no rejection where a class has under 20 texts).
     """
@@ -122,21 +122,33 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600, languages: int
         found[r["cell"]] = r["n"]
     idf = np.log((1 + found[-1]) / (1 + found[:-1])) + 1
     lettered = rows.where("text rlike '\\\\p{L}'")
-    sizes = {r["lang"]: r["count"] for r in lettered.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    h = F.xxhash64("text").alias("h")
+    place = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("place")
+    texts = tables.put("texts", lettered.groupBy("lang", h, place).count())  # copies are combined before the shuffle
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum("count").alias("rows")).orderBy(F.desc("rows"), "lang").limit(languages)
+    sizes = {r["lang"]: r["texts"] for r in sizes.collect()}
     if not sizes:
+        tables.clear("texts")
         return Model([], np.zeros((0, _DIM), np.float32), np.zeros((0, len(_LENGTHS)), np.float32), idf)
-    # Of large languages only texts whose MD5 lies low enough for some 2 * per_language to come are looked at.
+    # Of large languages only texts whose MD5 lies low enough for some 2 * per_language distinct ones to come
+    # are looked at; the bound of a language that has fewer than per_language below it is doubled.
+    texts = texts.where(F.col("lang").isin(list(sizes)))
     below = {lang: min(1 << 60, (2 * per_language << 60) // n) for lang, n in sizes.items()}
-    bound = F.create_map(*[F.lit(v) for kv in below.items() for v in kv])[F.col("lang")]
-    place = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")
-    low = lettered.where(F.col("lang").isin(list(sizes))).where(place <= bound)
-    sample = low.select("lang", place.alias("place"), F.xxhash64("text").alias("h")).distinct()
+    while True:
+        bound = F.create_map(*[F.lit(v) for kv in below.items() for v in kv])[F.col("lang")]
+        got = {r["lang"]: r["count"] for r in texts.where(F.col("place") <= bound).groupBy("lang").count().collect()}
+        few = [lang for lang, n in sizes.items() if got.get(lang, 0) < min(n, per_language)]
+        if not few:
+            break
+        below |= {lang: min(1 << 60, max(1, 2 * below[lang])) for lang in few}
+    sample = texts.where(F.col("place") <= bound).select("lang", "place", "h")
     sample = sample.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("place", "h"))).where(F.col("k") <= per_language)
     sample = tables.put("sample", sample.select(F.col("lang").alias("__l"), "h"))  # per_language * languages rows at most
-    picked = low.select("lang", "text", place.alias("place")).join(F.broadcast(sample), (F.xxhash64("text") == F.col("h")) & (F.col("lang") == F.col("__l"))).dropDuplicates(["lang", "h"])
+    low = lettered.where(F.col("lang").isin(list(sizes))).where(place <= bound)
+    picked = low.select("lang", "text", place).join(F.broadcast(sample), (F.xxhash64("text") == F.col("h")) & (F.col("lang") == F.col("__l"))).dropDuplicates(["lang", "h"])
     fitted = picked.select("lang", "text", "place").groupBy("lang").applyInPandas(_clusters(idf, clusters, rounds, slack), "lang string, center binary, radius binary")
     got = fitted.orderBy("lang", "center").collect()
-    tables.clear("sample")
+    tables.clear("texts", "sample")
     return Model([r["lang"] for r in got], np.stack([np.frombuffer(r["center"], np.float32) for r in got]), np.stack([np.frombuffer(r["radius"], np.float32) for r in got]), idf)
 
 

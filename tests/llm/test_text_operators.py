@@ -98,6 +98,15 @@ def test_language_id(documents, spark):
     assert {x.lang_pred for x in none} == {"und"} and predict(documents([]), fit(documents([]), ~held_out())).count() == 0
 
 
+def test_language_of_copies_is_learned(documents, prose):
+    copied = "\u043e\u0434\u0438\u043d \u0438 \u0442\u043e\u0442 \u0436\u0435 \u0442\u0435\u043a\u0441\u0442 \u043c\u043d\u043e\u0433\u043e \u0440\u0430\u0437 \u043f\u043e\u0434\u0440\u044f\u0434 "
+    some = [f"{copied}{k}" for k in range(8)]  # of 10,000 copies the old bound left texts of the lowest 12 % of MD5s
+    text = next(t for t in some if int(hashlib.md5(t.encode()).hexdigest()[:15], 16) > (1 << 60) // 4)
+    rows = [(i, text, "ru") for i in range(10_000)] + [(20_000 + i, prose(i, 30), "en") for i in range(40)]
+    model = fit(documents(rows), F.lit(True))
+    assert set(model.langs) == {"en", "ru"} and model.predict(text)[0] == "ru"
+
+
 def test_line_frequency(documents, prose):
     common = "This line stands in very many documents of one host"
     rows = [(i, prose(i, 70) + "\n" + common.upper() + "  \n" + prose(i + 900, 10), "en", "h1" if i % 3 else None) for i in range(90)]
