@@ -52,15 +52,48 @@ def water_fill(sources: DataFrame, total: float, cap: float) -> tuple[DataFrame,
     return sources.withColumn("target", target), rounds
 
 
-def mix_sources(docs: DataFrame, cap: float = 3.0, seed: int = 17, cycle: int = 3, weights: DataFrame | None = None) -> DataFrame:
+def fill_up(open_: DataFrame, tables: Tables) -> DataFrame:
+    """(__s, order) of the documents of ``open_`` (__s, order, size, short) that fit into what a source is
+    short of, taken in the order of the hash until no document of a source fits.
+
+    A pass takes documents up to half of what is missing, or where none is so small, up to all of it, until
+    the next would be too much; so two passes at least halve what is missing, or leave nothing that fits.
+    """
+    taken = None
+    while True:
+        open_ = tables.put("open", open_.where("size <= short"))
+        if not open_.limit(1).count():
+            return taken if taken is not None else open_.select("__s", "order")
+        low = F.col("size") <= F.col("short") / 2
+        slices = open_.groupBy("__s", F.shiftright("order", 48).cast("int").alias("slice")).agg(F.first("short").alias("short"), F.sum(F.when(low, F.col("size")).otherwise(0)).alias("low"), F.sum("size").alias("words"))
+        slices = slices.withColumn("halved", F.max("low").over(Window.partitionBy("__s")) > 0).withColumn("words", F.when(F.col("halved"), F.col("low")).otherwise(F.col("words")))
+        before = F.sum("words").over(Window.partitionBy("__s").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+        slices = slices.withColumn("missing", F.col("short") - F.coalesce(before, F.lit(0))).where("missing > 0")
+        slices = slices.select(F.col("__s").alias("__slice_s"), F.col("slice").alias("__slice"), "halved", "missing")
+        rows = open_.join(slices, F.col("__s").eqNullSafe(F.col("__slice_s")) & (F.shiftright("order", 48).cast("int") == F.col("__slice"))).where(~F.col("halved") | low)
+        sums = F.sum("size").over(Window.partitionBy("__s", "__slice").orderBy("order"))
+        now = tables.put("now", rows.withColumn("sums", sums).where("sums <= missing").select("__s", "order", "size"))
+        taken = now.select("__s", "order") if taken is None else taken.union(now.select("__s", "order"))
+        got = now.groupBy(F.col("__s").alias("__got_s")).agg(F.sum("size").alias("got"))
+        keys = now.select(F.col("__s").alias("__now_s"), F.col("order").alias("__now"))
+        rest = open_.join(keys, F.col("__s").eqNullSafe(F.col("__now_s")) & (F.col("order") == F.col("__now")), "left_anti")
+        rest = rest.join(got, F.col("__s").eqNullSafe(F.col("__got_s")), "left").withColumn("short", F.col("short") - F.coalesce("got", F.lit(0)))
+        open_ = rest.select("__s", "order", "size", "short")
+
+
+def mix_sources(docs: DataFrame, cap: float = 3.0, seed: int = 17, cycle: int = 3, weights: DataFrame | None = None, fill: bool = True) -> DataFrame:
     """(doc_id, size, source_size, target, taken, repeats, __row) for every row of ``docs``: how often
     the mix takes each document.
 
     size counts a document's words.  Sources share all sizes by weight (``weights``: source, weight;
     else 1, 2, 3 by code point), none above ``cap`` times its own size.  Each document is taken
     floor(target / source_size) times, and in the order of a seeded hash documents are taken once
-    more while the source stays within its target; what is then missing is filled by the one other
-    document whose size is nearest to it, if that brings the source nearer to its target.
+    more while the source stays within its target, those that are too long for what is missing left
+    out, until none fits; what is then missing is filled by the one other document whose size is
+    nearest to it, if that brings the source nearer to its target.  So taken misses target by at most
+    half of the smallest document that isn't taken once more (copies that are equal rows count as one
+    document), unless equal rows of the first pass exceed it.  Without ``fill``, the first document
+    that is too long ends the order, as in the query's SQL.
 
     Defined cases: a null or empty text has size 0 and adds nothing; a null source is one source,
     ranked last; sources without words have target 0.  Rows that repeat a doc_id are rows of their
@@ -99,7 +132,18 @@ def mix_sources(docs: DataFrame, cap: float = 3.0, seed: int = 17, cycle: int =
     extra = F.when((F.col("size") > 0) & (left >= F.col("size")), 1).otherwise(0)
     out = tables.put("first", out.select("doc_id", "size", "__s", "source_size", "target", "whole", "order", extra.alias("extra")))
     short = out.groupBy("__s").agg((F.first("target") - F.sum((F.col("whole") + F.col("extra")) * F.col("size"))).alias("short")).where("short > 0")
-    open_ = out.where(f"extra = 0 and size > 0 and whole + 1 <= {cap}").join(short.withColumnRenamed("__s", "__short_s"), F.col("__s").eqNullSafe(F.col("__short_s"))).where("size < 2 * short")
+    can = out.where(f"extra = 0 and size > 0 and whole + 1 <= {cap}")
+    if fill:
+        can = can.groupBy("__s", "order").agg(F.sum("size").alias("size"))  # equal rows are taken alike
+        units = can.join(short.withColumnRenamed("__s", "__short_s"), F.col("__s").eqNullSafe(F.col("__short_s"))).select("__s", "order", "size", "short")
+        more = tables.put("more", fill_up(units, tables).select(F.col("__s").alias("__more_s"), F.col("order").alias("__more")))
+        tables.clear("open", "now")
+        out = out.join(more, out["__s"].eqNullSafe(more["__more_s"]) & (out["order"] == more["__more"]), "left")
+        out = tables.put("filled", out.withColumn("extra", F.when(F.col("__more").isNotNull(), 1).otherwise(F.col("extra"))).drop("__more_s", "__more"))
+        tables.clear("first", "more")
+        short = out.groupBy("__s").agg((F.first("target") - F.sum((F.col("whole") + F.col("extra")) * F.col("size"))).alias("short")).where("short > 0")
+        can = out.where(f"extra = 0 and size > 0 and whole + 1 <= {cap}").groupBy("__s", "order").agg(F.sum("size").alias("size"))
+    open_ = can.join(short.withColumnRenamed("__s", "__short_s"), F.col("__s").eqNullSafe(F.col("__short_s"))).where("size < 2 * short")
     last = open_.groupBy("__s").agg(F.min(F.struct(F.abs(F.col("size") - F.col("short")).alias("miss"), "order")).alias("last")).select(F.col("__s").alias("__last_s"), F.col("last.order").alias("__last"))
     last = tables.put("last", last)
     out = out.join(last, out["__s"].eqNullSafe(last["__last_s"]) & (out["order"] == last["__last"]), "left")

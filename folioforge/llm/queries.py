@@ -33,8 +33,8 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all sources at weights 1, 2, 3, none above 3 times its size."""
-    return mix_sources(_read(spark, sf_dir, "documents"), cap=3.0).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    """The mix of all sources at weights 1, 2, 3, none above 3 times its size, by the rule of its SQL."""
+    return mix_sources(_read(spark, sf_dir, "documents"), cap=3.0, fill=False).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 #: The rules of the URL filter's query.

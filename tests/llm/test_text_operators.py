@@ -73,6 +73,16 @@ def test_mix_meets_targets(documents, prose):
     assert mix_sources(documents([])).count() == 0 and mix_sources(documents([(1, None), (2, "")])).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_long_documents_do_not_end_the_mix(documents, prose):
+    for seed in range(2):
+        rows = [(i, prose(i, 5 + i % 30), "en", "a") for i in range(200)] + [(1000 + k, "w " * n, "en", "a") for k, n in enumerate((3000, 2500, 900))] + [(2000 + i, prose(i, 50), "en", "b") for i in range(20)]
+        got = mix_sources(documents(rows), seed=seed).collect()
+        for side in (True, False):
+            mine = [r for r in got if (r.doc_id < 2000) == side]
+            least = min((r.size for r in mine if r.size and r.taken < (r.target // r.source_size + 1) * r.size), default=0)
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= least / 2, (seed, side)
+
+
 def test_water_fill_with_everything_clamped(spark):
     df = spark.createDataFrame([("a", 10, 1.0), ("b", 10, 5.0)], "source string, size long, weight double")
     assert {r.target for r in water_fill(df, 100.0, 1.0)[0].collect()} == {10.0}
