@@ -17,26 +17,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .licence_texts import TEXTS
+
 #: The names counted as base places, with their labels.
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
-#: Wordings of public licences and of the usual notices that name them.
-TEMPLATES = {
-    "apache-2.0": "<<beginOptional>>Licensed under the<<endOptional>> Apache License<<beginOptional>>,<<endOptional>> Version 2.0",
-    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
     "<<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
     "<<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
-    "in the documentation and/or other materials provided with the distribution.",
+    "in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_3 = (
+    "<<beginOptional>>3.<<endOptional>> Neither the name of <<var;name=holder;match=.+>> nor the names of <<var;name=contributors;match=.+>> may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY <<var;name=holders;match=.+>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;name=liable;match=.+>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF "
+    "THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _header(name: str, version: str) -> str:
+    """The grant of the FSF's standard header."""
+    return (
+        f"redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation<<beginOptional>>,<<endOptional>> "
+        f"<<beginOptional>>either<<endOptional>> version {version}"
+    )
+
+
+#: Wordings of public licences, of their standard headers and of the usual notices that name them.
+TEMPLATES = {
+    "apache-2.0": "<<beginOptional>>Licensed under the<<endOptional>> Apache License<<beginOptional>>,<<endOptional>> Version 2.0",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use <<var;name=work;match=.+>> except in compliance with the License. You may obtain "
+    "a copy of the License at <<var;name=address;match=.+>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+    "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under "
+    "the License.",
+    "bsd-2-clause": _BSD + _BSD_END,
+    "bsd-3-clause": _BSD + _BSD_3 + _BSD_END,
     "cc-by-nc-4.0": "<<beginOptional>>Licensed under<<endOptional>> <<beginOptional>>the<<endOptional>> CC BY-NC 4.0",
-    "gpl-3.0": "licensed under the GNU General Public License<<beginOptional>>,<<endOptional>> <<beginOptional>>either<<endOptional>> version 3",
+    "gpl-2.0-header": _header("General Public License", "2"),
+    "gpl-3.0": "licensed under <<beginOptional>>the terms of<<endOptional>> the GNU General Public License<<beginOptional>>,<<endOptional>> "
+    "<<beginOptional>>as published by the Free Software Foundation,<<endOptional>> <<beginOptional>>either<<endOptional>> version 3",
+    "gpl-3.0-header": _header("General Public License", "3"),
     "isc": "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, "
-    "provided that the above copyright notice and this permission notice appear in all copies.",
+    "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND <<var;name=author;match=.+>> DISCLAIMS ALL "
+    "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name=liable;match=.+>> BE LIABLE FOR ANY "
+    "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR "
+    "OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "lgpl-2.1-header": _header("Lesser General Public License", "2.1"),
+    "lgpl-3.0-header": _header("Lesser General Public License", "3"),
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
     "\"<<var;name=software;original=Software;match=.+>>\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, "
     "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
     "following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all "
-    "copies or substantial portions of the Software.",
+    "copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;name=liable;match=.*>> BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+    "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "mit-notice": "<<beginOptional>>Released under<<endOptional>> the MIT License",
+    **TEXTS,
 }
 VAR_WORDS = 20
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -97,6 +139,8 @@ class TokenAutomata:
                 raise ValueError(f"an optional part of {label} isn't closed")
             self.accepts[at] = label
             self.must[label] = max(runs, key=len)
+        self.runs = [f" {' '.join(m)} " for m in self.must.values()]
+        self.rarest = {max(m, key=len) for m in self.must.values() if m}
         self.known = {w for m in self.moves for w in m if w is not None}
         self.start = self._closure(starts)
         self._forget()
@@ -149,14 +193,14 @@ class TokenAutomata:
 
     def candidates(self, spaced: str) -> bool:
         """Whether a text, as words between blanks, has all of some template's longest fixed run."""
-        return any(" " + " ".join(m) + " " in spaced for m in self.must.values())
+        return any(run in spaced for run in self.runs)
 
 
 def scan(text: str | None, automata: TokenAutomata, phrases: dict[tuple[str, ...], str] = PHRASES) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one text."""
     text = text or ""
     low = text.translate(_LOWER) if not text.isascii() else text.lower()
-    if not any(p[-1] in low for p in phrases) and not any(m and max(m, key=len) in low for m in automata.must.values()):
+    if not any(p[-1] in low for p in phrases) and not any(w in low for w in automata.rarest):
         return count_words(text), 0, None, None, "", "", 0.0
     tokens = _WORD.findall(low)
     places, base = [], set()

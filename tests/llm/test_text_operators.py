@@ -201,6 +201,22 @@ def test_templates():
         TokenAutomata({"t": "a <<beginOptional>> b"})
 
 
+def test_whole_licences():
+    automata = TokenAutomata(TEMPLATES)
+    has = lambda t: automata.labels(words(t))
+    whole = {k: re.sub(r"<<var.*?>>", "some holder", t) for k, t in TEMPLATES.items()}
+    whole = {k: re.sub(r"<<.*?>>", "", t) for k, t in whole.items()}
+    for label, text in whole.items():  # a licence is known, and not taken for another one
+        got = has(text)
+        assert label in got and {re.sub("-(text|header|notice)$", "", x) for x in got} == {re.sub("-(text|header|notice)$", "", label)}, (label, got)
+    assert has(whole["bsd-3-clause"]) == {"bsd-3-clause"}
+    for label in ("mit", "isc", "bsd-2-clause", "bsd-3-clause"):
+        assert has(whole[label].replace("LIABLE", "ANSWERABLE")) == set()
+    notice = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    assert has(notice) == {"gpl-3.0-header"} and has(notice.replace("General", "Lesser General")) == {"lgpl-3.0-header"}
+    assert "gpl-3.0-text" not in has(whole["gpl-3.0-text"].replace("WITHOUT WARRANTY", "WITH WARRANTY"))
+
+
 def test_license_scan(documents):
     text = "MIT License; the mit-license, Apache LICENSE. GNU General Public\nLicense? mit licenses"
     assert scan(text, TokenAutomata(TEMPLATES)) == (13, 4, 0, 8, "apache,gpl,mit", "apache,gpl,mit,mit-notice", 1.0)
