@@ -2,9 +2,10 @@
 
 The gear hash of a position is the sum of a mixed value of each of the last 16 code points, each
 shifted by its distance (modulo 2**16), so it depends on those 16 alone; it is computed for a whole
-text by four doubling steps.  Where it falls under a bound, a chunk ends at the next word's start; a
-chunk never exceeds 255 code points.  Cuts depend only on nearby text, so an insertion moves chunks
-but changes none beyond its neighbours.
+text by four doubling steps.  Where it falls under a bound, a chunk ends at the next word's start, or
+where none follows within 32 code points (text without blanks), right there; a chunk never exceeds 255
+code points, and one that would is cut where the hash is least.  Cuts depend only on nearby text, so an
+insertion moves chunks but changes none beyond its neighbours.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from .common import Tables, small_enough
 
 LONGEST = 255
+#: How far after a hit of the hash a word's start is looked for.
+_NEAR = 32
+#: Hits so close to the one before make no cut of their own where there is no word start.
+_APART = 8
 _LAST = 2**63 - 1
 _BLANK = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D], dtype=np.uint32)
 
@@ -37,15 +42,19 @@ def cut_points(chars: np.ndarray, mean: int = 40) -> np.ndarray:
     starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     hits = np.flatnonzero(h < np.uint16(min(0xFFFF, 0x10000 // max(1, mean - 4))))
     at = np.searchsorted(starts, hits, side="right")
-    cuts = np.unique(np.concatenate(([0], starts[at[at < len(starts)]], [n])))
+    after = np.append(starts, n + _NEAR + 1)[at]
+    near = after - hits <= _NEAR
+    first = np.diff(hits, prepend=-_APART - 1) > _APART  # of a run of one code point that hits, not each
+    cuts = np.unique(np.concatenate(([0], after[near], hits[~near & first] + 1, [n])))
     wide = np.flatnonzero(np.diff(cuts) > LONGEST)
     if len(wide):
         more = []
         for k in wide:
             lo, hi = int(cuts[k]), int(cuts[k + 1])
             while hi - lo > LONGEST:
-                j = np.searchsorted(starts, lo + LONGEST, side="right") - 1
-                lo = int(starts[j]) if j >= 0 and starts[j] > lo else lo + LONGEST
+                a, b = np.searchsorted(starts, (lo + LONGEST // 4, lo + LONGEST), side="right")
+                may = starts[a:b] if b > a else np.arange(lo + LONGEST // 4 + 1, lo + LONGEST + 1)
+                lo = int(may[h[may - 1].argmin()])
                 more.append(lo)
         cuts = np.unique(np.concatenate((cuts, more)))
     return cuts

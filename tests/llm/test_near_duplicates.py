@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -103,6 +104,19 @@ def test_chunks_resist_shifts(prose):
     assert max(map(len, chunks("x" * 5000))) <= 255 and chunks("") == []
 
 
+def test_chunks_of_text_without_blanks_resist_shifts(documents):
+    r = random.Random(5)
+    make = lambda n: "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(n))
+    chunks = lambda t: [t[a:b] for a, b in zip(c, c[1:])] if (c := cut_points(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)).tolist()) else []
+    text = make(5000)
+    assert "".join(chunks(text)) == text and max(map(len, chunks(text))) <= 255
+    assert len(set(chunks(text)) - set(chunks(text[:500] + "\u4e01" + text[500:]))) <= 3
+    assert all(len(chunks(c * 5000)) <= 100 for c in map(chr, range(0x21, 0x2000)))
+    passages = [make(300) for _ in range(20)]
+    rows = [(k, make(40 + k) + p + make(77)) for k, p in enumerate(passages)] + [(100 + k, make(131 + 3 * k) + p + make(50)) for k, p in enumerate(passages)]
+    assert len({s.doc_id for s in repeated_spans(documents(rows)).collect()}) >= 19
+
+
 def test_repeated_passages_are_found_and_cut(documents, prose):
     passages = [prose(1000 + k, 55) for k in range(20)]
     rows = [(i, prose(i, 150) + "\n" + passages[i % 20] + "\n" + prose(500 + i, 150)) for i in range(60)]
