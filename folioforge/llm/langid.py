@@ -24,6 +24,8 @@ _DIM = 4096
 _LETTER = regex.compile(r"\p{L}")
 #: Upper bounds of the length classes (distinct n-grams) that have a radius of their own.
 _LENGTHS = (8, 16, 32, 64, 128, 256, 1 << 30)
+#: A length inside each class, to which cosines of longer texts are scaled.
+_MIDDLE = (6, 11, 23, 45, 91, 181, 256)
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +100,15 @@ def _clusters(idf: np.ndarray, clusters: int, rounds: int, slack: float):
         kind = np.searchsorted(_LENGTHS, size)
         radius = np.zeros((len(centers), len(_LENGTHS)), dtype=np.float32)
         for c in range(len(_LENGTHS)):
-            seen = best[kind == c]
-            radius[:, c] = slack * seen.min() if len(seen) >= 20 else 0.0
+            # Texts of the nearest classes stand in where a class has few: a cosine grows with the root of the length.
+            away = np.abs(kind - c)
+            reach = np.flatnonzero(np.cumsum(np.bincount(away, minlength=len(_LENGTHS))) >= 20)
+            if not len(reach):
+                radius[:, c] = np.nan
+                continue
+            use = away <= reach[0]
+            scale = np.where(kind > c, np.sqrt(np.minimum(1, _MIDDLE[c] / np.maximum(1, size))), 1)
+            radius[:, c] = slack * (best * scale)[use].min()
         return pd.DataFrame({"lang": sample["lang"].iloc[0], "center": [v.tobytes() for v in centers], "radius": [r.tobytes() for r in radius]})
 
     return fit
@@ -112,7 +121,9 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600, languages: int
     the ``per_language`` distinct texts whose MD5 comes first (all, if it has fewer), of at most
     ``languages`` languages by number of rows; so a fit holds per_language vectors, and the driver languages * clusters centroids.  A
     centroid's radius at a length class is ``slack`` times the least cosine that the sample's texts of
-    that class have with their centroids (no rejection where a class has under 20 texts).
+    that class have with their centroids.  A class with under 20 texts takes in those of the nearest
+    classes, longer ones scaled down by the root of the length; a language with under 20 texts in all
+    takes the least radius of the other languages (no rejection if all are so small).
     """
     tables = Tables(docs.sparkSession, "langid")
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), learn.alias("learn")).where("learn and text is not null and lang is not null").select("text", "lang")
@@ -149,7 +160,10 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600, languages: int
     fitted = picked.select("lang", "text", "place").groupBy("lang").applyInPandas(_clusters(idf, clusters, rounds, slack), "lang string, center binary, radius binary")
     got = fitted.orderBy("lang", "center").collect()
     tables.clear("texts", "sample")
-    return Model([r["lang"] for r in got], np.stack([np.frombuffer(r["center"], np.float32) for r in got]), np.stack([np.frombuffer(r["radius"], np.float32) for r in got]), idf)
+    radius = np.stack([np.frombuffer(r["radius"], np.float32) for r in got])
+    least = np.nanmin(np.vstack([radius, np.where(np.isnan(radius).all(axis=0), 0, np.inf)[None]]), axis=0)
+    radius = np.where(np.isnan(radius), least, radius).astype(np.float32)
+    return Model([r["lang"] for r in got], np.stack([np.frombuffer(r["center"], np.float32) for r in got]), radius, idf)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -117,6 +117,18 @@ def test_language_of_copies_is_learned(documents, prose):
     assert set(model.langs) == {"en", "ru"} and model.predict(text)[0] == "ru"
 
 
+def test_short_foreign_texts_are_rejected(documents):
+    syllables = {"en": "the and ing tion er on".split(), "fr": "eau le oi ment qu e".split()}
+    r = random.Random(3)
+    text = lambda lang, n: " ".join("".join(r.choice(syllables[lang]) for _ in range(r.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(lang, 60), lang) for i, lang in enumerate(["en", "fr"] * 60)] + [(900 + i, text("en", 60), "few") for i in range(5)]
+    model = fit(documents(rows), F.lit(True))
+    assert "few" in model.langs and (model.radius > 0).all()
+    for foreign in ("\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440", "\u4f60\u597d\u4e16\u754c"):
+        assert model.predict(foreign)[2]
+    assert not any(model.predict(text(lang, 3))[2] for lang in syllables for _ in range(50))
+
+
 def test_line_frequency(documents, prose):
     common = "This line stands in very many documents of one host"
     rows = [(i, prose(i, 70) + "\n" + common.upper() + "  \n" + prose(i + 900, 10), "en", "h1" if i % 3 else None) for i in range(90)]
