@@ -39,11 +39,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies (5-word shingles, similarity 0.8) the smallest doc_id."""
+    """Keeps of each group of near copies (5-word shingles, similarity 0.8) the smallest doc_id; of several
+    rows with that doc_id, or of a group without one, the one with the least text tag, of equal texts one."""
     ship_package(spark)
-    found = near_duplicates(docs, width=5, percent=80)
-    gone = _table(spark, found.where(~F.col("kept")).select(F.col("doc_id").alias("__ff_id"), F.col("text_tag").alias("__ff_tag")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__ff_id"]) & (F.crc32(text_or_empty().cast("binary")) == gone["__ff_tag"]), "left_anti")
+    found = Tables(spark, "stage").put("found", near_duplicates(docs, width=5, percent=80))
+    kept = found.where("kept and __label is not null")
+    tied = kept.groupBy("__label").agg(F.min("text_tag").alias("least"), F.max("text_tag").alias("most")).where("least <> most")
+    kept = kept.join(tied, "__label", "left")
+    later, stay = kept.where("text_tag <> least"), kept.where("text_tag = coalesce(least, text_tag)")
+    gone = _table(spark, found.where(~F.col("kept")).select("doc_id", "text_tag").union(later.select("doc_id", "text_tag")).distinct().toDF("__ff_id", "__ff_tag"))
+    same = lambda side: docs["doc_id"].eqNullSafe(side["__ff_id"]) & (F.crc32(text_or_empty().cast("binary")) == side["__ff_tag"])
+    copies = _table(spark, stay.groupBy("doc_id", "text_tag").count().where("count > 1").select(F.col("doc_id").alias("__ff_id"), F.col("text_tag").alias("__ff_tag")))
+    one = docs.join(copies, same(copies)).groupBy("__ff_id", "text").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return docs.join(gone, same(gone), "left_anti").join(copies, same(copies), "left_anti").union(one)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

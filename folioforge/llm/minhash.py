@@ -204,11 +204,11 @@ def _links_across(slots: np.ndarray, radius: int, percent: int):
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, symbols: int = 64, parts: int | None = None, block: int = 2000, block_shingles: int = 2_000_000, broadcast_rows: int = 500_000
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, text_tag) for every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, text_tag, __label) for every row of ``docs`` (doc_id, text).
 
     Rows are linked if 100 * |intersection| >= percent * |union| of their shingle sets.
     component_id is the smallest doc_id that a row reaches over links, itself included; kept is
-    doc_id = component_id.
+    doc_id = component_id.  __label tells components apart whose component_id is null (null without words).
 
     Defined cases: a text that is null, empty or without words has the empty set and is linked with
     nothing, so it is its own component.  A null doc_id counts as the largest; a component of such rows
@@ -270,9 +270,9 @@ def near_duplicates(
         labels = tables.put("labels", connected_components(links.union(more), tables))
     named = classes.join(labels, classes["cls"] == labels["node"], "left").select("cls", "least", own_label)
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = tables.put("named", named.join(least, "label").select("cls", "component_id"))
-    out = feats.where("cls is not null").select("doc_id", "n_shingles", "cls", "text_tag").join(named, "cls").select("doc_id", "n_shingles", F.when(F.col("component_id") < 2**63 - 1, F.col("component_id")).alias("component_id"), "text_tag")
-    out = out.union(feats.where("cls is null").select("doc_id", "n_shingles", "doc_id", "text_tag"))
-    out = out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_tag")
+    named = tables.put("named", named.join(least, "label").select("cls", "component_id", "label"))
+    out = feats.where("cls is not null").select("doc_id", "n_shingles", "cls", "text_tag").join(named, "cls").select("doc_id", "n_shingles", F.when(F.col("component_id") < 2**63 - 1, F.col("component_id")).alias("component_id"), "text_tag", F.col("label").alias("__label"))
+    out = out.union(feats.where("cls is null").select("doc_id", "n_shingles", "doc_id", "text_tag", F.lit(None).cast("long")))
+    out = out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_tag", "__label")
     tables.clear("classes", "links", "labels", "cc", "more")
     return out

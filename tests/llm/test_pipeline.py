@@ -30,6 +30,15 @@ def test_stages_and_whole_run(spark, documents, prose, tmp_path):
     assert collections.Counter(map(tuple, got)) == collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in seen["byte_level_bpe"])
 
 
+def test_one_row_stays_of_each_group(spark, documents, prose):
+    a, b, c = prose(1, 150), prose(2, 150), prose(3, 150)
+    rows = [(None, a), (None, a), (None, a + " tail"), (7, b), (7, b + " tail"), (7, b), (8, b), (9, c, "en", "x"), (9, c, "en", "y"), (10, prose(4, 90)), (None, prose(5, 90)), (None, None), (None, "")]
+    left = corpus_pipeline.minhash_near_dedup(spark, documents(rows).drop("size", "key", "label"), "").collect()
+    texts = [r.text or "" for r in left]
+    assert [sum(t.startswith(x) for t in texts) for x in (a, b, c)] == [1, 1, 1]
+    assert sorted(str(r.doc_id) for r in left) == sorted(map(str, [None, 7, 9, 10, None, None, None]))
+
+
 def test_queries_are_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
