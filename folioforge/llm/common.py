@@ -20,10 +20,12 @@ _own: list[str] = []
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``; where that is
-    unset (tests on one machine) a temporary folder of this process."""
+    unset (tests on one machine) a temporary folder of this process; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share with the driver")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="folioforge-"))
         atexit.register(remove, spark, _own[0])
@@ -62,18 +64,32 @@ class Tables:
     A written table cuts the lineage: a lost executor costs its running tasks, never an earlier
     stage.  ``clear()`` deletes the tables that no returned DataFrame reads; the others go when the
     driver exits.
+
+    Files are few: while a table is written, AQE merges small shuffle partitions up to the advisory
+    size, not just up to one a core, and where the number of rows is known (``rows``), tasks are
+    merged to ``ROWS_A_FILE`` each.  On a local file system Hadoop starts a process for each file.
     """
 
+    ROWS_A_FILE = 200_000
+
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.paths, self.count = spark, {}, 0
         self.root = f"{shared_folder(spark)}/folioforge/{what}-{uuid.uuid4().hex}"
         atexit.register(remove, spark, self.root)
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
+    def put(self, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         self.paths.setdefault(name, []).append(path)
-        df.write.option("compression", "zstd").parquet(path)
+        if rows is not None:
+            df = df.coalesce(1 + rows // self.ROWS_A_FILE)
+        key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "false")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self, *names: str) -> None:

@@ -25,13 +25,14 @@ def _toward_least(links: DataFrame, larger: bool) -> DataFrame:
 def connected_components(links: DataFrame, tables: Tables) -> DataFrame:
     """(node, label) for every node of ``links`` (columns a, b: long), label the least node that it
     reaches.  Alternates large-star and small-star steps (Kiveris et al., 2014) until the links no
-    longer change; only two numbers a round reach the driver."""
+    longer change; only two numbers a round reach the driver.  A round's table has one file for so
+    many links as ``Tables`` puts into one (a round never makes more links than it got)."""
     now = tables.put("cc", links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
     before = mark(now)
     while before[0]:
         old = list(tables.paths["cc"])
-        now = tables.put("cc", _toward_least(_toward_least(now, True), False))
+        now = tables.put("cc", _toward_least(_toward_least(now, True), False), before[0])
         after = mark(now)
         tables.paths["cc"], keep = old, tables.paths["cc"][-1:]
         tables.clear("cc")

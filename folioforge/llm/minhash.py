@@ -213,8 +213,11 @@ def near_duplicates(
     Defined cases: a text that is null, empty or without words has the empty set and is linked with
     nothing, so it is its own component.  A null doc_id counts as the largest; a component of such rows
     alone has a null component_id and its rows are kept.  Rows that repeat a doc_id are told apart by
-    their texts (text_tag is the text's CRC-32); equal rows are one document and share its verdict.  An empty table gives no rows; other columns are
-    ignored.  Memory: a task holds a batch of texts, or two blocks of signatures.
+    their texts (text_tag is the text's CRC-32); equal rows are one document and share its verdict.  An
+    empty table gives no rows; other columns are ignored.  Sets are compared by hashes of their
+    shingles: 64 bits for classes and for pairs with a bucket's least member, the upper 48 of them for
+    pairs across components, so that one of a thousand shingles counts falsely in about one pair of
+    10**8.  Memory: a task holds a batch of texts, or two blocks of signatures.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "minhash")
@@ -233,9 +236,9 @@ def near_duplicates(
     side = lambda end: classes.select(F.col("cls").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("n").alias(f"n_{end}"), F.col("least").alias(f"least_{end}"))
     sized = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
-    def sets_of(wanted: DataFrame, packed: bool) -> DataFrame:
-        """(cls, members) of classes (cls, least), from the texts that they come from."""
-        wanted = tables.put("wanted", wanted.distinct())
+    def sets_of(wanted: DataFrame, rows: int, packed: bool) -> DataFrame:
+        """(cls, members) of at most ``rows`` classes (cls, least), from the texts that they come from."""
+        wanted = tables.put("wanted", wanted.distinct(), rows)
         by = F.broadcast(wanted) if small_enough(wanted, broadcast_rows) else wanted
         texts = docs.join(by, F.coalesce(docs["doc_id"], F.lit(2**63 - 1)) == by["least"]).select("cls", "text")
         return tables.put("sets", texts.mapInArrow(_sets(width, packed), f"cls long, members {'binary' if packed else 'array<long>'}").dropDuplicates(["cls"]))
@@ -245,12 +248,12 @@ def near_duplicates(
     first = members.where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct()
     first = first.join(side("a"), "a").join(side("b"), "b").where(sized).where(unequal(words("sig_a"), words("sig_b")) <= radius)
     first = tables.put("first", first.select("a", "b", "least_a", "least_b"))
-    sets = sets_of(first.select(F.col("a").alias("cls"), F.col("least_a").alias("least")).union(first.select("b", "least_b")), False)
+    sets = sets_of(first.select(F.col("a").alias("cls"), F.col("least_a").alias("least")).union(first.select("b", "least_b")), 2 * first.count(), False)
     both = first.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("members").alias("in_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("in_b")), "b")
     both = both.select("a", "b", (F.size("in_a") + F.size("in_b")).alias("total"), F.size(F.array_intersect("in_a", "in_b")).alias("inter"))
     links = tables.put("links", both.where(f"100L * inter >= {percent}L * (total - inter)").select("a", "b"))
     tables.clear("wanted", "sets", "first")
-    labels = tables.put("labels", connected_components(links, tables))
+    labels = tables.put("labels", connected_components(links, tables), 2 * links.count())
 
     own_label = F.coalesce("label", "cls").alias("label")
     labelled = members.select("key", "slot", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("key", "slot", "cls", own_label)
@@ -258,7 +261,7 @@ def near_duplicates(
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight")).where("lo <> hi")
     blocks = F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("weight") / block_shingles)).cast("int").alias("blocks")
     rest = tables.put("rest", labelled.join(open_keys.select("key", blocks), "key"))
-    sets = sets_of(rest.select("cls", "least"), True)
+    sets = sets_of(rest.select("cls", "least"), rest.count(), True)
     rest = rest.join(classes.select("cls", "sig"), "cls").join(sets, "cls").withColumn("block", F.pmod(F.hash("cls"), "blocks"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", "slot", "cls", "label", "sig", "members", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -267,7 +270,7 @@ def near_duplicates(
     tables.clear("members", "rest", "wanted", "sets")
 
     if more.limit(1).count():
-        labels = tables.put("labels", connected_components(links.union(more), tables))
+        labels = tables.put("labels", connected_components(links.union(more), tables), 2 * (links.count() + more.count()))
     named = classes.join(labels, classes["cls"] == labels["node"], "left").select("cls", "least", own_label)
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = tables.put("named", named.join(least, "label").select("cls", "component_id", "label"))
