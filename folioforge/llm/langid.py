@@ -114,12 +114,12 @@ def _clusters(idf: np.ndarray, clusters: int, rounds: int, slack: float):
     return fit
 
 
-def fit(docs: DataFrame, learn: Column, per_language: int = 600, languages: int = 256, clusters: int = 4, rounds: int = 12, slack: float = 0.7) -> Model:
+def fit(docs: DataFrame, learn: Column, per_language: int = 600, clusters: int = 4, rounds: int = 12, slack: float = 0.7) -> Model:
     """Learns from rows of ``docs`` (doc_id, text, lang) where ``learn`` holds.
 
     Document frequencies count all such rows.  Clusters are fitted on a bounded sample: of each language
-    the ``per_language`` distinct texts whose MD5 comes first (all, if it has fewer), of at most
-    ``languages`` languages by number of rows; so a fit holds per_language vectors, and the driver languages * clusters centroids.  A
+    the ``per_language`` distinct texts whose MD5 comes first (all, if it has fewer); so a fit holds
+    per_language vectors, and the driver ``clusters`` centroids a language, of which none is left out.  A
     centroid's radius at a length class is ``slack`` times the least cosine that the sample's texts of
     that class have with their centroids.  A class with under 20 texts takes in those of the nearest
     classes, longer ones scaled down by the root of the length; a language with under 20 texts in all
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600, languages: int
     h = F.xxhash64("text").alias("h")
     place = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("place")
     texts = tables.put("texts", lettered.groupBy("lang", h, place).count())  # copies are combined before the shuffle
-    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum("count").alias("rows")).orderBy(F.desc("rows"), "lang").limit(languages)
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
     sizes = {r["lang"]: r["texts"] for r in sizes.collect()}
     if not sizes:
         tables.clear("texts")
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600, languages: int
         below |= {lang: min(1 << 60, max(1, 2 * below[lang])) for lang in few}
     sample = texts.where(F.col("place") <= bound).select("lang", "place", "h")
     sample = sample.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("place", "h"))).where(F.col("k") <= per_language)
-    sample = tables.put("sample", sample.select(F.col("lang").alias("__l"), "h"))  # per_language * languages rows at most
+    sample = tables.put("sample", sample.select(F.col("lang").alias("__l"), "h"))  # per_language rows a language at most
     low = lettered.where(F.col("lang").isin(list(sizes))).where(place <= bound)
     picked = low.select("lang", "text", place).join(F.broadcast(sample), (F.xxhash64("text") == F.col("h")) & (F.col("lang") == F.col("__l"))).dropDuplicates(["lang", "h"])
     fitted = picked.select("lang", "text", "place").groupBy("lang").applyInPandas(_clusters(idf, clusters, rounds, slack), "lang string, center binary, radius binary")

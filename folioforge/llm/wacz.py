@@ -267,11 +267,13 @@ def write_archives(pages: DataFrame, tables: Tables, roll: int = 64 << 20, date:
     return folder, tables.put("made", made)
 
 
-def read_archives(folder: str, packages: DataFrame, payloads: bool = False) -> DataFrame:
+def read_archives(folder: str, packages: DataFrame, payloads: bool = False, most_tasks: int = 50_000) -> DataFrame:
     """The records of listed packages: (page_id, payload_bytes, payload_digest, record_type, refers_to,
-    target_uri[, payload]).  A package is one task's unit; its records are read by range."""
+    target_uri[, payload]).  A task reads one package (several beyond ``most_tasks``), its records by
+    range; the packages are counted and dealt by ranges of their names, which AQE doesn't merge."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string" + ", payload binary" * payloads
-    return packages.repartition(F.col("package")).mapInArrow(_read_packages(folder, payloads), schema)
+    tasks = max(1, min(packages.count(), most_tasks))
+    return packages.repartitionByRange(tasks, F.col("package")).mapInArrow(_read_packages(folder, payloads), schema)
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:

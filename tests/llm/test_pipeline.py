@@ -39,6 +39,16 @@ def test_one_row_stays_of_each_group(spark, documents, prose):
     assert sorted(str(r.doc_id) for r in left) == sorted(map(str, [None, 7, 9, 10, None, None, None]))
 
 
+def test_stages_with_equal_rows_and_none(spark, documents):
+    rows = [(7, "one two three", "en", "a")] * 30 + [(8, "w " * 60, "en", "b"), (None, "", "en", "b"), (None, "", "en", "b"), (None, None, None, None)]
+    docs = documents(rows)
+    taken = corpus_pipeline.mix_to_weights(spark, docs, "").collect()
+    words = lambda s: sum(len((r.text or "").split()) for r in taken if r.source == s)
+    assert abs(words("a") - 50) <= 2 and abs(words("b") - 100) <= 30
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, documents([]), "").count() == 0
+
+
 def test_queries_are_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()

@@ -83,6 +83,16 @@ def test_long_documents_do_not_end_the_mix(documents, prose):
             assert abs(sum(r.taken for r in mine) - mine[0].target) <= least / 2, (seed, side)
 
 
+def test_repeated_rows_of_a_mix(documents):
+    """100 equal rows beside a small source: the target is met to the row, not by all copies or none."""
+    rows = [(7, "one two three", "en", "a")] * 100 + [(None, "four five", "en", "a")] * 50 + [(8, "w " * 60, "en", "b")]
+    for fill in (True, False):
+        got = mix_sources(documents(rows), fill=fill).collect()
+        a = [r for r in got if r.doc_id != 8]
+        assert len(got) == 151 and abs(sum(r.taken for r in a) - a[0].target) <= 3, fill
+        assert sorted(r["__copy"] for r in got if r.doc_id == 7) == list(range(1, 101))
+
+
 def test_water_fill_with_everything_clamped(spark):
     df = spark.createDataFrame([("a", 10, 1.0), ("b", 10, 5.0)], "source string, size long, weight double")
     assert {r.target for r in water_fill(df, 100.0, 1.0)[0].collect()} == {10.0}

@@ -107,3 +107,5 @@ def test_packages_roll_and_payloads_come_back(spark):
     folder, made = write_archives(pages(spark, rows), Tables(spark, "t"), roll=5000, zip64=True)
     assert made.count() > 6 and made.agg(F.sum("records")).first()[0] == 100
     assert {(r.page_id, bytes(r.payload).decode()) for r in read_archives(folder, made, True).collect()} == {(r[0], r[2]) for r in rows}
+    assert read_archives(folder, made).rdd.getNumPartitions() == made.count()  # a task a package
+    assert read_archives(folder, made, most_tasks=3).rdd.getNumPartitions() == 3
