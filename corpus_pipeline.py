@@ -9,7 +9,7 @@ stage's docs.  All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.bpe import encode_and_decode
@@ -61,13 +61,23 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it: 0 to 3 rows."""
+    """Repeats each document as often as the mix takes it: 0 to 3 rows.  Rows equal in doc_id and text are
+    taken alike, or where some of them are taken once more, in the order of their other columns."""
     ship_package(spark)
-    mixed = _table(spark, mix_sources(docs).where("repeats > 0").select(F.col("doc_id").alias("__ff_id"), F.col("__row").alias("__ff_row"), F.col("repeats").alias("__ff_repeats")).distinct())
+    mixed = mix_sources(docs).select(F.col("doc_id").alias("__ff_id"), F.col("__row").alias("__ff_row"), F.col("__copy").alias("__ff_copy"), F.col("repeats").alias("__ff_repeats"))
+    mixed = Tables(spark, "stage").put("mixed", mixed)
+    keys = mixed.groupBy("__ff_id", "__ff_row").agg(F.min("__ff_repeats").alias("least"), F.max("__ff_repeats").alias("most")).where("most > 0")
+    alike = _table(spark, keys.where("least = most").select("__ff_id", "__ff_row", F.col("most").alias("__ff_repeats")))
+    unlike = _table(spark, keys.where("least < most").select("__ff_id", "__ff_row"))
     named = F.concat_ws(":", F.lit("17"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_or_empty())
     row = F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
-    out = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["__ff_id"]) & (row == mixed["__ff_row"]))
-    return out.withColumn("__ff_copy", F.explode(F.sequence(F.lit(1), F.col("__ff_repeats").cast("int")))).select(*docs.columns)
+    same = lambda side: docs["doc_id"].eqNullSafe(side["__ff_id"]) & (row == side["__ff_row"])
+    copy = F.row_number().over(Window.partitionBy("__ff_id", "__ff_row").orderBy(*docs.columns)).alias("__ff_copy")
+    counted = docs.join(unlike, same(unlike)).select(*docs.columns, F.col("__ff_id").alias("__id"), F.col("__ff_row").alias("__row"), copy)
+    one = mixed.where("__ff_repeats > 0")
+    counted = counted.join(one, counted["__id"].eqNullSafe(one["__ff_id"]) & (counted["__row"] == one["__ff_row"]) & (counted["__ff_copy"] == one["__ff_copy"]))
+    out = docs.join(alike, same(alike)).select(*docs.columns, "__ff_repeats").union(counted.select(*docs.columns, "__ff_repeats"))
+    return out.withColumn("__ff_time", F.explode(F.sequence(F.lit(1), F.col("__ff_repeats").cast("int")))).select(*docs.columns)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
