@@ -143,19 +143,23 @@ def mask_secret(c: Column) -> Column:
     return F.when(n <= 4, F.repeat(F.lit("*"), n)).otherwise(F.concat(F.left(c, F.lit(2)), F.repeat(F.lit("*"), n - 4), F.right(c, F.lit(2))))
 
 
-#: Shapes of credentials in log lines; the first group stays.
+#: Names whose values are credentials in URLs, and other shapes of them; the first group stays.
 SECRET_SHAPES = [
-    r"(?i)((?:api[_-]?key|apikey|servicekey|auth_?key|access_?token|token|secret|password|passwd|pwd)\s*[=:]\s*)[^\s&\"',;]+",
-    r"(?i)(authorization\s*[:=]\s*(?:bearer|basic|token)?\s*)[A-Za-z0-9._~+/=-]+",
-    r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+",
+    r"""(?i)(api[_-]?key=|serviceKey=|access_token=|&key=|token=|OC=)[^&\s"']+""",
+    r"(?i)(Bearer\s+)\S+",
+    r"""(?i)((?:api[_-]?key|servicekey|auth_?key|access_?token|token|secret|password|passwd|pwd)\s*[=:]\s*)[^\s&"',;*]+""",
+    r"(?i)(authorization\s*[:=]\s*(?:basic|token)?\s*)(?!bearer)[A-Za-z0-9._~+/=-]+",
     r"(https?://[^/\s:@]+:)[^@\s/]+(?=@)",
 ]
 
 
-def mask_secrets(c: Column) -> Column:
-    """Values that look like credentials replaced by ***, keys kept."""
+def mask_secrets(c: Column, known: list[str] = ()) -> Column:
+    """Values that look like credentials replaced by ***, keys kept; ``known`` values (of six characters
+    or more) wherever they stand."""
     for shape in SECRET_SHAPES:
         c = F.regexp_replace(c, shape, "$1***")
+    for value in sorted({v.strip() for v in known if len(v.strip()) >= 6}, key=len, reverse=True):
+        c = F.replace(c, F.lit(value), F.lit("***"))
     return c
 
 
@@ -176,11 +180,22 @@ def filename_part(c: Column) -> Column:
     return F.regexp_replace(c, "^[._-]+|[._-]+$", "")
 
 
-def build_filename(day: Column, source: Column, title: Column, extension: str = ".pdf", longest: int = 80, suffix: Column | None = None) -> Column:
-    """yyMMdd_SOURCE_title[__suffix].ext with at most ``longest`` characters of the title."""
-    name = F.regexp_replace(F.left(filename_part(title), F.lit(longest)), "[._-]+$", "")
-    stem = F.concat_ws("_", F.date_format(day, "yyMMdd"), F.upper(filename_part(source)), F.when(name == "", "untitled").otherwise(name))
-    return F.concat(stem, F.lit("") if suffix is None else F.concat(F.lit("__"), suffix), F.lit(extension))
+#: Names that a file system reserves, the title's share of a file name and its longest length.
+RESERVED_NAMES = ["CON", "PRN", "AUX", "NUL", *(f"{n}{i}" for n in ("COM", "LPT") for i in range(1, 10))]
+TITLE_CHARS, NAME_CHARS, UNTITLED, NO_SOURCE = 80, 160, "무제", "UNKNOWN"
+
+
+def build_filename(day: Column, source: Column, title: Column, extension: str = ".pdf", longest: int = TITLE_CHARS, suffix: Column | None = None, whole: int = NAME_CHARS) -> Column:
+    """yyMMdd_SOURCE_title[__suffix].ext: at most ``longest`` characters of the title, reserved names with
+    ``_`` before them; of a name over ``whole`` characters the title is cut, to 8 at least."""
+    name = F.left(filename_part(title), F.lit(longest))
+    name = F.when(name == "", UNTITLED).when(F.upper(name).isin(RESERVED_NAMES), F.concat(F.lit("_"), name)).otherwise(name)
+    origin = F.upper(filename_part(source))
+    head = F.concat(F.date_format(day, "yyMMdd"), F.lit("_"), F.when(origin == "", NO_SOURCE).otherwise(origin), F.lit("_"))
+    tail = F.lit("") if suffix is None else F.when(text_of(suffix) == "", "").otherwise(F.concat(F.lit("__"), suffix))
+    over = F.length(head) + F.length(name) + F.length(tail) + len(extension) - whole
+    name = F.when(over > 0, F.left(name, F.greatest(F.lit(8), F.length(name) - over))).otherwise(name)
+    return F.concat(head, name, tail, F.lit(extension))
 
 
 def authors_from_string(c: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, title_tokens
+from ..functions.text import first_filled, jaccard, normalize_title, title_tokens
+from .store import source_map
 
 FUZZY = 0.85
 
@@ -24,17 +25,38 @@ def latest_per_key(df: DataFrame, keys: list[str], when: str, tie: str) -> DataF
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def version_fold(df: DataFrame, key: str, modified: str, order: str) -> DataFrame:
+def version_fold(df: DataFrame, key: str, modified: str, order: str, slices: int = 64) -> DataFrame:
     """verdict of each row of a key in arrival order: the first is NEW; a later one is NEW_VERSION if it
     was modified after all before it and the first has a date, else DUPLICATE.  base is the row that it
-    is compared with: the last accepted one."""
-    w = Window.partitionBy(key).orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumns({"__first": F.first(modified).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__most": F.max(modified).over(before), "__n": F.row_number().over(w)})
-    verdict = F.when(F.col("__n") == 1, "NEW").when(F.col("__first").isNotNull() & (F.col(modified) > F.col("__most")), "NEW_VERSION").otherwise("DUPLICATE")
-    df = df.withColumn("verdict", verdict)
-    base = F.last(F.when(F.col("verdict") != "DUPLICATE", F.col(order)), ignorenulls=True).over(before)
-    return df.withColumn("base", base).drop("__first", "__most", "__n")
+    is compared with: the last accepted one.
+
+    A key that holds a third of all rows is spread: ``order`` is cut into ``slices`` ranges at approximate
+    quantiles (that many numbers to the driver); a slice starts with what the slices of its key before it
+    hand over (a row a key and slice), so a task orders one slice of a key."""
+    bounds = df.select(F.percentile_approx(order, [i / slices for i in range(1, slices)], 20 * slices).alias("q")).first()["q"] or []
+    at = F.lit(0)
+    for b in sorted(set(bounds)):
+        at = at + (F.col(order) > F.lit(b)).cast("int")
+    df = df.withColumn("__at", at)
+    over = Window.partitionBy(key).orderBy("__at")
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+
+    def handed(rows: DataFrame, facts: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
+        """``rows`` with what the earlier slices of their key hand over."""
+        parts = rows.groupBy(key, "__at").agg(*[v.alias(n) for n, v in facts.items()]).withColumns(carried)
+        parts = parts.select(F.col(key).alias("__k"), F.col("__at").alias("__s"), *carried)
+        return rows.join(parts, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__at") == F.col("__s")), "left").drop("__k", "__s")
+
+    df = handed(df, {"__max": F.max(modified), "__head": F.min_by(F.struct(F.col(modified).alias("m")), order)}, {"__most": F.max("__max").over(before), "__start": F.first("__head").over(over.rowsBetween(Window.unboundedPreceding, 0)), "__earlier": F.count(F.lit(1)).over(before)})
+    w = Window.partitionBy(key, "__at").orderBy(order)
+    prior = w.rowsBetween(Window.unboundedPreceding, -1)
+    most = F.greatest(F.col("__most"), F.max(modified).over(prior))
+    first = (F.col("__earlier") == 0) & (F.row_number().over(w) == 1)
+    df = df.withColumn("verdict", F.when(first, "NEW").when(F.col("__start.m").isNotNull() & (F.col(modified) > most), "NEW_VERSION").otherwise("DUPLICATE"))
+    accepted = F.when(F.col("verdict") != "DUPLICATE", F.col(order))
+    df = handed(df, {"__last": F.max(accepted)}, {"__base": F.max("__last").over(before)})
+    base = F.coalesce(F.max(accepted).over(prior), F.col("__base"))
+    return df.withColumn("base", base).drop("__at", "__most", "__start", "__earlier", "__base")
 
 
 def fuzzy_pairs(df: DataFrame, identity: str, title: str, block: int = 12, threshold: float = FUZZY, author: str | None = None) -> DataFrame:
@@ -54,14 +76,16 @@ def fuzzy_pairs(df: DataFrame, identity: str, title: str, block: int = 12, thres
     return met.select(F.least("li", "ri").alias("left_id"), F.greatest("li", "ri").alias("right_id"), "s").withColumnRenamed("s", "similarity")
 
 
-def tiered_match(incoming: DataFrame, stored: DataFrame, tiers: list[tuple[str, list[str]]], identity: str = "resource_id", seen: str = "last_seen_at") -> DataFrame:
+def tiered_match(incoming: DataFrame, stored: DataFrame, tiers: list[tuple[str, list[str]]], identity: str = "resource_id", seen: str = "last_seen_at", itself: bool = False) -> DataFrame:
     """``incoming`` with match_id and matched_by from the first tier (name, key columns) whose keys, all
-    filled, are stored; a row never matches itself.  Later tiers only join what is still unmatched by
+    filled, are stored; a row never matches itself, unless ``itself``.  Later tiers only join what is still unmatched by
     a coalesce, one left join to one row a key each."""
     out = incoming.withColumns({"match_id": F.lit(None).cast("string"), "matched_by": F.lit(None).cast("string")})
     for name, keys in tiers:
         side = latest_per_key(stored, keys, seen, identity).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(identity).alias("__id"))
-        on: Column = F.col("match_id").isNull() & (F.col("__id") != F.col(identity))
+        on: Column = F.col("match_id").isNull()
+        if not itself:
+            on = on & (F.col("__id") != F.col(identity))
         for k in keys:
             on = on & (F.col(k) == F.col(f"__{k}"))
         out = out.join(side, on, "left").withColumns({"matched_by": F.coalesce("matched_by", F.when(F.col("__id").isNotNull(), name)), "match_id": F.coalesce("match_id", "__id")})
@@ -81,3 +105,79 @@ def resolve_arrivals(df: DataFrame, order: str = "seq", modified: str = "source_
     )
     df = df.withColumn("__key", F.coalesce(key, F.concat(F.lit("row:"), F.col(order).cast("string"))))
     return version_fold(df, "__key", modified, order).drop("__key")
+
+
+#: Fixed value: so many characters of an incoming title are looked for in stored ones.
+PREFIX = 12
+
+
+def fuzzy_match(incoming: DataFrame, stored: DataFrame, threshold: float = FUZZY, identity: str = "resource_id") -> DataFrame:
+    """(in_id, match_id, similarity): for rows of ``incoming`` with a title the least stored row whose title
+    (original or Korean) contains the first ``PREFIX`` characters of theirs, whose year is the same or one
+    unknown, whose tokens have a Jaccard of ``threshold`` or more, and whose first author, if both have
+    one, is the same.  Both are (identity, title, year, author), titles normalised, authors in lower case.
+
+    No cross join: tokens are ordered from the rarest on; two sets of that similarity share one of their
+    first n - ceil(threshold * n) + 1 tokens, so titles meet on those, one row a distinct title; what
+    meets is confirmed on the whole titles."""
+
+    def titles(df: DataFrame) -> DataFrame:
+        return df.where("title <> ''").select("title").distinct().withColumn("w", title_tokens(F.col("title")))
+
+    mine, theirs = titles(incoming), titles(stored)
+    seen = mine.select(F.explode("w").alias("t")).unionAll(theirs.select(F.explode("w"))).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+
+    def keyed(side: DataFrame, name: str) -> DataFrame:
+        ranked = side.select("title", F.size("w").alias("size"), F.explode("w").alias("t")).join(seen, "t")
+        ranked = ranked.groupBy("title", "size").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o"))
+        keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)).cast("int") + 1
+        return ranked.select(F.col("title").alias(name), F.explode(F.slice("o", F.lit(1), keep)).alias("x")).select(name, F.col("x.t").alias("t"))
+
+    met = keyed(mine, "a").join(keyed(theirs, "b"), "t").select("a", "b").distinct()
+    alike = jaccard(title_tokens(F.col("a")), title_tokens(F.col("b")))
+    met = met.where(F.contains(F.col("b"), F.left("a", F.lit(PREFIX)))).withColumn("similarity", alike).where(F.col("similarity") >= threshold)
+    left = incoming.select(F.col(identity).alias("in_id"), F.col("title").alias("a"), F.col("year").alias("ya"), F.coalesce("author", F.lit("")).alias("aa"))
+    # Of the stored rows of a title only the least of each year and author can be a first match.
+    right = stored.groupBy(F.col("title").alias("b"), F.col("year").alias("yb"), F.coalesce("author", F.lit("")).alias("ab")).agg(F.min(identity).alias("match_id"))
+    fits = left.join(met, "a").join(right, "b").where("(ya is null or yb is null or ya = yb) and (aa = '' or ab = '' or aa = ab)")
+    return fits.groupBy("in_id").agg(F.min("match_id").alias("match_id"), F.min_by("similarity", "match_id").alias("similarity"))
+
+
+def check_metadata(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """``incoming`` with match_id, matched_by and verdict against stored resources: by DOI, else by source
+    and identifier, else by title and year (``fuzzy_match``); the first tier that finds a row decides.
+    A match is a NEW_VERSION if it was modified later or has another file, else a DUPLICATE; a new version
+    gets version_of and, where the stored row has one, its work_id.
+
+    Both have resource_id, source_id, doi, official_identifier, title_original, title_ko, authors,
+    publication_date, source_modified_date, file_sha256, work_id; ``stored`` also last_seen_at.  Rows
+    without a match are NEW.  Empty keys never match."""
+    out = tiered_match(incoming, stored, METADATA_TIERS, itself=True)
+    said = lambda df: df.select("resource_id", normalize_title(first_filled(F.col("title_original"), F.col("title_ko"))).alias("title"), F.year("publication_date").alias("year"), F.lower(F.coalesce(F.get("authors", 0), F.lit(""))).alias("author"))
+    rest = fuzzy_match(said(out.where("match_id is null")), said(stored)).select("in_id", F.col("match_id").alias("__fuzzy"))
+    out = out.join(rest, out["resource_id"] == rest["in_id"], "left").withColumns({"matched_by": F.coalesce("matched_by", F.when(F.col("__fuzzy").isNotNull(), "title+year")), "match_id": F.coalesce("match_id", "__fuzzy")})
+    side = stored.select(F.col("resource_id").alias("__id"), F.col("source_modified_date").alias("__modified"), F.col("file_sha256").alias("__sha"), F.col("work_id").alias("__work"))
+    out = out.join(side, F.col("match_id") == F.col("__id"), "left")
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    later = F.coalesce(F.col("source_modified_date") > F.col("__modified"), F.lit(False)) | (filled("file_sha256") & filled("__sha") & (F.col("file_sha256") != F.col("__sha")))
+    verdict = F.when(F.col("match_id").isNull(), "NEW").when(later, "NEW_VERSION").otherwise("DUPLICATE")
+    out = out.withColumn("verdict", verdict)
+    new = F.col("verdict") == "NEW_VERSION"
+    return out.withColumns({"version_of": F.when(new, F.col("match_id")).otherwise(""), "work_id": F.when(new & filled("__work"), F.col("__work")).otherwise(F.col("work_id"))}).drop("in_id", "__fuzzy", "__id", "__modified", "__sha", "__work")
+
+
+def check_content(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """``incoming`` with match_id, matched_by and verdict by the file's hash, else the text's; a row never
+    matches itself."""
+    return tiered_match(incoming, stored, CONTENT_TIERS).withColumn("verdict", F.when(F.col("match_id").isNull(), "NEW").otherwise("DUPLICATE"))
+
+
+def merged_sources(matched: DataFrame) -> DataFrame:
+    """(resource_id, source_id, url, role) that duplicates bring to the resources that they repeat."""
+    return source_map(matched.where("verdict = 'DUPLICATE'").select(F.col("match_id").alias("resource_id"), "source_id", "landing_url", "download_url", "oa_url")).distinct()
+
+
+def title_classes(df: DataFrame, identity: str, title: str) -> DataFrame:
+    """(identity, class_id): rows of equal, non-empty titles are one class, named by its least row."""
+    rows = df.where(F.col(title) != "").select(identity, title)
+    return rows.join(rows.groupBy(F.col(title).alias("__t")).agg(F.min(identity).alias("class_id")), F.col(title) == F.col("__t")).select(identity, "class_id")

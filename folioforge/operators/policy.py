@@ -49,14 +49,23 @@ def apply_license(df: DataFrame, policy: str | None = None) -> DataFrame:
     return df.withColumns({"license": F.col("__a.license_name"), "license_unknown": ~F.col("__a.is_open")}).drop("__a")
 
 
-def access_decision(policy: Column, access_mode: Column, license_unknown: Column, is_oa: Column, url: Column) -> Column:
-    """struct<allowed, reason> of downloading a candidate: link-only sources never, manual review not by
-    itself, open-access-only sources need an open licence or copy, landing pages are no files."""
-    url = F.lower(text_of(url))
-    open_ = F.coalesce(is_oa, F.lit(False)) | ~F.coalesce(license_unknown, F.lit(True))
-    page = url.rlike(r"\.(html?|php|jsp|do|aspx?)(?:[?#]|$)")
-    reason = F.when(policy == "link_only", "link_only").when(policy == "manual_review", "manual_review").when((policy == "oa_only") & ~open_, "not_open").when(access_mode == "LINK_ONLY", "link_only").when(page, "landing_page")
-    return F.struct(reason.isNull().alias("allowed"), F.coalesce(reason, F.lit("ok")).alias("reason"))
+def access_decision(policy: Column, kind: Column, is_open: Column, url: Column, license: Column, route: Column | None = None) -> Column:
+    """struct<allowed, reason, error_code> of downloading a candidate: link-only sources never, manual
+    review not by itself, open-access-only sources need an open copy, landing pages (by the candidate's
+    kind, not its URL) are no files.  ``route``: ssrn needs an open licence and another site than its own,
+    and asks nothing else; riss forbids its own site before the rest."""
+    low, route = F.lower(text_of(url)), F.lit(None).cast("string") if route is None else route
+    open_, ssrn = F.coalesce(is_open, F.lit(False)), F.coalesce(route == "ssrn", F.lit(False))
+    own = F.when(policy == "link_only", "link_only").when(~open_ | (text_of(license) == ""), "no_open_license").when(F.contains(low, F.lit("ssrn.com")), "own_site")
+    rest = (
+        F.when((route == "riss") & F.contains(low, F.lit("riss.kr")), "own_site")
+        .when(policy == "link_only", "link_only")
+        .when(policy == "manual_review", "manual_review")
+        .when((policy == "oa_only") & ~open_, "not_open")
+        .when(kind == "LANDING_PAGE", "landing_page")
+    )
+    reason = F.when(ssrn, own).otherwise(rest)
+    return F.struct(reason.isNull().alias("allowed"), F.coalesce(reason, F.lit("ok")).alias("reason"), F.when(reason.isNotNull(), "POLICY_BLOCKED").alias("error_code"))
 
 
 def routed_policy(landing: Column, doi: Column, download: Column) -> Column:
@@ -66,20 +75,29 @@ def routed_policy(landing: Column, doi: Column, download: Column) -> Column:
 
 
 def adopt(df: DataFrame) -> DataFrame:
-    """Records of SSRN and RISS found elsewhere: canonical landing page and identifier, no download
-    without a licence."""
+    """Records of SSRN and RISS found elsewhere, under their rules.
+
+    ssrn: canonical landing page, identifier and (if missing) DOI, publisher SSRN where empty; without a
+    known licence no download and open-access URL and LINK_ONLY.  riss: identifier only where empty, URLs
+    of its own site blanked, LINK_ONLY if none is left.  Other records pass unchanged."""
     df = df.withColumn("__p", routed_policy(F.col("landing_url"), F.col("doi"), F.col("download_url")))
-    ssrn, riss = ssrn_abstract_id(F.col("landing_url"), F.col("doi")), riss_control_number(F.col("landing_url"), F.col("download_url"))
-    is_ssrn, is_riss = (F.col("__p") == "ssrn") & (ssrn != ""), (F.col("__p") == "riss") & (riss != "")
-    blank = F.col("__p").isNotNull() & ((F.col("__p") == "riss") | F.coalesce("license_unknown", F.lit(True)))
-    return df.withColumns(
-        {
-            "official_identifier": F.when(is_ssrn, F.concat(F.lit("ssrn:"), ssrn)).when(is_riss, F.concat(F.lit("riss:"), riss)).otherwise(F.col("official_identifier")),
-            "landing_url": F.when(is_ssrn, F.concat(F.lit("https://papers.ssrn.com/sol3/papers.cfm?abstract_id="), ssrn)).otherwise(F.col("landing_url")),
-            "download_url": F.when(blank, "").otherwise(F.col("download_url")),
-            "access_mode": F.when(blank, "LINK_ONLY").otherwise(F.col("access_mode")),
-        }
-    ).drop("__p")
+    number, control = ssrn_abstract_id(F.col("landing_url"), F.col("doi")), riss_control_number(F.col("landing_url"), F.col("download_url"))
+    is_ssrn, is_riss = F.coalesce(F.col("__p") == "ssrn", F.lit(False)), F.coalesce(F.col("__p") == "riss", F.lit(False))
+    closed = is_ssrn & F.coalesce("license_unknown", F.lit(True))
+    empty = lambda c: text_of(F.col(c)) == ""
+    at_riss = lambda c: is_riss & F.contains(F.lower(text_of(F.col(c))), F.lit("riss.kr"))
+    url = lambda c: F.when(closed | at_riss(c), "").otherwise(F.col(c))
+    values = {
+        "official_identifier": F.when(is_ssrn & (number != ""), F.concat(F.lit("ssrn:"), number)).when(is_riss & (control != "") & empty("official_identifier"), F.concat(F.lit("riss:"), control)).otherwise(F.col("official_identifier")),
+        "landing_url": F.when(is_ssrn & (number != ""), F.concat(F.lit("https://papers.ssrn.com/sol3/papers.cfm?abstract_id="), number)).otherwise(F.col("landing_url")),
+        "doi": F.when(is_ssrn & (number != "") & empty("doi"), F.concat(F.lit("10.2139/ssrn."), number)).otherwise(F.col("doi")),
+        "download_url": url("download_url"),
+        "oa_url": url("oa_url"),
+        "access_mode": F.when(closed | (is_riss & (text_of(url("download_url")) == "") & (text_of(url("oa_url")) == "")), "LINK_ONLY").otherwise(F.col("access_mode")),
+    }
+    if "publisher" in df.columns:
+        values["publisher"] = F.when(is_ssrn & empty("publisher"), "SSRN").otherwise(F.col("publisher"))
+    return df.withColumns(values).drop("__p")
 
 
 def paywall_marker(html: Column) -> Column:
@@ -101,19 +119,21 @@ def link_access(url: Column, status: Column, content_type: Column, body: Column)
 
 
 def page_match(html: Column, doi: Column, identifier: Column, expected: Column, unicode_form: bool = True) -> Column:
-    """struct<valid, reason, similarity> of a landing page against a record."""
+    """struct<valid, reason, similarity, error_code> of a landing page against a record; a mismatch counts
+    as an expired link."""
     title, html = page_title(html), text_of(html)
     alike = jaccard(title_tokens(normalize_title(expected, unicode_form)), title_tokens(normalize_title(title, unicode_form)))
     has_doi = (text_of(doi) != "") & F.contains(F.lower(html), normalize_doi(doi))
     tail = F.substring_index(text_of(identifier), ":", -1)
     has_id = (text_of(identifier) != "") & F.contains(html, tail)
     reason = F.when(html == "", "no_html").when(has_doi, "doi").when(has_id, "identifier").when((title == "") | (text_of(expected) == ""), "no_title").when(alike >= TITLE_MATCH, "title").otherwise("mismatch")
-    return F.struct((reason != "mismatch").alias("valid"), reason.alias("reason"), F.when(reason.isin("title", "mismatch"), alike).alias("similarity"))
+    return F.struct((reason != "mismatch").alias("valid"), reason.alias("reason"), F.when(reason.isin("title", "mismatch"), alike).alias("similarity"), F.when(reason == "mismatch", "LINK_EXPIRED").alias("error_code"))
 
 
 def file_check(content: Column, size: Column, suffix: Column, content_type: Column, members: Column) -> Column:
-    """struct<valid, reason, quarantine> of a file by size, signature and extension.  ``members`` is the
-    array of names in a ZIP (null: not one)."""
+    """struct<valid, reason, quarantine, error_code> of a file by size, signature and extension.
+    ``members`` is the array of names in a ZIP (null: not one).  What is missing or has a wrong signature
+    or structure for its extension is FILE_CORRUPTED, all else that fails FILE_NOT_DOCUMENT."""
     head = F.hex(F.substring(content, 1, 2048))
     text = F.lower(F.decode(F.substring(content, 1, 2048), "ISO-8859-1"))
     is_ = lambda magic: F.startswith(head, F.lit(magic))
@@ -135,7 +155,8 @@ def file_check(content: Column, size: Column, suffix: Column, content_type: Colu
         .when(suffix == ".docx", F.when(members.isNull(), "bad_zip").when(~has("word/document.xml"), "no_document"))
         .when((kind != "") & ~contains_any(kind, DOCUMENT_TYPES), "content_type")
     )
-    return F.struct(reason.isNull().alias("valid"), F.coalesce(reason, F.lit("ok")).alias("reason"), F.coalesce(reason == "executable", F.lit(False)).alias("quarantine"))
+    code = F.when(reason.isin("missing", "no_pdf_signature", "no_hwp_signature", "bad_zip", "no_document"), "FILE_CORRUPTED").when(reason.isNotNull(), "FILE_NOT_DOCUMENT")
+    return F.struct(reason.isNull().alias("valid"), F.coalesce(reason, F.lit("ok")).alias("reason"), F.coalesce(reason == "executable", F.lit(False)).alias("quarantine"), code.alias("error_code"))
 
 
 def resolve_open_copy(df: DataFrame, lookups: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -155,30 +176,50 @@ DOWNLOAD_SCORE, SUMMARY_SCORE = 55, 40
 
 
 def acquire(df: DataFrame, enabled: bool = True, threshold: int = DOWNLOAD_SCORE) -> DataFrame:
-    """The full-text cascade over resources joined with captured facts: columns policy, oa_candidate,
-    link (struct), match (struct), file (struct), file_known, text_known.  Adds access_mode, error_code
-    and outcome; each miss ends as a link."""
-    candidate = first_filled(F.col("download_url"), F.col("oa_candidate"))
-    allowed = access_decision(F.col("policy"), F.col("access_mode"), F.col("license_unknown"), F.col("oa_candidate").isNotNull(), candidate)
+    """The full-text cascade over resources joined with captured facts: policy, oa_candidate, link, match
+    and file (structs as above), file_known, text_known, and optionally kind, oa_kind (DIRECT_FILE or
+    LANDING_PAGE), oa_license, page (whether the fetch gave HTML), download (struct success, error_code),
+    extract_failed.
+
+    The candidate is the record's own URL (none for link-only sources, SSRN and RISS), else the resolved
+    open copy.  Adds outcome (the step that ended the cascade), access_mode, error_code (the record's),
+    log_code (what the error log gets; policy blocks only stand there, page mismatches and duplicates only
+    with the record) and status QUARANTINED where a file is an executable.  Every miss ends as a link."""
+    have = lambda c, d: F.col(c) if c in df.columns else d
+    text = F.lit(None).cast("string")
+    route = routed_policy(F.col("landing_url"), F.col("doi"), F.col("download_url"))
+    own = F.when((F.col("policy") == "link_only") | route.isNotNull(), "").otherwise(first_filled(F.col("download_url"), F.col("oa_url")))
+    mine, candidate = own != "", first_filled(own, F.col("oa_candidate"))
+    open_ = F.when(mine, ~F.coalesce("license_unknown", F.lit(True))).otherwise(True)
+    kind = F.coalesce(F.when(mine, have("kind", text)).otherwise(have("oa_kind", text)), F.lit("DIRECT_FILE"))
+    licence = F.when(mine, F.col("license")).otherwise(first_filled(have("oa_license", text), F.col("license")))
+    decision = access_decision(F.col("policy"), kind, open_, candidate, licence, route)
+    download = have("download", F.struct(F.lit(True).alias("success"), text.alias("error_code")))
+    file_code = F.col("file.error_code") if "error_code" in df.schema["file"].dataType.names else F.lit("FILE_NOT_DOCUMENT")
+    failed = F.coalesce(have("extract_failed", F.lit(False)), F.lit(False))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
     step = (
         F.when(~F.lit(enabled), "disabled")
         .when(F.col("relevance_score") < threshold, "low_score")
         .when(candidate == "", "no_candidate")
-        .when(~allowed["allowed"], "policy")
-        .when(~F.coalesce(F.col("link.valid"), F.lit(False)), "link")
+        .when(~decision["allowed"], "policy")
+        .when(no(F.col("link.valid")), "link")
         .when(~F.coalesce(F.col("match.valid"), F.lit(True)), "page_mismatch")
-        .when(~F.coalesce(F.col("file.valid"), F.lit(False)), F.when(F.col("file.quarantine"), "quarantine").otherwise("file"))
+        .when((kind == "LANDING_PAGE") & F.coalesce(have("page", F.lit(False)), F.lit(False)), "landing_page")
+        .when(no(download["success"]), "download")
+        .when(no(F.col("file.valid")), F.when(F.col("file.quarantine"), "quarantine").otherwise("file"))
         .when(F.coalesce(F.col("file_known"), F.lit(False)), "duplicate_file")
-        .when(F.coalesce(F.col("text_known"), F.lit(False)), "duplicate_text")
+        .when(~failed & F.coalesce(F.col("text_known"), F.lit(False)), "duplicate_text")
         .otherwise("downloaded")
     )
-    code = (
-        F.when(step == "policy", "POLICY_BLOCKED")
-        .when(step == "link", F.col("link.error_code"))
-        .when(step.isin("file", "quarantine"), "FILE_NOT_DOCUMENT")
-        .when(step.isin("duplicate_file", "duplicate_text"), "DUPLICATE_FILE")
-    )
-    return df.withColumns({"outcome": step, "error_code": code, "access_mode": F.when(step == "downloaded", "DOWNLOADED").otherwise("LINK_ONLY")})
+    df = df.withColumns({"outcome": step, "__download": download["error_code"], "__file": file_code, "__failed": failed})
+    bad = F.when(F.col("outcome") == "link", F.col("link.error_code")).when(F.col("outcome") == "download", F.col("__download")).when(F.col("outcome").isin("file", "quarantine"), F.col("__file"))
+    code = F.coalesce(bad, F.when(F.col("outcome") == "page_mismatch", "LINK_EXPIRED").when(F.col("outcome").isin("duplicate_file", "duplicate_text"), "DUPLICATE_FILE"))
+    log = F.coalesce(bad, F.when(F.col("outcome") == "policy", "POLICY_BLOCKED").when((F.col("outcome") == "downloaded") & F.col("__failed"), "TEXT_EXTRACTION_FAILED"))
+    new = {"error_code": code, "log_code": log, "access_mode": F.when(F.col("outcome") == "downloaded", "DOWNLOADED").otherwise("LINK_ONLY")}
+    if "status" in df.columns:
+        new["status"] = F.when(F.col("outcome") == "quarantine", "QUARANTINED").otherwise(F.col("status"))
+    return df.withColumns(new).drop("__download", "__file", "__failed")
 
 
 def first_needle(hay: Column, needles: Column, excluded: Column) -> Column:

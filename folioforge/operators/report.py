@@ -79,5 +79,5 @@ def source_failures(errors: DataFrame, least: int = 5) -> DataFrame:
     return errors.where(F.col("consecutive_failures") >= least).select("source_id", "consecutive_failures")
 
 
-def safe_log(lines: DataFrame, column: str = "message") -> DataFrame:
-    return lines.withColumn(column, mask_secrets(F.col(column)))
+def safe_log(lines: DataFrame, column: str = "message", known: list[str] = ()) -> DataFrame:
+    return lines.withColumn(column, mask_secrets(F.col(column), known))

@@ -39,10 +39,11 @@ def source_since(since: Column, until: Column, lookback_days: Column) -> Column:
 
 
 def run_tally(items: DataFrame, by: str = "source_id") -> DataFrame:
-    """Counts by outcome and by access mode, a row a source."""
+    """Counts by outcome and by access mode, a row a source; n_items counts the outcomes that a tally
+    knows, so neither quarantined nor skipped items."""
     outcome = lambda v: F.count_if(F.col("outcome") == v).alias(f"n_{v.lower()}")
     mode = lambda v: F.count_if(F.col("access_mode") == v).alias(f"n_{v.lower()}")
-    return items.groupBy(by).agg(F.count(F.lit(1)).alias("n_items"), *[outcome(v) for v in ("NEW", "UPDATED", "DUPLICATE", "ERROR")], *[mode(v) for v in ("DOWNLOADED", "LINK_ONLY")])
+    return items.groupBy(by).agg(F.count_if(F.col("outcome").isin("NEW", "UPDATED", "DUPLICATE", "ERROR", "FAILED")).alias("n_items"), *[outcome(v) for v in ("NEW", "UPDATED", "DUPLICATE", "ERROR")], *[mode(v) for v in ("DOWNLOADED", "LINK_ONLY")])
 
 
 def failed_sources(errors: DataFrame, since: Column) -> DataFrame:
@@ -79,3 +80,27 @@ def source_order(sources: DataFrame, failed: DataFrame | None = None) -> DataFra
         return on.orderBy("priority", "source_id")
     marked = on.join(F.broadcast(failed.select("source_id", F.lit(True).alias("failed"))), "source_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
     return marked.orderBy(F.desc("failed"), "priority", "source_id")
+
+
+def finish_runs(started: DataFrame, reports: DataFrame) -> DataFrame:
+    """Runs (run_id, started_at, status ...) with what their reports (run_id, finished_at, new_count,
+    updated_count, failed_sources) say: SUCCEEDED, or PARTIAL where a source failed; runs without a report
+    keep their row, RUNNING."""
+    r = reports.select("run_id", *[F.col(c).alias(f"__{c}") for c in ("finished_at", "new_count", "updated_count", "failed_sources")])
+    out = started.join(r, "run_id", "left")
+    done = F.col("__finished_at").isNotNull()
+    status = F.when(done, F.when(F.col("__failed_sources") > 0, "PARTIAL").otherwise("SUCCEEDED")).otherwise("RUNNING")
+    return out.withColumns({c: F.coalesce(F.col(f"__{c}"), F.col(c) if c in started.columns else F.lit(None)) for c in ("finished_at", "new_count", "updated_count", "failed_sources")} | {"status": status}).drop(*[c for c in r.columns if c != "run_id"])
+
+
+def run_reports(items: DataFrame, errors: DataFrame, finished_at: Column) -> DataFrame:
+    """(run_id, finished_at, new_count, updated_count, failed_sources) from run items and errors."""
+    counts = items.groupBy("run_id").agg(F.count_if(F.col("outcome") == "NEW").alias("new_count"), F.count_if(F.col("outcome") == "UPDATED").alias("updated_count"))
+    failed = errors.where("source_id is not null").groupBy("run_id").agg(F.count_distinct("source_id").alias("failed_sources"))
+    out = counts.join(failed, "run_id", "left")
+    return out.select("run_id", finished_at.alias("finished_at"), "new_count", "updated_count", F.coalesce("failed_sources", F.lit(0).cast("long")).alias("failed_sources"))
+
+
+def source_subset(sources: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the sources of ``wanted`` (source_id), the ids of it that there are none of)."""
+    return sources.join(wanted.select("source_id").distinct(), "source_id", "left_semi"), wanted.join(sources, "source_id", "left_anti").select("source_id").distinct()

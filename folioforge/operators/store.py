@@ -72,28 +72,72 @@ def works(resources: DataFrame) -> DataFrame:
     )
 
 
-def file_names(rows: DataFrame, folder: str, name: str, order: str, digest: str) -> DataFrame:
+def collision_suffix(digest: Column, doi: Column, identity: Column) -> Column:
+    """Eight digits that tell files of one name apart: of the file's digest, else of the DOI's, else of the
+    identity without dashes."""
+    by_doi = F.when(F.coalesce(doi, F.lit("")) != "", F.sha2(doi, 256))
+    return F.left(F.coalesce(F.nullif(digest, F.lit("")), by_doi, F.replace(identity.cast("string"), F.lit("-"), F.lit(""))), F.lit(8))
+
+
+def file_names(rows: DataFrame, folder: str, name: str, order: str, digest: str | Column) -> DataFrame:
     """File paths without collisions: of equal names in a folder all but the first get ``__`` and eight
-    digits of their digest before the extension."""
-    w = Window.partitionBy(folder, name).orderBy(order)
+    digits of their digest (a column, or ``collision_suffix``) before the extension.  A name's first row
+    comes from one aggregation, so a name that many files share is not gathered."""
+    digest = F.col(digest) if isinstance(digest, str) else digest
+    first = rows.groupBy(F.col(folder).alias("__f"), F.col(name).alias("__n")).agg(F.min(order).alias("__first"))
     stem, ext = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    return rows.withColumn("stored_name", F.when(F.row_number().over(w) == 1, F.col(name)).otherwise(F.concat(stem, F.lit("__"), F.left(digest, F.lit(8)), ext)))
+    out = rows.join(first, F.col(folder).eqNullSafe(F.col("__f")) & F.col(name).eqNullSafe(F.col("__n")))
+    return out.withColumn("stored_name", F.when(F.col(order) == F.col("__first"), F.col(name)).otherwise(F.concat(stem, F.lit("__"), F.left(digest, F.lit(8)), ext))).drop("__f", "__n", "__first")
 
 
-def manifest_rows(resources: DataFrame) -> DataFrame:
-    """The manifest's projection of resources."""
-    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    return resources.select(
-        "resource_id", "source_id", first_filled(F.col("title_ko"), F.col("title_original")).alias("title"), "document_type", "topic_primary", "priority_level", "relevance_score", "publication_date",
-        F.when(filled("file_path"), "저장").otherwise("링크만").alias("stored"), F.when(filled("summary_ko"), "생성").otherwise("미생성").alias("summary"),
-        F.when(filled("license"), F.col("license")).otherwise("불명확").alias("license"), first_filled(F.col("landing_url"), F.col("oa_url"), F.col("download_url")).alias("url"),
-    )
+#: What a manifest or an export says of stored files, summaries and licences.
+STORED, LINKED, MADE, NOT_MADE, UNCLEAR = "저장", "링크만", "생성", "미생성", "불명확"
+SUMMARY_CHARS = 900
+
+
+def _facts() -> dict[str, Column]:
+    """Named expressions over a resource, from which manifest and export choose."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    joined = lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), ", ")
+    return {
+        "title": first_filled(F.col("title_ko"), F.col("title_original"), F.lit("(제목 없음)")), "authors": joined("authors"), "expanded": joined("query_terms_expanded"),
+        "published": text("publication_date"), "registered": text("source_registered_date"), "modified": text("source_modified_date"),
+        "stored": F.when(text("file_path") != "", STORED).otherwise(LINKED), "summarised": F.when(text("summary_ko") != "", MADE).otherwise(NOT_MADE),
+        "url": first_filled(F.col("landing_url"), F.col("oa_url"), F.col("download_url")),
+        "licence": F.when(text("license") != "", F.col("license")).when(F.coalesce("license_unknown", F.lit(True)), UNCLEAR).otherwise(""),
+        "summary": F.left(clean_whitespace(F.col("summary_ko")), F.lit(SUMMARY_CHARS)),
+    }
+
+
+#: Column of the manifest or export, and the resource's column or named expression that fills it.
+MANIFEST = {
+    "수집일": "collected_on", "신규수정구분": "status", "제목": "title", "원문제목": "title_original", "출처": "source_id", "발행기관": "publisher", "발행일": "published", "등록일": "registered",
+    "수정일": "modified", "문서유형": "document_type", "주제": "topic_primary", "원문저장여부": "stored", "최종저장경로": "file_path", "링크": "url", "DOI": "doi", "공식ID": "official_identifier",
+    "파일해시": "file_sha256", "텍스트해시": "text_sha256", "중요도": "relevance_score", "우선순위": "priority_level", "요약근거수준": "summary_basis", "요약상태": "summarised",
+    "발견검색어": "discovered_by_query", "검색어사전버전": "query_dictionary_version", "확장검색어": "expanded", "라이선스": "licence", "오류검토필요": "error_code",
+}
+EXPORT = {
+    "수집일": "collected_on", "상태": "status", "제목": "title", "원문제목": "title_original", "저자": "authors", "발행기관": "publisher", "학술지_시리즈": "journal_or_series", "발행일": "published",
+    "등록일": "registered", "수정일": "modified", "출처": "source_id", "문서유형": "document_type", "주제": "topic_primary", "중요도": "relevance_score", "우선순위": "priority_level",
+    "원문접근": "access_mode", "저장경로": "file_path", "링크": "url", "OA링크": "oa_url", "DOI": "doi", "공식ID": "official_identifier", "라이선스": "licence", "요약근거수준": "summary_basis",
+    "요약": "summary", "발견검색어": "discovered_by_query", "검색어사전버전": "query_dictionary_version", "확장검색어": "expanded", "파일해시": "file_sha256", "오류코드": "error_code",
+}
+
+
+def _rows(resources: DataFrame, layout: dict[str, str], collected: Column) -> DataFrame:
+    facts = _facts() | {"collected_on": collected.cast("string")}
+    value = lambda c: facts[c] if c in facts else F.col(c) if c == "relevance_score" else F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return resources.select(*[value(c).alias(name) for name, c in layout.items()])
+
+
+def manifest_rows(resources: DataFrame, collected_on: Column) -> DataFrame:
+    """The manifest's 27 columns of resources; dates in ISO form, missing values as empty strings."""
+    return _rows(resources, MANIFEST, collected_on)
 
 
 def export_rows(resources: DataFrame) -> DataFrame:
-    """The manifest's columns with the summary on one line of 900 characters at most."""
-    extra = resources.select("resource_id", F.left(clean_whitespace(F.col("summary_ko")), F.lit(900)).alias("summary_text"), "error_code", F.to_date("first_seen_at").alias("collected_on"))
-    return manifest_rows(resources).join(extra, "resource_id")
+    """The export's 29 columns; the summary on one line of 900 characters at most."""
+    return _rows(resources, EXPORT, F.to_date("first_seen_at"))
 
 
 def export_sheets(rows: DataFrame, today: Column) -> dict[str, DataFrame]:
@@ -107,18 +151,22 @@ def export_sheets(rows: DataFrame, today: Column) -> dict[str, DataFrame]:
     }
 
 
-def write_manifest(resources: DataFrame, path: str, run_id: str, collected_on: str) -> None:
-    """Appends a run's records as JSON lines under year and month."""
-    stamped = resources.withColumn("_manifest", F.struct(F.lit(collected_on).alias("collected_on"), F.lit(run_id).alias("run_id")))
+def write_manifest(resources: DataFrame, path: str, run_id: str, collected_on: str, written_at: str | None = None) -> None:
+    """Appends a run's records as JSON lines under year and month, each with the time of writing."""
+    now = F.lit(written_at) if written_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    stamped = resources.withColumn("_manifest", F.struct(F.lit(collected_on).alias("collected_on"), F.lit(run_id).alias("run_id"), now.alias("written_at")))
     stamped.withColumns({"year": F.lit(collected_on[:4]), "month": F.lit(collected_on[5:7])}).write.mode("append").partitionBy("year", "month").json(path)
 
 
 def read_manifest(spark, path: str, schema: str) -> DataFrame:
-    """Records of a manifest: damaged lines skipped, the first of each resource_id by line."""
-    lines = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    lines = lines.withColumns({"__f": F.col("_metadata.file_path"), "__b": F.monotonically_increasing_id()}).where("_corrupt is null and resource_id is not null")
-    w = Window.partitionBy("resource_id").orderBy("__f", "__b")
-    return lines.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__f", "__b", "_corrupt")
+    """Records of a manifest: damaged lines skipped, of each resource_id that written first (then by run,
+    file and line); records without a time of writing count as the oldest."""
+    stamp = "_manifest struct<collected_on:string,run_id:string,written_at:string>"
+    lines = spark.read.schema(f"{schema}, {stamp}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    names = [c for c in lines.columns if c not in ("_manifest", "_corrupt")]
+    order = F.struct(F.coalesce("_manifest.written_at", F.lit("")).alias("w"), F.coalesce("_manifest.run_id", F.lit("")).alias("r"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("b"))
+    lines = lines.withColumn("__o", order).where("_corrupt is null and resource_id is not null")
+    return lines.groupBy("resource_id").agg(F.min_by(F.struct(*names), "__o").alias("x")).select(*[F.col(f"x.{c}").alias(c) for c in names])
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -132,3 +180,55 @@ def digest_cards(resources: DataFrame, cap: int = 40) -> tuple[DataFrame, DataFr
     cards = resources.where(F.col("priority_level").isin("P1", "P2"))
     rest = resources.where(~F.col("priority_level").isin("P1", "P2")).orderBy(F.desc("relevance_score"), "resource_id").limit(cap)
     return cards, rest
+
+
+def touch(resources: DataFrame, ids: DataFrame, column: str, when: Column) -> DataFrame:
+    """``column`` (last_seen_at, alerted_at) set to ``when`` for the resources of ``ids``."""
+    named = ids.select(F.col("resource_id").alias("__id")).distinct()
+    hit = resources.join(named, resources["resource_id"] == named["__id"], "left")
+    return hit.withColumn(column, F.when(F.col("__id").isNotNull(), when).otherwise(F.col(column))).drop("__id")
+
+
+def newest_first(resources: DataFrame) -> DataFrame:
+    """All resources, the last first seen first; a report's order."""
+    return resources.orderBy(F.col("first_seen_at").desc_nulls_last(), "resource_id")
+
+
+def repository_counts(resources: DataFrame, files: DataFrame, errors: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row of seven counts, each table aggregated once."""
+    of = resources.agg(
+        F.count(F.lit(1)).alias("resources"), F.count_if(F.col("access_mode") == "DOWNLOADED").alias("downloaded"), F.count_if(F.col("access_mode") == "LINK_ONLY").alias("link_only"),
+        F.count_if(F.col("doi") != "").alias("with_doi"),
+    )
+    for name, table in (("files", files), ("errors", errors), ("runs", runs)):
+        of = of.crossJoin(table.agg(F.count(F.lit(1)).alias(name)))  # one row each
+    return of.select("resources", "files", "downloaded", "link_only", "with_doi", "errors", "runs")
+
+
+def sync_dimension(old: DataFrame, new: DataFrame, key: str, runtime: list[str]) -> DataFrame:
+    """A dimension taken over from configuration: rows of ``new``, with the runtime columns (last
+    success, failures) that ``old`` has for them; rows that are only in ``old`` stay."""
+    o, n = old.alias("o"), new.alias("n")
+    both = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+    fresh = F.col(f"n.{key}").isNotNull()
+    value = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if c == key else F.col(f"o.{c}") if c in runtime else F.when(fresh, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+    return both.select(*[value(c).alias(c) for c in old.columns])
+
+
+#: Columns of a bibliographic record that a DOI lookup fills where they are empty.
+ENRICHED = ["journal_or_series", "publisher", "authors", "publication_date", "work_id"]
+
+
+def enrich(resources: DataFrame, found: DataFrame, skip: str = "crossref") -> DataFrame:
+    """Resources with the columns ``ENRICHED`` filled, where empty, from ``found`` (doi and those columns,
+    the least row of a DOI); records without a DOI and those of source ``skip`` pass unchanged."""
+    names = [c for c in ENRICHED if c in found.columns and c in resources.columns]
+    side = found.where("doi <> ''").groupBy(F.col("doi").alias("__doi")).agg(F.min(F.struct(*names)).alias("__x"))
+    out = resources.join(side, (F.col("doi") == F.col("__doi")) & ~F.coalesce(F.col("source_id") == skip, F.lit(False)), "left")
+
+    def filled(c: str) -> Column:
+        kind = resources.schema[c].dataType.typeName()
+        empty = F.col(c).isNull() if kind == "date" else F.size(F.coalesce(c, F.array().cast("array<string>"))) == 0 if kind == "array" else F.coalesce(c, F.lit("")) == ""
+        return F.when(empty, F.coalesce(F.col(f"__x.{c}"), F.col(c))).otherwise(F.col(c))
+
+    return out.withColumns({c: filled(c) for c in names}).drop("__doi", "__x")

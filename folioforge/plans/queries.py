@@ -414,13 +414,13 @@ def q_enrich_coalesce(spark, sf_dir):
 
 
 _PART_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[\x00-\x1f\x7f]', '', 'g'), '[\\/:*?"<>|]', '', 'g'), '\s+', '_', 'g'), '_+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g')"""
-_NAME_SQL = "regexp_replace(left({}, 80), '[._-]+$', '')".format(_PART_SQL.format("left(text, 80)"))
-_FILE_SQL = f"strftime(DATE '2024-01-01' + (doc_id % 1500)::INT, '%y%m%d') || '_' || upper({_PART_SQL.format('source')}) || '_' || CASE WHEN {_NAME_SQL} = '' THEN 'untitled' ELSE {_NAME_SQL} END || '.pdf'"
+_NAME_SQL = "left({}, 80)".format(_PART_SQL.format("text"))
+_FILE_SQL = f"strftime(DATE '2024-01-01' + (doc_id % 1500)::INT, '%y%m%d') || '_' || upper({_PART_SQL.format('source')}) || '_' || CASE WHEN {_NAME_SQL} = '' THEN '무제' WHEN regexp_matches(upper({_NAME_SQL}), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN '_' || {_NAME_SQL} ELSE {_NAME_SQL} END || '.pdf'"
 
 
 @query(f"SELECT doc_id, {_FILE_SQL} file_name FROM documents")
 def q_filename(spark, sf_dir):
-    name = T.build_filename(F.col("publication_date"), F.col("source_id"), F.col("title_original"))
+    name = T.build_filename(F.col("publication_date"), F.col("source_id"), F.col("fulltext"))
     return _resources(spark, sf_dir).select(F.col("seq").alias("doc_id"), name.alias("file_name"))
 
 
@@ -517,9 +517,9 @@ def q_openalex_abstract(spark, sf_dir):
 
 @query("SELECT doc_id, first_doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) first_doc_id FROM documents) WHERE doc_id <> first_doc_id")
 def q_content_tier_match(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
-    first = rows.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"))
-    return rows.join(first, "h").where("doc_id <> first_doc_id").select("doc_id", "first_doc_id")
+    rows = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("resource_id"), F.lit("").alias("file_sha256"), F.md5("text").alias("text_sha256"), F.lit(0).alias("last_seen_at"))
+    found = dedup.check_content(rows, rows).where("verdict = 'DUPLICATE'")
+    return found.select(F.col("resource_id").alias("doc_id"), F.col("match_id").cast("long").alias("first_doc_id"))
 
 
 @query("SELECT date_trunc('day', ts) window_start, event_type, count(*) n FROM events GROUP BY ALL")
@@ -534,3 +534,6 @@ def ext_event_windows(spark, sf_dir):
 )
 def ext_event_sessions(spark, sf_dir):
     return sessions(_read(spark, sf_dir, "events"), "ts", "user_id")
+
+
+from . import record_queries  # noqa: E402, F401  registers more queries here

@@ -38,6 +38,12 @@ def _strings(path: str, limit: int | None = None) -> Column:
     return F.slice(out, 1, limit) if limit else out
 
 
+def _people(path: str, text: Column) -> Column:
+    """Names of an array of objects, else of an array of strings, else of one string."""
+    some = lambda c: F.when(F.size(c) > 0, c)
+    return F.coalesce(some(T.authors_from_structs(_get(path, _PEOPLE))), some(_strings(path)), T.authors_from_string(text))
+
+
 def _project(df: DataFrame, values: dict[str, Column], identifier: Column) -> DataFrame:
     """Common fields: ids, query provenance, language and type by title where a source gives none."""
     title = values["title_original"]
@@ -106,7 +112,7 @@ def semantic_scholar(raw: DataFrame) -> DataFrame:
 
 def core(raw: DataFrame) -> DataFrame:
     title, doi, pdf = _clean("$.title"), T.normalize_doi(_get("$.doi")), _clean("$.downloadUrl")
-    people = F.coalesce(T.authors_from_structs(_get("$.authors", _PEOPLE)), T.authors_from_string(_get("$.authors")))
+    people = _people("$.authors", _get("$.authors"))
     values = {
         "title_original": title, "doi": doi, "authors": people, "publisher": _clean("$.publisher"), "journal_or_series": _clean("$.journals[0].title"),
         "publication_date": parse_date(_get("$.publishedDate")), "source_registered_date": parse_date(_get("$.createdDate")), "source_modified_date": parse_date(_get("$.updatedDate")),
@@ -238,7 +244,7 @@ def mapped(raw: DataFrame, fields: dict[str, str], publisher: str = "", default_
 
     title, doi, key = at("title"), T.normalize_doi(at("doi")), at("identifier")
     names = fields.get("authors")
-    people = F.coalesce(T.authors_from_structs(_get(f"$.{names}", _PEOPLE)), F.filter(F.transform(_get(f"$.{names}", "array<string>"), T.clean_whitespace), lambda x: x != ""), T.authors_from_string(at("authors"))) if names else F.array().cast("array<string>")
+    people = _people(f"$.{names}", at("authors")) if names else F.array().cast("array<string>")
     words = fields.get("keywords")
     keywords = F.coalesce(_get(f"$.{words}", "array<string>"), F.split(_get(f"$.{words}"), "[;,]")) if words else F.array().cast("array<string>")
     published = parse_date(at("publication_date"))
