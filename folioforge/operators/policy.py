@@ -80,7 +80,7 @@ def adopt(df: DataFrame) -> DataFrame:
     ssrn: canonical landing page, identifier and (if missing) DOI, publisher SSRN where empty; without a
     known licence no download and open-access URL and LINK_ONLY.  riss: identifier only where empty, URLs
     of its own site blanked, LINK_ONLY if none is left.  Other records pass unchanged."""
-    df = df.withColumn("__p", routed_policy(F.col("landing_url"), F.col("doi"), F.col("download_url")))
+    df = df.withColumn("__p", routed_policy(F.col("landing_url"), F.col("doi"), F.concat_ws(" ", "download_url", "oa_url")))
     number, control = ssrn_abstract_id(F.col("landing_url"), F.col("doi")), riss_control_number(F.col("landing_url"), F.col("download_url"))
     is_ssrn, is_riss = F.coalesce(F.col("__p") == "ssrn", F.lit(False)), F.coalesce(F.col("__p") == "riss", F.lit(False))
     closed = is_ssrn & F.coalesce("license_unknown", F.lit(True))

@@ -105,3 +105,41 @@ def page_of(pages: Column, sentence: Column) -> Column:
     """Number (from 1) of the first page that contains a sentence's first 60 characters; null without."""
     head = F.lower(F.left(sentence, F.lit(60)))
     return F.nullif(F.array_position(F.transform(pages, lambda p: F.contains(F.lower(p), head)), True), F.lit(0))
+
+
+#: What a summary says where the text says nothing.
+NO_PRACTICE, NO_CAVEAT = "원문에서 실무 적용에 관한 명시적 서술을 찾지 못했습니다.", "원문에 명시된 제한사항은 확인되지 않았습니다."
+NO_TEXT, ONLY_METADATA = "원문·초록을 확보하지 못해 내용 분석을 수행하지 않았습니다.", "서지정보만으로 판단한 결과이므로 원문 확인이 필요합니다."
+SCOPES = {"ABSTRACT": "초록 기준 (원문 전체 미분석)", "METADATA_ONLY": "제목·키워드·서지정보 기준"}
+
+
+def evidence_scope(kind: Column, pages: Column, points: Column) -> Column:
+    """Which pages (array of texts) a summary of the full text rests on, else what it rests on."""
+    at = F.filter(F.transform(points, lambda s: page_of(pages, s)), lambda p: p.isNotNull())
+    count = F.size(F.coalesce(pages, F.array().cast("array<string>"))).cast("string")
+    range_ = F.concat(F.lit("원문 "), count, F.lit("쪽 중 "), F.array_min(at).cast("string"), F.lit("~"), F.array_max(at).cast("string"), F.lit("쪽 기준"))
+    out = F.when(F.size(at) > 0, range_).otherwise(F.concat(F.lit("원문 전체 "), count, F.lit("쪽 기준")))
+    return F.when(kind == "FULLTEXT", out).when(kind == "ABSTRACT", SCOPES["ABSTRACT"]).otherwise(SCOPES["METADATA_ONLY"])
+
+
+def summary_record(df: DataFrame) -> DataFrame:
+    """``summarize`` with every part filled: fallbacks where the text has no such sentence, a summary of
+    the metadata where there is no text, and evidence_scope.  Also reads title_original, title_ko,
+    publisher, source_id, publication_date, document_type, topic_primary and pages (array of texts)."""
+    df = summarize(df)
+    title = F.coalesce(F.nullif(F.col("title_ko"), F.lit("")), F.nullif(F.col("title_original"), F.lit("")), F.lit("(제목 없음)"))
+    by = F.coalesce(F.nullif(F.col("publisher"), F.lit("")), F.col("source_id"))
+    teach = F.array(F.concat(F.lit("'"), F.left(title, F.lit(60)), F.lit("' 는 "), F.col("topic_primary"), F.lit(" 분야 교육자료의 배경지식·참고문헌으로 활용할 수 있습니다.")))
+    bare = F.col("summary_basis") == "METADATA_ONLY"
+    facts = F.array(F.concat(F.lit("발행기관: "), by), F.concat(F.lit("발행일: "), F.coalesce(F.col("publication_date").cast("string"), F.lit("미상"))), F.concat(F.lit("문서유형: "), F.col("document_type")))
+    scope = evidence_scope(F.col("summary_basis"), F.col("pages"), F.col("key_points"))
+    return df.withColumns(
+        {
+            "evidence_scope": scope,
+            "headline": F.when(bare, F.concat(by, F.lit(" 발간 '"), title, F.lit("'"))).otherwise(F.coalesce("headline", title)),
+            "key_points": F.when(bare, facts).otherwise(F.col("key_points")),
+            "practical_meaning": F.when(bare, NO_TEXT).otherwise(F.coalesce("practical_meaning", F.lit(NO_PRACTICE))),
+            "education_points": F.when(bare | (F.size("education_points") == 0), teach).otherwise(F.col("education_points")),
+            "caveats": F.when(bare, ONLY_METADATA).otherwise(F.coalesce("caveats", F.lit(NO_CAVEAT))),
+        }
+    )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup, policy, report, runs, search, store
-from ..sources import payloads
+from ..operators import dedup, policy, report, runs, scan, search, store
+from ..operators import summarize as M
+from ..sources import config, payloads, readers
 from .queries import _PART_SQL, _read, query
 
 # Payload normalisers: JSON is built from the documents' whole texts, normalised, and compared field by field.
@@ -424,3 +425,170 @@ def q_search_resources(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("resource_id"), "source", "text")
     hits = search.search(search.build_index(docs, "resource_id", ["text"]), "license", 20)
     return search.hits_with_resources(hits, docs.drop("text")).select("resource_id", "source", F.round("score", 6).alias("score"))
+
+
+# Scans: windows, request plans, query matching, paging; feeds; the remaining sources.
+_normaliser(
+    "nars",
+    f"""'title', {_TITLE}, 'author', 'Kim; Lee', 'deptName', 'O', 'publishDate', {_DAY}, 'regDate', {_DAY}, 'brdSeq', doc_id, 'linkUrl', 'http://n/1', 'fileUrl', 'http://n/1.pdf', 'summary', text, 'reportType', {_KIND}""",
+    official_identifier="source || ':' || doc_id", authors="'Kim; Lee'", publisher="'O'", published=_DUCK_DAY, registered=_DUCK_DAY, modified=_DUCK_DAY, landing_url="'http://n/1'", download_url="'http://n/1.pdf'", language="'en'",
+    document_type="CASE doc_id % 3 WHEN 0 THEN '학술논문' ELSE '연구보고서' END", abstract=_TEXT,
+)
+_normaliser(
+    "assembly_open",
+    f"""'title', {_TITLE}, 'FILE_URL', concat('http://a/v?doc_id=', doc_id, '&x=1'), 'REG_DATE', {_DAY}, 'AUTHOR', 'Kim', 'SUMMARY', text""",
+    official_identifier="source || ':' || doc_id", authors="'Kim'", published=_DUCK_DAY, download_url="'http://a/v?doc_id=' || doc_id || '&x=1'", language="'ko'", abstract=_TEXT,
+)
+
+
+@query("SELECT event_id FROM events WHERE event_id % 9 = 0 OR ts::DATE BETWEEN DATE '2024-01-03' AND DATE '2024-01-10'")
+def q_window_filter(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 9 != 0, F.to_date("ts")).alias("day"))
+    return scan.within(rows, F.lit("2024-01-03").cast("date"), F.lit("2024-01-10").cast("date"), "day").select("event_id")
+
+
+@query("SELECT n_name query_string, y AS year, r_name target FROM nation, unnest(range(2023, 2027)) u(y), region")
+def q_request_plans(spark, sf_dir):
+    queries = _read(spark, sf_dir, "nation").select(F.col("n_name").alias("query_string"))
+    years = scan.by_year(queries, F.lit("2023-11-05").cast("date"), F.lit("2026-02-01").cast("date"))
+    return scan.by_target(_read(spark, sf_dir, "region").select(F.col("r_name").alias("target")), years).select("query_string", F.col("year").cast("long").alias("year"), "target")
+
+
+#: Search terms with what excludes them, for the matching of texts.
+MATCHED = [(1, "q1", ["license", "copyright"], ["apache"]), (2, "q2", ["edst", "the"], []), (3, "q3", [], [])]
+
+
+def _matched(spark: SparkSession, sf_dir: str, annotate: bool) -> DataFrame:
+    queries = spark.createDataFrame(MATCHED, "ord int, query_string string, terms array<string>, exclude_terms array<string>")
+    return scan.match_queries(_read(spark, sf_dir, "documents"), F.col("text"), queries, annotate).select("doc_id", "discovered_by_query")
+
+
+_HAS = "contains(lower(text), '{}')"
+_FIRST_SQL = f"CASE WHEN ({_HAS.format('license')} OR {_HAS.format('copyright')}) {{}} THEN 'q1' WHEN {_HAS.format('edst')} OR {_HAS.format('the')} THEN 'q2' WHEN {_HAS.format('q3')} THEN 'q3' {{}} END"
+
+
+@query(f"SELECT doc_id, discovered_by_query FROM (SELECT doc_id, {_FIRST_SQL.format('AND NOT ' + _HAS.format('apache'), '')} discovered_by_query FROM documents) WHERE discovered_by_query IS NOT NULL")
+def q_query_match(spark, sf_dir):
+    return _matched(spark, sf_dir, False)
+
+
+@query(f"SELECT doc_id, {_FIRST_SQL.format('', 'ELSE ' + chr(39) + 'q1' + chr(39))} discovered_by_query FROM documents")
+def q_query_annotate(spark, sf_dir):
+    return _matched(spark, sf_dir, True)
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey::VARCHAR query_string, 1 + (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1) // 3 AS page, CASE WHEN o_orderkey % 8 <> 0 THEN o_orderdate::DATE END published FROM orders),
+    p AS (SELECT query_string, page, count(*) n, max(published) latest FROM r GROUP BY ALL), l AS (SELECT query_string, min(page) FILTER (n < 3 OR latest < DATE '1996-01-01') stop FROM p GROUP BY query_string)
+    SELECT o_orderkey FROM r JOIN l USING (query_string) WHERE page <= 5 AND (stop IS NULL OR page <= stop) AND (published IS NULL OR published >= DATE '1996-01-01')""")
+def q_page_stop(spark, sf_dir):
+    k = F.col("o_orderkey")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("query_string"), (1 + F.floor((place - 1) / 3)).alias("page"), F.when(k % 8 != 0, F.to_date("o_orderdate")).alias("published"))
+    return scan.read_pages(rows, F.lit("1996-01-01").cast("date"), 3).select("o_orderkey")
+
+
+@query("SELECT user_id, min(event_id) event_id FROM events WHERE event_id % 5 <> 0 GROUP BY user_id UNION ALL SELECT NULL, min(event_id) FROM events WHERE event_id % 5 = 0 GROUP BY event_type")
+def q_drop_repeats(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("user_id"), F.when(F.col("event_id") % 5 != 0, F.col("user_id").cast("string")).otherwise("").alias("k"))
+    return scan.drop_repeats(rows, "k", "event_type", ["event_id"]).select("user_id", "event_id")
+
+
+@query(f"SELECT {_DUCK_TITLE} title, source || ':g' || doc_id official_identifier, {_DUCK_DAY} published, 'http://f/' || doc_id || '.PDF' download_url, 'law' keywords FROM documents")
+def q_rss_items(spark, sf_dir):
+    item = F.concat(F.lit("<item><title>"), F.expr(_TITLE), F.lit("</title><guid>g"), F.col("doc_id"), F.lit("</guid><link>http://l/1</link><pubDate>"), F.expr(_DAY), F.lit("</pubDate><enclosure url='http://f/x.png'/><enclosure url='http://f/"), F.col("doc_id"), F.lit(".PDF'/><category>law</category></item>"))
+    pages = _read(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("seq"), F.concat(F.lit("<rss><channel>"), item, F.lit("</channel></rss>")).alias("xml"))
+    got = _flat(payloads.normalize(readers.rss_items(pages), "institution_feed"))
+    return got.select("title", "official_identifier", "published", "download_url", "keywords")
+
+
+@query("""SELECT doc_id, CASE WHEN text <> '' AND doc_id % 3 = 0 THEN '초록 기준 (원문 전체 미분석)' WHEN doc_id % 3 = 1 OR text = '' THEN '제목·키워드·서지정보 기준' ELSE '원문 전체 1쪽 기준' END evidence_scope,
+    CASE WHEN doc_id % 3 = 1 OR text = '' THEN '원문·초록을 확보하지 못해 내용 분석을 수행하지 않았습니다.' END practical, CASE WHEN doc_id % 3 = 1 OR text = '' THEN 'P 발간 ''Study ' || doc_id || '''' END headline,
+    CASE WHEN doc_id % 3 = 1 OR text = '' THEN '발행기관: P|발행일: 미상|문서유형: 기타' END points FROM documents""")
+def q_summary_record(spark, sf_dir):
+    k = F.col("doc_id")
+    rows = _read(spark, sf_dir, "documents").select(
+        "doc_id", F.when(k % 3 == 2, F.col("text")).otherwise("").alias("fulltext"), F.lit(False).alias("text_extract_failed"), F.when(k % 3 == 0, F.col("text")).otherwise("").alias("abstract_original"), F.lit("").alias("title_ko"),
+        F.concat(F.lit("Study "), k).alias("title_original"), F.lit("P").alias("publisher"), F.col("source").alias("source_id"), F.lit(None).cast("date").alias("publication_date"), F.lit("기타").alias("document_type"), F.lit("01").alias("topic_primary"), F.array(F.lit("none of it")).alias("pages"),
+    )
+    bare = F.col("summary_basis") == "METADATA_ONLY"
+    return M.summary_record(rows).select("doc_id", "evidence_scope", F.when(bare, F.col("practical_meaning")).alias("practical"), F.when(bare, F.col("headline")).alias("headline"), F.when(bare, F.array_join("key_points", "|")).alias("points"))
+
+
+# Reports.
+@query("SELECT count(*) FILTER (o_orderstatus = 'F') n_p1, count(*) FILTER (o_orderstatus = 'O') n_p2, count(*) FILTER (o_orderkey % 2 = 0) n_new, count(*) FILTER (o_orderkey % 2 = 1) n_updated, (SELECT count(*) FROM nation) n_failed FROM orders")
+def q_briefing_counts(spark, sf_dir):
+    level = F.when(F.col("o_orderstatus") == "F", "P1").when(F.col("o_orderstatus") == "O", "P2").otherwise("P3")
+    rows = _read(spark, sf_dir, "orders").select(level.alias("priority_level"), F.when(F.col("o_orderkey") % 2 == 0, "NEW").otherwise("UPDATED").alias("outcome"))
+    return report.briefing_counts(rows, _read(spark, sf_dir, "nation"))
+
+
+@query("SELECT n_name topic_id, count(CASE WHEN c_custkey % 3 = 0 THEN 1 END) n_files FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
+def q_library_stats(spark, sf_dir):
+    nations, customers = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "customer")
+    stored = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("topic_primary"), F.when(F.col("c_custkey") % 3 == 0, "/x").otherwise("").alias("file_path"))
+    return report.library_stats(nations.select(F.col("n_name").alias("topic_id")), stored)
+
+
+@query("SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 7")
+def q_emit_cap(spark, sf_dir):
+    return report.emit_cap(_read(spark, sf_dir, "events"), 7, "user_id", "event_id").select("event_id")
+
+
+@query("""WITH r AS (SELECT DISTINCT url FROM pages) SELECT url, lower(regexp_extract(url, '://([^/?#]*)', 1)) host, (row_number() OVER (PARTITION BY lower(regexp_extract(url, '://([^/?#]*)', 1)) ORDER BY url))::INT turn FROM r""")
+def q_request_turns(spark, sf_dir):
+    return report.request_plan(_read(spark, sf_dir, "pages").select(F.lit("GET").alias("method"), "url", F.lit("").alias("headers"))).select("url", "host", "turn")
+
+
+@query("SELECT page_id FROM pages WHERE starts_with(url, 'https://www.') OR starts_with(url, 'http://a')")
+def q_registered_urls(spark, sf_dir):
+    endpoints = spark.createDataFrame([("https://www.",), ("http://a",)], "endpoint string")
+    return report.registered(_read(spark, sf_dir, "pages").select("page_id", "url"), endpoints).select("page_id")
+
+
+@query("""SELECT n_name source_id, CASE WHEN n_nationkey % 4 = 0 THEN NULL WHEN n_nationkey % 4 = 1 THEN 'OAI_PMH' WHEN n_nationkey % 4 = 2 THEN 'OPEN_API' ELSE 'HTML' END preferred FROM nation""")
+def q_preferred_method(spark, sf_dir):
+    kinds = F.expr("case n_nationkey % 4 when 1 then array('HTML', 'OAI_PMH') when 2 then array('RSS', 'OPEN_API', 'OAI_PMH') when 3 then array('HTML') else cast(array() as array<string>) end")
+    methods = F.transform(kinds, lambda t: F.struct(t.alias("type")))
+    return _read(spark, sf_dir, "nation").select(F.col("n_name").alias("source_id"), config.preferred_method(methods)["type"].alias("preferred"))
+
+
+@query("""SELECT n_name source_id, CASE WHEN n_nationkey % 3 = 0 THEN 'no_endpoint' WHEN n_nationkey % 3 = 1 THEN 'usable' WHEN n_nationkey % 2 = 0 THEN 'usable' ELSE 'no_credential' END status,
+    n_nationkey % 3 = 1 OR (n_nationkey % 3 = 2 AND n_nationkey % 2 = 0) source_usable FROM nation""")
+def q_method_status(spark, sf_dir):
+    k = F.col("n_nationkey")
+    method = F.struct(F.lit("OPEN_API").alias("type"), F.when(k % 3 == 0, "").otherwise("http://e").alias("endpoint"), F.when(k % 3 == 2, F.concat(F.lit("KEY_"), k % 2)).otherwise("").alias("credential_env_var"))
+    sources = _read(spark, sf_dir, "nation").select(F.col("n_name").alias("source_id"), F.lit(True).alias("enabled"), F.array(method).alias("access_methods"))
+    return config.method_status(sources, spark.createDataFrame([("KEY_0",)], "name string")).select("source_id", "status", "source_usable")
+
+
+@query("""SELECT 'w' || c_nationkey work_id, coalesce(arg_max(CASE WHEN c_custkey % 2 = 0 THEN c_name END, c_custkey), NULL) doi, arg_max(c_mktsegment, c_custkey) title, arg_min(c_name, c_custkey) first_author, min(c_custkey) first_key, count(*) n_resources FROM customer GROUP BY c_nationkey""")
+def q_works(spark, sf_dir):
+    k = F.col("c_custkey")
+    when = F.date_add(F.lit("2020-01-01").cast("date"), k.cast("int"))
+    rows = _read(spark, sf_dir, "customer").select(
+        F.concat(F.lit("w"), "c_nationkey").alias("work_id"), F.when(k % 2 == 0, F.col("c_name")).otherwise("").alias("doi"), F.col("c_mktsegment").alias("title_original"), F.array("c_name").alias("authors"), F.lit(None).cast("date").alias("publication_date"),
+        when.alias("first_seen_at"), when.alias("last_seen_at"),
+    )
+    return store.works(rows).select("work_id", "doi", "title", "first_author", F.datediff("created_at", F.lit("2020-01-01").cast("date")).cast("long").alias("first_key"), "n_resources")
+
+
+@query("SELECT c_custkey resource_id, '<div class=''card''><h3>[P1] ' || c_name || '</h3><p>&lt;b&gt;' || c_mktsegment || '</p>' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '<p class=''warn''>라이선스 불명확</p>' END || '</div>' html FROM customer WHERE c_custkey % 3 = 0")
+def q_cards(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = _read(spark, sf_dir, "customer").select(k.alias("resource_id"), F.lit(1).alias("relevance_score"), F.when(k % 3 == 0, "P1").otherwise("P4").alias("priority_level"), F.lit("").alias("title_ko"), F.col("c_name").alias("title_original"), F.concat(F.lit("<b>"), "c_mktsegment").alias("summary_ko"), (k % 2 != 0).alias("license_unknown"))
+    return report.cards(rows).select("resource_id", "html")
+
+
+@query("WITH f AS (SELECT user_id, event_id, event_type <> 'error' ok FROM events), l AS (SELECT user_id, max(event_id) FILTER (ok) last FROM f GROUP BY user_id) SELECT user_id::VARCHAR source_id, count(*) consecutive_failures FROM f JOIN l USING (user_id) WHERE NOT ok AND (last IS NULL OR event_id > last) GROUP BY user_id HAVING count(*) >= 2")
+def q_source_failures(spark, sf_dir):
+    attempts = _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source_id"), "event_id", (F.col("event_type") != "error").alias("ok"))
+    return report.source_failures(runs.consecutive_failures(attempts, "source_id", ["event_id"], "ok"), 2)
+
+
+@query("SELECT n_name source_id, (row_number() OVER (ORDER BY n_nationkey % 5 <> 0, n_regionkey, n_name))::INT place FROM nation WHERE n_nationkey % 7 <> 0")
+def q_source_order(spark, sf_dir):
+    nations = _read(spark, sf_dir, "nation")
+    sources = nations.select(F.col("n_name").alias("source_id"), F.col("n_regionkey").alias("priority"), (F.col("n_nationkey") % 7 != 0).alias("enabled"))
+    failed = nations.where("n_nationkey % 5 = 0").select(F.col("n_name").alias("source_id"))
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("failed"), "priority", "source_id"))
+    return runs.source_order(sources, failed).select("source_id", place.alias("place"))

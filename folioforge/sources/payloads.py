@@ -8,6 +8,7 @@ without a DOI.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -230,17 +231,32 @@ PRESETS: dict[str, dict[str, str]] = {
     "nkis": {"title": "title", "identifier": "otpId", "authors": "author", "publisher": "orgName", "publication_date": "pubDate", "landing_url": "url", "abstract": "abstract"},
     "prism": {"title": "bizNm", "identifier": "bizId", "publisher": "orgNm", "publication_date": "regDate", "landing_url": "detailUrl"},
     "kknowledge": {"title": "title", "identifier": "id", "authors": "creator", "publisher": "publisher", "publication_date": "issued", "landing_url": "url"},
+    "nars": {
+        "title": "title", "authors": "author", "publisher": "deptName", "publication_date": "publishDate", "registered_date": "regDate", "identifier": "brdSeq", "landing_url": "linkUrl",
+        "download_url": "fileUrl", "abstract": "summary", "document_type": "reportType",
+    },
     "scienceon": {"title": "Title", "identifier": "CN", "authors": "Author", "publisher": "Publisher", "publication_date": "Pubyear", "doi": "DOI", "abstract": "Abstract", "landing_url": "ContentURL"},
 }
 
 
+def dig(path: str) -> Column:
+    """The text at a dotted path of the payload; wherever a list stands on the way its first element is
+    taken.  One try a choice of places with lists, the most lists first."""
+    steps = path.split(".")
+    tries = ["$." + ".".join(n + x for n, x in zip(steps, marks)) for marks in product(("[0]", ""), repeat=len(steps))]
+    return T.clean_whitespace(F.coalesce(*[_get(t) for t in tries]))
+
+
+def merged_fields(preset: str, overrides: dict[str, str] | None = None) -> dict[str, str]:
+    """A preset's field map with a source's own over it; empty paths take a field out."""
+    return {k: v for k, v in (PRESETS[preset] | (overrides or {})).items() if v}
+
+
 def mapped(raw: DataFrame, fields: dict[str, str], publisher: str = "", default_type: str = T.OTHER_TYPE) -> DataFrame:
     """A source described by a field map (our field to a dotted path; of lists the first element): the
     projection that a user adds without code."""
 
-    def at(name: str) -> Column:
-        path = fields.get(name)
-        return T.clean_whitespace(F.coalesce(_get(f"$.{path}[0]"), _get(f"$.{path}"))) if path else F.lit("")
+    at = lambda name: dig(fields[name]) if fields.get(name) else F.lit("")
 
     title, doi, key = at("title"), T.normalize_doi(at("doi")), at("identifier")
     names = fields.get("authors")
@@ -281,10 +297,44 @@ def assembly(raw: DataFrame, fields: dict[str, str], publisher: str = "", templa
     return _project(df, values, F.when(key == "", "").otherwise(F.concat("source_id", F.lit(":"), key)))
 
 
+def nars(raw: DataFrame, template: str = "", name: str = "", overrides: dict[str, str] | None = None) -> DataFrame:
+    """Reports of the type research report; a missing landing page is made from ``template`` and the
+    identifier, a missing publisher is ``name``."""
+    df = mapped(raw, merged_fields("nars", overrides), name, "연구보고서")
+    number = F.substring_index("official_identifier", ":", -1)
+    made = F.when((F.col("landing_url") == "") & (number != "") & F.lit(bool(template)), F.replace(F.lit(template), F.lit("{id}"), number))
+    return df.withColumn("landing_url", F.coalesce(made, F.col("landing_url")))
+
+
+def kknowledge(raw: DataFrame, name: str = "", overrides: dict[str, str] | None = None) -> DataFrame:
+    """Records of other publishers: the licence never counts as known."""
+    return mapped(raw, merged_fields("kknowledge", overrides), name).withColumn("license_unknown", F.lit(True))
+
+
+def passive(raw: DataFrame) -> DataFrame:
+    """A source that is never scanned: no rows; its rules apply to what others find (``policy.adopt``,
+    ``open_locations``)."""
+    return _project(raw.where("false"), {"title_original": F.lit("")}, F.lit(""))
+
+
+#: Default field names of the assembly's envelopes.
+ASSEMBLY_FIELDS = {"title": "TITLE", "identifier": "ID", "landing_url": "LINK_URL", "download_url": "FILE_URL", "publication_date": "REG_DATE", "authors": "AUTHOR", "abstract": "SUMMARY"}
+
+
+def first_seen(df: DataFrame, *keys: str) -> DataFrame:
+    """Of the records with equal, filled ``keys`` the first by identifier; records without a key stay."""
+    filled = F.concat_ws("\x01", *keys)
+    empty = df.where(F.coalesce(F.col(keys[0]), F.lit("")) == "")
+    rest = df.where(F.coalesce(F.col(keys[0]), F.lit("")) != "").groupBy(filled.alias("__k")).agg(F.min_by(F.struct(*df.columns), "resource_id").alias("x")).select("x.*")
+    return rest.unionByName(empty)
+
+
 NORMALIZERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "crossref": crossref, "openalex": openalex, "semantic_scholar": semantic_scholar, "core": core, "doaj": doaj, "zenodo": zenodo, "arxiv": arxiv, "kci": dublin_core,
     "oai_pmh": dublin_core, "law_openapi": law, "institution_feed": feed, "generic_api": lambda raw: mapped(raw, {f: f for f in ("title", "doi", "identifier", "authors", "publisher", "publication_date", "landing_url", "download_url", "license", "abstract", "keywords")}),
-} | {name: (lambda raw, f=f: mapped(raw, f)) for name, f in PRESETS.items()}
+} | {name: (lambda raw, f=f: mapped(raw, f)) for name, f in PRESETS.items()} | {
+    "nars": nars, "kknowledge": kknowledge, "assembly_open": lambda raw: assembly(raw, ASSEMBLY_FIELDS), "riss": passive, "ssrn": passive, "unpaywall": passive,
+}
 
 
 def normalize(raw: DataFrame, connector: str) -> DataFrame:

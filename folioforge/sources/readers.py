@@ -40,6 +40,25 @@ def atom_entries(pages: DataFrame) -> DataFrame:
     return rows.select("source_id", (F.col("seq") * 100_000 + F.col("pos")).alias("seq"), payload.alias("payload"), F.expr(_NO_QUERY))
 
 
+#: Ends of links to documents.
+DOCUMENT_ENDS = ("pdf", "hwp", "hwpx", "docx")
+
+
+def rss_items(pages: DataFrame) -> DataFrame:
+    """RSS pages (source_id, seq, xml) to raw items as ``payloads.feed`` reads them: one <item> a row."""
+    def one(*names: str) -> Column:
+        tried = [F.nullif(F.trim(F.xpath_string("element", F.lit(f"//*[local-name()='{n}']"))), F.lit("")) for n in names]
+        return F.coalesce(*tried, F.lit(""))
+
+    rows = xml_records(pages, "item")
+    links = F.filter(F.xpath("element", F.lit("//*[local-name()='enclosure']/@url")), lambda u: F.lower(u).rlike(rf"\.({'|'.join(DOCUMENT_ENDS)})$"))
+    payload = F.struct(
+        one("title").alias("title"), one("link").alias("link"), one("description", "summary").alias("summary"), one("pubDate", "published", "updated", "date").alias("published"),
+        one("author", "creator").alias("author"), one("guid", "id", "link").alias("id"), links.alias("enclosures"), F.xpath("element", F.lit("//*[local-name()='category']/text()")).alias("tags"),
+    )
+    return rows.select("source_id", (F.col("seq") * 100_000 + F.col("pos")).alias("seq"), F.to_json(payload).alias("payload"), F.expr(_NO_QUERY))
+
+
 #: The elements of Dublin Core.
 DUBLIN_CORE = ["title", "creator", "subject", "description", "publisher", "contributor", "date", "type", "format", "identifier", "source", "language", "relation", "coverage", "rights"]
 
