@@ -27,6 +27,7 @@ _NEAR = 32
 #: Hits so close to the one before make no cut of their own where there is no word start.
 _APART = 8
 _LAST = 2**63 - 1
+_TAG = 0xFFFFFF
 _BLANK = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D], dtype=np.uint32)
 
 
@@ -61,7 +62,7 @@ def cut_points(chars: np.ndarray, mean: int = 40) -> np.ndarray:
 
 
 def _chunk_rows(mean: int):
-    """d1, d2: a chunk's 128-bit digest; place: start (28 bits), length (8), the text's tag (28)."""
+    """d1, d2: a chunk's 128-bit digest; place: start (31 bits, so any text), length (8), the text's tag (24)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -74,8 +75,8 @@ def _chunk_rows(mean: int):
                     cuts = cut_points(np.frombuffer(raw, dtype=np.uint32), mean)
                     view, ends = memoryview(raw), (cuts * 4).tolist()
                     digests += [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(ends, ends[1:])]
-                    tag = zlib.crc32(text.encode()) & 0xFFFFFFF
-                    places.append((cuts[:-1] << 36) | (np.diff(cuts) << 28) | tag)
+                    tag = zlib.crc32(text.encode()) & _TAG
+                    places.append((cuts[:-1] << 32) | (np.diff(cuts) << 24) | tag)
                     owners.append(np.full(len(cuts) - 1, whole.column(0)[at].as_py(), dtype=np.int64))
                     size, at = size + len(text), at + 1
                 two = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
@@ -85,7 +86,7 @@ def _chunk_rows(mean: int):
 
 
 def _start(place: str) -> F.Column:
-    return F.shiftrightunsigned(F.col(place), 36).cast("int")
+    return F.shiftrightunsigned(F.col(place), 32).cast("int")
 
 
 def repeated_spans(docs: DataFrame, mean: int = 40, least: int = 90) -> DataFrame:
@@ -97,8 +98,9 @@ def repeated_spans(docs: DataFrame, mean: int = 40, least: int = 90) -> DataFram
     formulas and phrases stay.  source_* is where the span's first chunk occurs first.
 
     Defined cases: null or empty texts have no chunks.  A null doc_id counts as the largest, and rows
-    that share a doc_id count as one document, which never repeats itself; text_tag (28 bits of the
-    text's CRC-32) tells their spans apart.  Texts over 2**28 code points are refused.  An empty table
+    that share a doc_id count as one document, which never repeats itself; text_tag (24 bits of the
+    text's CRC-32) tells their spans apart.  A text may be as long as a string can be; a task holds one
+    at a time, at about 20 bytes a code point.  An empty table
     gives no rows; other columns are ignored.
 
     Shuffles: chunks by digest, once to find each digest's first owner (combined before the shuffle)
@@ -110,7 +112,7 @@ def repeated_spans(docs: DataFrame, mean: int = 40, least: int = 90) -> DataFram
     chunks = docs.select(own, F.col("text").cast("string").alias("text")).where("length(text) > 0").mapInArrow(_chunk_rows(mean), "d1 long, d2 long, doc long, place long")
     first = chunks.groupBy("d1", "d2").agg(F.min(F.struct("doc", "place")).alias("f"), F.max("doc").alias("last")).where("f.doc <> last")
     first = Tables(docs.sparkSession, "owners").put("first", first.select("d1", "d2", F.col("f.doc").alias("src"), F.col("f.place").alias("src_place")))
-    again = chunks.join(first, ["d1", "d2"]).where("doc <> src").select("doc", F.col("place").bitwiseAND(0xFFFFFFF).cast("int").alias("tag"), _start("place").alias("s"), F.shiftright("place", 28).bitwiseAND(255).cast("int").alias("n"), "src", _start("src_place").alias("ss"))
+    again = chunks.join(first, ["d1", "d2"]).where("doc <> src").select("doc", F.col("place").bitwiseAND(_TAG).cast("int").alias("tag"), _start("place").alias("s"), F.shiftright("place", 24).bitwiseAND(255).cast("int").alias("n"), "src", _start("src_place").alias("ss"))
     again = again.repartition("doc", "tag").dropDuplicates(["doc", "tag", "s"])  # copies of a row
     by = Window.partitionBy("doc", "tag").orderBy("s")
     again = again.withColumn("new", F.when(F.col("s") == F.lag(F.col("s") + F.col("n")).over(by), 0).otherwise(1))
@@ -131,7 +133,7 @@ def without_repeats(docs: DataFrame, mean: int = 40, least: int = 90, broadcast_
     cuts = repeated_spans(docs, mean, least).groupBy("doc_id", "text_tag").agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("__ff_cuts"))
     cuts = tables.put("cuts", cuts.select(F.col("doc_id").alias("__ff_id"), F.col("text_tag").alias("__ff_tag"), "__ff_cuts"))
     side = F.broadcast(cuts) if small_enough(cuts, broadcast_rows) else cuts
-    tag = F.crc32(F.col("text").cast("string").cast("binary")).bitwiseAND(0xFFFFFFF).cast("int")
+    tag = F.crc32(F.col("text").cast("string").cast("binary")).bitwiseAND(_TAG).cast("int")
     out = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["__ff_id"]) & (tag == side["__ff_tag"]), "left")
     before = F.concat(F.array(F.lit(0)), F.col("__ff_cuts.span_end"))
     after = F.concat(F.col("__ff_cuts.span_start"), F.array(F.length("text")))

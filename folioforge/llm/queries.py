@@ -100,7 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: Clusters, merges and chunks have no SQL form; tests hold those against brute force.
+#: Clusters, merges and chunks have no SQL form: tests hold op4 against a nearest-centroid search by hand, op8
+#: against the tiktoken library, op9 against chunks in dictionaries.
 ORACLES: dict[str, str] = {
     "op1_document_fingerprints": oracles.fingerprints(BLOCK),
     "op2_mix_sources": oracles.MIX,
