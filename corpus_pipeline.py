@@ -94,7 +94,7 @@ STAGES = [
     ("byte_level_bpe", byte_level_bpe),
 ]
 
-#: Clusters, signatures and merges have no SQL form; tests hold every stage against brute force.
+#: Clusters, signatures and merges have no SQL form; tests/llm/test_brute_force.py holds every stage against plain Python.
 ORACLE_SQL = None
 
 
