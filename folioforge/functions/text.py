@@ -102,7 +102,8 @@ def strip_tags(c: Column) -> Column:
 
 def page_title(html: Column) -> Column:
     """Content of the first <title>, inner tags as blanks; empty without one."""
-    return F.trim(F.regexp_replace(F.regexp_extract(text_of(html), "(?is)<title[^>]*>(.*?)</title>", 1), "<[^>]+>", " "))
+    inner = F.regexp_replace(F.regexp_extract(text_of(html), "(?is)<title[^>]*>(.*?)</title>", 1), "<[^>]+>", " ")
+    return F.regexp_replace(inner, r"(?U)^\s+|\s+$", "")
 
 
 def document_type(*texts: Column) -> Column:
