@@ -13,6 +13,8 @@ still line up, wherever those moved.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +72,18 @@ def changed_sections(a: Column, b: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: ~F.coalesce(F.get(x, i) == F.get(y, i), F.lit(False)))
 
 
+def _below(bounds: list[int], key: Column) -> Column:
+    """How many of the sorted ``bounds`` are less than ``key``: by blocks of about the root of their
+    number, then within one block, so that a row meets some 90 of 2,047 bounds."""
+    if not bounds:
+        return F.lit(0)
+    step = isqrt(len(bounds)) + 1
+    less = lambda values: F.size(F.filter(values, lambda b: b < key))
+    longs = lambda values: F.array(*[F.lit(b) for b in values]).cast("array<bigint>")
+    blocks = less(longs(bounds[step - 1 :: step])) * step
+    return blocks + less(F.slice(longs(bounds), blocks + 1, F.lit(step)))
+
+
 def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
     """``docs`` (doc_id and ``columns``) with next_<column> from the next row by descending doc_id; the
     last row is followed by the first.
@@ -84,8 +98,7 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -
     docs = docs.select("doc_id", *columns, key.alias("__key"))
     bounds = docs.select(F.percentile_approx("__key", [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"] if n > 1 else None
     bounds = sorted(set(bounds or []))
-    above = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("__key"))) if bounds else F.lit(0)
-    docs = docs.withColumn("__part", (F.lit(len(bounds)) - above).cast("int"))
+    docs = docs.withColumn("__part", (F.lit(len(bounds)) - _below(bounds, F.col("__key"))).cast("int"))
     first = sorted((r["__part"], r["k"]) for r in docs.groupBy("__part").agg(F.max("__key").alias("k")).collect())  # a row a range
     if not first:
         return docs.select("doc_id", *columns, *[F.col(c).alias(f"next_{c}") for c in columns])

@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from folioforge.llm.bpe import Tokenizer, Utf8Decoder, encode_and_decode, parse_ranks
-from folioforge.llm.fingerprints import fingerprint, fingerprint_edits, likeness
+from folioforge.llm.fingerprints import fingerprint, fingerprint_edits, likeness, with_next
 from folioforge.llm.langid import fit, held_out, predict
 from folioforge.llm.licenses import TEMPLATES, TokenAutomata, count_words, scan, scan_licenses, words
 from folioforge.llm.linefreq import line_frequency_rules
@@ -38,6 +38,17 @@ def test_fingerprint_contract(documents, prose):
     assert len(tied) == 3 and {r.doc_id for r in tied} == {1, None}
 
 
+@pytest.mark.parametrize("buckets", [1, 2, 5, 70, 400])
+def test_next_rows_over_many_ranges(documents, buckets):
+    r = random.Random(8)
+    ids = r.sample(range(-5000, 5000), 900) + [-(2**62), 2**62]
+    docs = documents([(i, f"text {i}") for i in ids])
+    order = sorted(ids, reverse=True)
+    got = {x.doc_id: x.next_text for x in with_next(docs, ["text"], buckets).collect()}
+    assert got == {i: f"text {n}" for i, n in zip(order, order[1:] + order[:1])}
+
+
+
 def test_roots_tell_texts_apart(spark):
     texts = ["a\n\nb", "a\nb", "ab", "a\n\n\nb", "", "\n", "\n\n", "a\n\nb\n"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(fingerprint(F.col("t")).alias("f"))
