@@ -17,7 +17,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import batched, chain
 from pathlib import Path
 
 import pyarrow as pa
@@ -212,15 +212,16 @@ class Tokenizer:
         self.known.trim()
         return list(chain.from_iterable(map(self.known.__getitem__, self.find(text))))
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.stream(ids))
+    def decode(self, ids: Iterable[int], replace: bool = False) -> str:
+        return "".join(self.stream(ids, replace=replace))
 
-    def stream(self, ids: Iterable[int], step: int = 16_384) -> Iterator[str]:
-        """The text in pieces, each as soon as its characters are whole."""
-        ids, decoder = list(ids), Utf8Decoder()
-        for at in range(0, len(ids), step):
-            yield decoder.feed(b"".join(map(self.bytes_of.__getitem__, ids[at : at + step])))
-        decoder.end()
+    def stream(self, ids: Iterable[int], step: int = 16_384, replace: bool = False) -> Iterator[str]:
+        """The text in pieces, each as soon as its characters are whole; ``step`` ids are held at a time.
+        Ids whose bytes are no UTF-8, or end within a character, are a ValueError, or U+FFFD with ``replace``."""
+        decoder = Utf8Decoder(replace)
+        for some in batched(ids, step):
+            yield decoder.feed(b"".join(map(self.bytes_of.__getitem__, some)))
+        yield decoder.end()
 
 
 def _finder(pattern: str):
@@ -273,32 +274,66 @@ class _Pieces(dict):
         return ids
 
 
+def _utf8_states() -> list[list[int]]:
+    """The next state by state and byte, -1 where the byte can't follow.  0: between characters; 1, 2, 3:
+    so many continuation bytes are due; 4 to 7: after E0, ED, F0 and F4, whose next byte is restricted."""
+    steps = [[-1] * 256 for _ in range(8)]
+    for state, low, high, to in (
+        (0, 0x00, 0x7F, 0), (0, 0xC2, 0xDF, 1), (0, 0xE0, 0xE0, 4), (0, 0xE1, 0xEC, 2), (0, 0xED, 0xED, 5), (0, 0xEE, 0xEF, 2),
+        (0, 0xF0, 0xF0, 6), (0, 0xF1, 0xF3, 3), (0, 0xF4, 0xF4, 7), (1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2),
+        (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2),
+    ):
+        steps[state][low : high + 1] = [to] * (high + 1 - low)
+    return steps
+
+
+_UTF8 = _utf8_states()
+
+
 class Utf8Decoder:
-    """UTF-8 in pieces: ``due`` continuation bytes are missing of the character begun in ``rest``."""
+    """UTF-8 in pieces cut anywhere: ``state`` of ``_UTF8``, ``rest`` the bytes of the character begun.
+
+    What is no UTF-8 is an error (``replace`` false), or each longest part that could begin a character,
+    or else each byte, becomes one U+FFFD.  The states take the bytes of characters that pieces share;
+    between them, whole runs are decoded at once, and by the states again where that finds a fault.
+    """
 
-    def __init__(self):
-        self.rest, self.due = b"", 0
+    def __init__(self, replace: bool = False):
+        self.rest, self.state, self.replace = b"", 0, replace
+
+    def _fault(self, raw: bytes, what: str) -> str:
+        self.rest, self.state = b"", 0
+        if not self.replace:
+            raise ValueError(f"{what}: {raw.hex()}")
+        return "\ufffd"
+
+    def _step(self, byte: int) -> str:
+        to = _UTF8[self.state][byte]
+        if to < 0:
+            if self.state:
+                return self._fault(self.rest, "a character is cut short") + self._step(byte)
+            return self._fault(bytes([byte]), "no character begins so")
+        self.rest, self.state = self.rest + bytes([byte]), to
+        if to:
+            return ""
+        char, self.rest = self.rest.decode("utf-8"), b""
+        return char
 
     def feed(self, raw: bytes) -> str:
-        if self.due:
-            take = raw[: self.due]
-            self.rest, self.due, raw = self.rest + take, self.due - len(take), raw[len(take) :]
-            if self.due:
-                return ""
-        whole, self.rest = self.rest, b""
-        begun = len(raw)
-        while begun and len(raw) - begun < 3 and raw[begun - 1] & 0xC0 == 0x80:
-            begun -= 1
-        if begun and raw[begun - 1] >= 0xC0:
-            lead, have = raw[begun - 1], len(raw) - begun
-            due = (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0) - have
-            if due > 0:
-                self.rest, self.due, raw = raw[begun - 1 :], due, raw[: begun - 1]
-        return (whole + raw).decode("utf-8")
-
-    def end(self) -> None:
-        if self.due:
-            raise ValueError("the bytes end within a character")
+        out, at = [], 0
+        while self.state and at < len(raw):
+            out.append(self._step(raw[at]))
+            at += 1
+        begun = next((k for k in range(len(raw) - 1, max(at, len(raw) - 3) - 1, -1) if raw[k] >= 0xC0), len(raw))
+        try:
+            out.append(raw[at:begun].decode("utf-8"))
+        except UnicodeDecodeError:
+            out += map(self._step, raw[at:begun])
+        out += map(self._step, raw[begun:])
+        return "".join(out)
+
+    def end(self) -> str:
+        return self._fault(self.rest, "the bytes end within a character") if self.state else ""
 
 
 def _digests(raw: bytes, pattern: str, with_ids: bool, memory: float):
