@@ -13,6 +13,7 @@ still line up, wherever those moved.
 
 from __future__ import annotations
 
+from collections import Counter
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, text_or_empty
 
 BLOCK = 32
-_LEAST = -(2**63)
+_LEAST, _MOST = -(2**63), 2**63 - 1
 
 
 def _sha(c: Column) -> Column:
@@ -67,21 +68,81 @@ def likeness(a: Column, b: Column) -> Column:
 
 def changed_sections(a: Column, b: Column) -> Column:
     """Numbers (from 0) of sections of ``a`` whose leaves differ from the section at that place in
-    ``b``: the walk down differing branches."""
+    ``b``; ``locate_edits`` walks whole trees and finds sections that moved."""
     x, y = F.split(F.substring(a, 66, 2**31 - 1), ";", -1), F.split(F.substring(b, 66, 2**31 - 1), ";", -1)
     return F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: ~F.coalesce(F.get(x, i) == F.get(y, i), F.lit(False)))
 
 
-def _below(bounds: list[int], key: Column) -> Column:
-    """How many of the sorted ``bounds`` are less than ``key``: by blocks of about the root of their
-    number, then within one block, so that a row meets some 90 of 2,047 bounds."""
+def _tree(text: Column) -> Column:
+    """(root, sections: array of (digest, paragraphs: array of digests)); the root is that of ``merkle_root``."""
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    paragraphs = lambda s: F.transform(F.split(s, "\n", -1), lambda p: _sha(F.concat(F.lit("p"), p)))
+    section = lambda s: let(paragraphs(s), lambda ps: F.struct(_sha(F.concat(F.lit("s"), F.array_join(ps, ""))).alias("digest"), ps.alias("paragraphs")))
+    root = lambda x: _sha(F.concat(F.lit("r"), F.array_join(x["digest"], "")))
+    return let(F.transform(sections(text), section), lambda x: F.struct(root(x).alias("root"), x.alias("sections")))
+
+
+def merkle_trees(docs: DataFrame) -> DataFrame:
+    """(doc_id, root, sections) for every row of ``docs`` (doc_id, text): all digests of the tree above the
+    blocks, to be stored and walked by ``locate_edits``.  Narrow: no shuffle.  A null text counts as empty,
+    which is one empty paragraph in one section; null and repeated doc_ids are passed on."""
+    return docs.select("doc_id", _tree(text_or_empty()).alias("t")).select("doc_id", "t.root", "t.sections")
+
+
+def locate_edits(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Where two versions of documents differ, from their ``merkle_trees`` alone: (doc_id, side, section,
+    paragraph), a row for each paragraph of the old version that the new one lacks (side "old") or the
+    other way round ("new"), places from 0.
+
+    The walk goes down level by level: documents with equal roots end there; of the others, sections
+    whose digest the other version also has, at whatever place, end there; of the rest, paragraphs.  So
+    an inserted or moved section marks no other one.  A document whose versions differ in order or
+    repeats alone gives one row with null section and paragraph for each side.
+
+    Defined cases: a doc_id that only one side has differs in all its paragraphs; null is a doc_id; rows
+    that share a doc_id are taken together.  Empty tables give no rows.  Each level is an equi-join of
+    digests; documents are never gathered, so a text of any length and a hot doc_id are split by digest.
+    """
+
+    def lacks(x: DataFrame, y: DataFrame, digest: str) -> DataFrame:
+        y = y.select(F.col("doc_id").alias("__id"), F.col(digest).alias("__digest")).distinct()
+        return x.join(y, x["doc_id"].eqNullSafe(y["__id"]) & (x[digest] == y["__digest"]), "left_anti")
+
+    # (doc_id, root) of both sides: ids with a root that one side lacks
+    roots = [x.select("doc_id", "root") for x in (old, new)]
+    changed = lacks(*roots, "root").union(lacks(*reversed(roots), "root")).select(F.col("doc_id").alias("__changed")).distinct()
+    down = [x.join(changed, x["doc_id"].eqNullSafe(changed["__changed"]), "left_semi").select("doc_id", F.posexplode("sections").alias("section", "s")) for x in (old, new)]
+    down = [x.select("doc_id", "section", "s.digest", "s.paragraphs") for x in down]
+    down = [lacks(x, y, "digest").select("doc_id", "section", F.posexplode("paragraphs").alias("paragraph", "digest")) for x, y in (down, reversed(down))]
+    found = [lacks(x, y, "digest").select("doc_id", F.lit(side).alias("side"), "section", "paragraph") for x, y, side in ((*down, "old"), (*reversed(down), "new"))]
+    found = found[0].union(found[1])
+    ids = found.select(F.col("doc_id").alias("__found")).distinct()
+    alike = changed.join(ids, changed["__changed"].eqNullSafe(ids["__found"]), "left_anti")
+    none = F.lit(None).cast("int")
+    return found.union(alike.select(F.col("__changed").alias("doc_id"), F.explode(F.array(F.lit("old"), F.lit("new"))).alias("side"), none.alias("section"), none.alias("paragraph")))
+
+
+def _longs(values: list[int | None]) -> Column:
+    return F.array(*[F.lit(b) for b in values]).cast("array<bigint>")
+
+
+def _below(bounds: list[tuple[int, int]], key: Column, tie: Column) -> Column:
+    """How many of the sorted ``bounds`` are less than (``key``, ``tie``): by their keys, in blocks of
+    about the root of their number and then within one block, so that a row meets some 90 of 2,047
+    bounds; and where bounds share the row's key, by their ties."""
     if not bounds:
         return F.lit(0)
-    step = isqrt(len(bounds)) + 1
-    less = lambda values: F.size(F.filter(values, lambda b: b < key))
-    longs = lambda values: F.array(*[F.lit(b) for b in values]).cast("array<bigint>")
-    blocks = less(longs(bounds[step - 1 :: step])) * step
-    return blocks + less(F.slice(longs(bounds), blocks + 1, F.lit(step)))
+    keys = [k for k, _ in bounds]
+    step = isqrt(len(keys)) + 1
+    less = lambda values, x: F.size(F.filter(values, lambda b: b < x))
+    blocks = less(_longs(keys[step - 1 :: step]), key) * step
+    below = blocks + less(F.slice(_longs(keys), blocks + 1, F.lit(step)), key)
+    hot = {k: [t for x, t in bounds if x == k and t < _MOST] for k in keys}
+    hot = {k: ties for k, ties in hot.items() if ties}
+    if not hot:
+        return below
+    ties = F.create_map(*[x for k, t in hot.items() for x in (F.lit(k).cast("long"), _longs(t))])
+    return below + F.coalesce(less(ties[key], tie), F.lit(0))
 
 
 def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
@@ -90,22 +151,28 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -
 
     No global sort in one task: quantiles of doc_id (at most 2,048 longs to the driver, whatever the
     rows) give ranges; a window orders one range, and each range's first row also goes, marked, to
-    the range before it.  Null doc_ids come last; rows that repeat a doc_id are ordered by their
-    columns.
+    the range before it.  Null doc_ids come last; rows that repeat a doc_id are ordered by a hash of
+    their columns, and a doc_id at several quantiles is split into as many ranges of that hash.  Only
+    rows equal in all of these stay together.
     """
     n = min(2048, buckets or 2 * shuffle_partitions(docs.sparkSession))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
-    docs = docs.select("doc_id", *columns, key.alias("__key"))
-    bounds = docs.select(F.percentile_approx("__key", [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"] if n > 1 else None
-    bounds = sorted(set(bounds or []))
-    docs = docs.withColumn("__part", (F.lit(len(bounds)) - _below(bounds, F.col("__key"))).cast("int"))
-    first = sorted((r["__part"], r["k"]) for r in docs.groupBy("__part").agg(F.max("__key").alias("k")).collect())  # a row a range
+    docs = docs.select("doc_id", *columns, key.alias("__key"), F.xxhash64(*columns).alias("__tie"))
+    q = docs.select(F.percentile_approx("__key", [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"] if n > 1 else None
+    bounds = []
+    for k, times in sorted(Counter(q or []).items()):
+        bounds += [(k, _LEAST + i * (2**64 // times)) for i in range(1, times)] + [(k, _MOST)]
+    docs = docs.withColumn("__part", (F.lit(len(bounds)) - _below(bounds, F.col("__key"), F.col("__tie"))).cast("int"))
+    first = sorted((r["__part"], *r["k"]) for r in docs.groupBy("__part").agg(F.max(F.struct("__key", "__tie")).alias("k")).collect())  # a row a range
     if not first:
         return docs.select("doc_id", *columns, *[F.col(c).alias(f"next_{c}") for c in columns])
-    before = F.create_map(*[x for (_, k), (p, _) in zip(first, [first[-1], *first[:-1]]) for x in (F.lit(k).cast("long"), F.lit(p))])
-    places = F.array(F.struct(F.col("__part").alias("part"), F.lit(0).alias("guest")), F.struct(before[F.col("__key")].alias("part"), F.lit(1).alias("guest")))
+    heads, before = {p: (k, t) for p, k, t in first}, {p: q for (p, _, _), (q, _, _) in zip(first, [first[-1], *first[:-1]])}
+    at = lambda values: F.get(_longs([values.get(p) for p in range(len(bounds) + 1)]), F.col("__part"))
+    leads = (at({p: k for p, (k, _) in heads.items()}) == F.col("__key")) & (at({p: t for p, (_, t) in heads.items()}) == F.col("__tie"))
+    guest = F.when(leads, at(before).cast("int"))
+    places = F.array(F.struct(F.col("__part").alias("part"), F.lit(0).alias("guest")), F.struct(guest.alias("part"), F.lit(1).alias("guest")))
     docs = docs.withColumn("__at", F.explode(F.filter(places, lambda x: x["part"].isNotNull())))
-    order = Window.partitionBy("__at.part").orderBy("__at.guest", F.desc("__key"), *columns)
+    order = Window.partitionBy("__at.part").orderBy("__at.guest", F.desc("__key"), F.desc("__tie"), *columns)
     docs = docs.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
     return docs.where("__at.guest = 0").select("doc_id", *columns, *[f"next_{c}" for c in columns])
 
@@ -120,7 +187,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     Defined cases: a null text counts as empty; two empty texts are alike (1), an empty and another
     are not (0).  A single row is its own next.  Null doc_ids come last, repeated ones in the order of
-    their texts.  An empty table gives no rows; other columns are ignored.
+    a hash of their texts.  An empty table gives no rows; other columns are ignored.
     """
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     docs = with_next(docs.withColumn("fp", fingerprint(F.col("text"))), ["text", "fp"])

@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from folioforge.llm.bpe import Tokenizer, Utf8Decoder, encode_and_decode, parse_ranks
-from folioforge.llm.fingerprints import fingerprint, fingerprint_edits, likeness, with_next
+from folioforge.llm.fingerprints import fingerprint, fingerprint_edits, likeness, locate_edits, merkle_root, merkle_trees, with_next
 from folioforge.llm.langid import fit, held_out, predict
 from folioforge.llm.licenses import TEMPLATES, TokenAutomata, count_words, scan, scan_licenses, words
 from folioforge.llm.linefreq import line_frequency_rules
@@ -49,6 +49,59 @@ def test_next_rows_over_many_ranges(documents, buckets):
 
 
 
+@pytest.mark.parametrize("buckets", [2, 7, 60])
+def test_next_rows_of_a_hot_doc_id(documents, buckets):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}") for i in range(600)]
+    got = [(x.doc_id, x.text, x.next_text) for x in with_next(documents(rows), ["text"], buckets).collect()]
+    ids = {t: d for d, t in rows}
+    follows = {t: n for _, t, n in got}
+    assert len(got) == 600 and sorted(follows.values()) == sorted(ids) == sorted(follows)
+    walk = [max((t for d, t in rows if d == 599), key=str)]  # the largest doc_id
+    while len(walk) < 600:
+        walk.append(follows[walk[-1]])
+    order = [ids[t] for t in walk]
+    assert len(set(walk)) == 600 and order == sorted(order, key=lambda d: (d is None, -(d or 0))) and follows[walk[-1]] == walk[0]
+
+
+def edits(old, new):
+    """By sets of paragraphs of sections that the other version lacks."""
+    out = set()
+    for doc in {d for d, _ in old + new}:
+        trees = [[[t.split("\n") for t in (text or "").split("\n\n")] for d, text in side if d == doc] for side in (old, new)]
+        if {str(t) for t in trees[0]} == {str(t) for t in trees[1]}:
+            continue
+        has = [{tuple(s) for t in side for s in t} for side in trees]
+        lost = [[(k, s) for t in trees[i] for k, s in enumerate(t) if tuple(s) not in has[1 - i]] for i in (0, 1)]
+        lines = [{p for _, s in x for p in s} for x in lost]
+        found = {(doc, side, k, j) for i, side in enumerate(("old", "new")) for k, s in lost[i] for j, p in enumerate(s) if p not in lines[1 - i]}
+        out |= found or {(doc, "old", None, None), (doc, "new", None, None)}
+    return out
+
+
+def test_edits_are_located_by_the_walk(documents, prose):
+    r = random.Random(12)
+    old, new = [], []
+    for i in range(60):
+        parts = [[prose(r.randrange(40), 5) for _ in range(r.randint(1, 4))] for _ in range(r.randint(1, 5))]
+        text = lambda: "\n\n".join(map("\n".join, parts))
+        old.append((i, text()))
+        if i % 4 == 0:
+            parts.insert(r.randint(0, len(parts)), [f"new {i}"])
+        elif i % 4 == 1:
+            r.shuffle(parts)
+        elif i % 4 == 2:
+            r.choice(parts)[0] = f"changed {i}"
+        new.append((i, text()))
+    old += [(100, "only old"), (102, None), (103, None), (None, "a\n\nb"), (104, "a\n\nb\n\na"), (105, "x"), (105, "y"), (106, "p\n" * 3000)]
+    new += [(101, "only new\n"), (102, ""), (103, "\n\n"), (None, "b\n\nc"), (104, "b\n\na\n\na"), (105, "y"), (105, "z"), (106, "p\n" * 1500 + "q\n" + "p\n" * 1500)]
+    got = locate_edits(merkle_trees(documents(old)), merkle_trees(documents(new))).collect()
+    assert {tuple(x) for x in got} == edits(old, new) and len(got) >= len(edits(old, new))
+    assert (0, "old") not in {tuple(x)[:2] for x in got}  # an insertion marks no section of before
+    both = documents(old).select(merkle_root(F.coalesce("text", F.lit(""))).alias("root")).collect()
+    assert {x.root for x in both} == {x.root for x in merkle_trees(documents(old)).collect()}
+    assert locate_edits(merkle_trees(documents([])), merkle_trees(documents([]))).count() == 0
+
+
 def test_roots_tell_texts_apart(spark):
     texts = ["a\n\nb", "a\nb", "ab", "a\n\n\nb", "", "\n", "\n\n", "a\n\nb\n"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(fingerprint(F.col("t")).alias("f"))
@@ -213,6 +266,36 @@ def test_decoder_takes_pieces_of_any_size():
         d.end()
 
 
+def test_decoder_of_any_bytes():
+    r = random.Random(6)
+    parts = [b"a", "é".encode(), "漢".encode(), "😀".encode(), b"\xff", b"\x80", b"\xc0\xaf", b"\xe0\x80", b"\xed\xa0\x80", b"\xf4\x90", b"\xf0\x9f\x98", b"\xe2\x82"]
+    for _ in range(3000):
+        raw = b"".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+        d, at, got = Utf8Decoder(replace=True), 0, ""
+        while at < len(raw):
+            step = r.randint(1, 6)
+            got, at = got + d.feed(raw[at : at + step]), at + step
+        assert got + d.end() == raw.decode("utf-8", "replace")
+        strict = Utf8Decoder()
+        try:
+            want = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            with pytest.raises(ValueError):
+                strict.feed(raw)
+                strict.end()
+        else:
+            assert strict.feed(raw) + strict.end() == want
+
+
+def test_stream_of_cut_ids(pair):
+    own, ref = pair
+    ids = own.encode("a 漢字 😀 z 𝒜𝟙 " * 30)
+    cut = [i for i in ids if len(own.bytes_of[i]) != 3]
+    assert own.decode(iter(cut), replace=True) == ref.decode_bytes(cut).decode("utf-8", "replace")
+    for step in (1, 2, 5):
+        assert "".join(own.stream(iter(ids), step)) == ref.decode(ids)
+
+
 def test_encode_and_decode_rows(documents, pair):
     rows = [(1, "Hello, world"), (None, None), (2, ""), (2, "é" * 5000), (3, "x y")]
     got = encode_and_decode(documents(rows), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
