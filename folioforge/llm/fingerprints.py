@@ -151,19 +151,23 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -
 
     No global sort in one task: quantiles of doc_id (at most 2,048 longs to the driver, whatever the
     rows) give ranges; a window orders one range, and each range's first row also goes, marked, to
-    the range before it.  Null doc_ids come last; rows that repeat a doc_id are ordered by a hash of
-    their columns, and a doc_id at several quantiles is split into as many ranges of that hash.  Only
-    rows equal in all of these stay together.
+    the range before it.  Null doc_ids come last; rows that repeat a doc_id are ordered by their
+    columns; a doc_id at several quantiles is ordered by a hash of the first column before, and split
+    into as many ranges of that hash.  Only rows equal in both stay together.
     """
     n = min(2048, buckets or 2 * shuffle_partitions(docs.sparkSession))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
-    docs = docs.select("doc_id", *columns, key.alias("__key"), F.xxhash64(*columns).alias("__tie"))
+    docs = docs.select("doc_id", *columns, key.alias("__key"))
     q = docs.select(F.percentile_approx("__key", [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"] if n > 1 else None
     bounds = []
     for k, times in sorted(Counter(q or []).items()):
         bounds += [(k, _LEAST + i * (2**64 // times)) for i in range(1, times)] + [(k, _MOST)]
+    hot = sorted({k for k, t in bounds if t < _MOST})
+    tie = F.when(F.col("__key").isin(hot), F.xxhash64(columns[0])) if hot else F.lit(0)  # texts are hashed for hot doc_ids alone
+    docs = docs.withColumn("__tie", F.coalesce(tie, F.lit(0)).cast("long"))
     docs = docs.withColumn("__part", (F.lit(len(bounds)) - _below(bounds, F.col("__key"), F.col("__tie"))).cast("int"))
-    first = sorted((r["__part"], *r["k"]) for r in docs.groupBy("__part").agg(F.max(F.struct("__key", "__tie")).alias("k")).collect())  # a row a range
+    greatest = F.struct(F.max("__key"), F.max("__tie")) if not hot else F.max(F.struct("__key", "__tie"))
+    first = sorted((r["__part"], *r["k"]) for r in docs.groupBy("__part").agg(greatest.alias("k")).collect())  # a row a range
     if not first:
         return docs.select("doc_id", *columns, *[F.col(c).alias(f"next_{c}") for c in columns])
     heads, before = {p: (k, t) for p, k, t in first}, {p: q for (p, _, _), (q, _, _) in zip(first, [first[-1], *first[:-1]])}
@@ -187,7 +191,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     Defined cases: a null text counts as empty; two empty texts are alike (1), an empty and another
     are not (0).  A single row is its own next.  Null doc_ids come last, repeated ones in the order of
-    a hash of their texts.  An empty table gives no rows; other columns are ignored.
+    their texts, or where one doc_id has a large part of all rows, of a hash of them.  An empty table gives no rows; other columns are ignored.
     """
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     docs = with_next(docs.withColumn("fp", fingerprint(F.col("text"))), ["text", "fp"])
