@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import gives_back
+
 _MAX_STATES, _MAX_PAIRS, _MAX_PIECES, _MAX_PIECE, _BLOCK = 300_000, 1_000_000, 300_000, 64, 4096
 #: Fixed value: the pattern of the vocabularies that this module is tuned for; others work, slower.
 _KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -337,6 +339,7 @@ class Utf8Decoder:
 
 
 def _digests(raw: bytes, pattern: str, with_ids: bool, memory: float):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tokenizer.load(raw, pattern) if memory >= 1 else Tokenizer(raw, pattern, memory)  # small ones go with the task
         names = t.text_of.__getitem__

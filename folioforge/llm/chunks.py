@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, small_enough
+from .common import Tables, gives_back, small_enough
 
 LONGEST = 255
 #: How far after a hit of the hash a word's start is looked for.
@@ -64,6 +64,7 @@ def cut_points(chars: np.ndarray, mean: int = 40) -> np.ndarray:
 def _chunk_rows(mean: int):
     """d1, d2: a chunk's 128-bit digest; place: start (31 bits, so any text), length (8), the text's tag (24)."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             at = 0

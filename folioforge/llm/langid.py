@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, gives_back
 
 _DIM = 4096
 _LETTER = regex.compile(r"\p{L}")
@@ -65,6 +65,7 @@ class Model:
         return self.langs[best], min(1.0, max(0.0, cosine)), cosine < self.radius[best, np.searchsorted(_LENGTHS, len(cells))]
 
 
+@gives_back
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each cell, one row a cell and task; cell -1 counts the documents."""
     df, n = np.zeros(_DIM, dtype=np.int64), 0

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, small_enough
+from .common import Tables, gives_back, small_enough
 from .components import connected_components
 from .shingles import MinHash, shingle_set
 
@@ -70,6 +70,7 @@ def part_keys(sig: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 
 def _features(width: int, symbols: int):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = MinHash(symbols)
         for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
@@ -95,6 +96,7 @@ def _class_id(s: np.ndarray) -> int | None:
 
 
 def _keys(slots: np.ndarray):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
@@ -110,6 +112,7 @@ def _keys(slots: np.ndarray):
 def _sets(width: int, packed: bool):
     """The sets of classes from their texts; ``packed``: as bytes, the upper 48 bits of each hash."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -182,6 +185,7 @@ def _links_across(slots: np.ndarray, radius: int, percent: int):
         pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for batch in chain(batches, [None]):
