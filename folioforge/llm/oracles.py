@@ -110,3 +110,64 @@ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 f AS (SELECT a x, b y FROM e UNION ALL SELECT b, a FROM e),
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT f.y, r.c FROM r JOIN f ON f.x = r.doc_id)
 SELECT doc_id, coalesce(any_value(n), 0) n_shingles, min(c) component_id, doc_id = min(c) kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
+
+#: Of the pages' own markup: what is no article, what ends a block, and the character references in use.
+_NO_ARTICLE = ["<head>.*?</head>", "<nav>.*?</nav>", "<!--.*?(?:-->|$)", '<div class="ad">.*?</div>', "<footer>.*?(?:</footer>|$)", "<script>.*?</script>", "<style>.*?</style>"]
+_REFERENCES = {"quot": '"', "lt": "<", "gt": ">", "copy": "©", "middot": "·", "amp": "&"}
+
+
+def main_text() -> str:
+    t = "coalesce(html, '')"
+    for part in _NO_ARTICLE:
+        t = f"regexp_replace({t}, '{part}', '', 'gs')"
+    block = f"regexp_replace(b, '(?s)<br>', ' ', 'g')"  # noqa: F541
+    block = f"regexp_replace({block}, '(?s)<(?:/?[a-zA-Z][^>]*)(?:>|$)', '', 'g')"
+    for name, sign in _REFERENCES.items():
+        block = f"regexp_replace({block}, '&{name};?', '{sign}', 'g')"
+    block = f"trim(regexp_replace({block}, '\\s+', ' ', 'g'))"
+    return rf"""WITH p AS (SELECT page_id, url, regexp_extract({t}, '(?s)<article>(.*?)(?:</article>|$)', 1) t FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(t, '(?:</?(?:p|h1)>)+'), lambda b: {block}), lambda b: b <> '') b FROM p)
+SELECT page_id, url, coalesce(array_to_string(b, chr(10) || chr(10)), '') text, length(coalesce(array_to_string(b, chr(10) || chr(10)), ''))::BIGINT n_chars FROM b"""
+
+
+def vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    nearest = lambda k: f"""d{k} AS (SELECT r, part, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT d FROM p JOIN b{k} USING (part)),
+a{k} AS (SELECT r, part, arg_min(e, ROW(d, e)) e, min(d) d FROM d{k} GROUP BY r, part)"""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"""{nearest(k)},
+s{k} AS (SELECT part, e, j, sum(x[j])::BIGINT s, count(*) n FROM a{k} JOIN p USING (r, part), unnest(range(1, len(x) + 1)) u(j) GROUP BY part, e, j),
+m{k} AS (SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY j) m FROM s{k} GROUP BY part, e),
+b{k + 1} AS (SELECT part, e, coalesce(m, c) c FROM b{k} LEFT JOIN m{k} USING (part, e))""")
+    return f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) v, row_number() OVER () r FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, vec_id, v, i part, v[i * (len(v) // {parts}) + 1:(i + 1) * (len(v) // {parts})] x FROM k, unnest(range({parts})) u(i)),
+b0 AS (SELECT part, e, x c FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id NULLS LAST, v) - 1 e FROM p) WHERE e < {entries}),
+{", ".join(steps)},
+{nearest(rounds)},
+o AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY part) code, sum(d)::BIGINT error FROM a{rounds} GROUP BY r),
+l AS (SELECT label, sum(error)::BIGINT label_error FROM o JOIN k USING (r) GROUP BY label),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM o JOIN k USING (r) JOIN l ON k.label IS NOT DISTINCT FROM l.label, h"""
+
+
+#: CRC-32 is linear: a byte's share depends on its value and its distance from the end alone (table m), the length's on the length (table c).
+SPELLING = rf"""WITH RECURSIVE b(v, i, x) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT v, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM b WHERE i < 8),
+t AS (SELECT v, x::BIGINT x FROM b WHERE i = 8),
+m(k, v, x) AS (SELECT 0, v, x FROM t UNION ALL SELECT k + 1, m.v, xor(t.x, m.x >> 8) FROM m JOIN t ON t.v = m.x & 255 WHERE k < 120),
+c(k, x) AS (SELECT 0, 4294967295::BIGINT UNION ALL SELECT k + 1, xor(t.x, c.x >> 8) FROM c JOIN t ON t.v = c.x & 255 WHERE k < 120),
+r AS (SELECT doc_id, w, count(*) n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) w FROM documents) GROUP BY doc_id, w),
+i AS (SELECT *, row_number() OVER () i, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) h FROM r),
+y AS (SELECT i, len(h) // 2 - 1 - j k, ('0x' || h[2 * j + 1:2 * j + 2])::BIGINT v FROM i, unnest(range(len(h) // 2)) u(j)),
+z AS (SELECT i, bit_xor(x) x FROM y JOIN m USING (k, v) GROUP BY i),
+f AS (SELECT w, n, xor(xor(z.x, c.x), 4294967295) h FROM i JOIN z USING (i) JOIN c ON c.k = len(i.h) // 2),
+words AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END word, sum(n)::BIGINT n FROM f GROUP BY 1 HAVING sum(n) >= 2 AND length(word) >= 7),
+s AS (SELECT word, n, q, left(word, q - 1) || substr(word, q + 1) s FROM words, unnest(range(1, length(word) + 1)) u(q)),
+e AS (SELECT a.word a, b.word b, b.n n FROM s a JOIN s b ON a.s = b.s AND a.q = b.q AND a.word <> b.word
+  UNION ALL SELECT a.word, b.word, b.n FROM (SELECT DISTINCT word, s FROM s) a JOIN words b ON b.word = a.s
+  UNION ALL SELECT b.word, a.word, a.n FROM (SELECT DISTINCT word, s, n FROM s) a JOIN words b ON b.word = a.s),
+g AS (SELECT a, count(*) n_near, arg_min(b, ROW(-n, b)) b, max(n) m FROM e GROUP BY a),
+o AS (SELECT word, n, coalesce(n_near, 0) n_near, CASE WHEN m >= 10 * n THEN b END form, CASE WHEN m >= 10 * n THEN m END form_n FROM words LEFT JOIN g ON word = a),
+v(word, root) AS (SELECT word, word FROM o UNION ALL SELECT v.word, o.form FROM v JOIN o ON o.word = v.root WHERE o.form IS NOT NULL)
+SELECT o.word, o.form, v.root, o.n, o.n_near, o.form_n FROM o JOIN v ON v.word = o.word JOIN o l ON l.word = v.root WHERE l.form IS NULL"""

@@ -16,9 +16,12 @@ from .fingerprints import BLOCK, fingerprint_edits
 from .langid import fit, held_out, predict
 from .licenses import PHRASES, TEMPLATES, VAR_WORDS, scan_licenses
 from .linefreq import line_frequency_rules
+from .maintext import extract_main_text
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .spelling import spelling_variants
 from .urlfilter import judge_urls, rule_table
+from .vectorcodes import compress_vectors
 from .wacz import archive_and_read
 
 
@@ -84,6 +87,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_main_text(_read(spark, sf_dir, "pages"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings: 16 parts, 64 entries each, 2 rounds."""
+    return compress_vectors(_read(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, the more frequent words that they are one edit from, and where these lead."""
+    return spelling_variants(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_level_bpe,
         op9_substring_dedup,
         op10_minhash_near_dedup,
+        op11_main_text,
+        op12_vector_codes,
+        op13_spelling_variants,
     )
 }
 
@@ -110,4 +131,7 @@ ORACLES: dict[str, str] = {
     "op6_warc_packages": oracles.ARCHIVES,
     "op7_license_scan": oracles.licenses(PHRASES, TEMPLATES, VAR_WORDS),
     "op10_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op11_main_text": oracles.main_text(),
+    "op12_vector_codes": oracles.vector_codes(),
+    "op13_spelling_variants": oracles.SPELLING,
 }
