@@ -10,7 +10,6 @@ insertion moves chunks but changes none beyond its neighbours.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, gives_back, small_enough
+from .common import Tables, gives_back, named, small_enough, text_tag
 
 LONGEST = 255
 #: How far after a hit of the hash a word's start is looked for.
@@ -27,7 +26,6 @@ _NEAR = 32
 #: Hits so close to the one before make no cut of their own where there is no word start.
 _APART = 8
 _LAST = 2**63 - 1
-_TAG = 0xFFFFFF
 _BLANK = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D], dtype=np.uint32)
 
 
@@ -62,59 +60,61 @@ def cut_points(chars: np.ndarray, mean: int = 40) -> np.ndarray:
 
 
 def _chunk_rows(mean: int):
-    """d1, d2: a chunk's 128-bit digest; place: start (31 bits, so any text), length (8), the text's tag (24)."""
+    """Of rows (doc, tag, text): d1, d2: a chunk's 128-bit digest; place: its start and length (8 bits)."""
 
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             at = 0
             while at < whole.num_rows:
-                digests, owners, places, size = [], [], [], 0
+                digests, numbers, places, size, start = [], [], [], 0, at
                 while at < whole.num_rows and size < 4_000_000:  # code points an output batch
-                    text = whole.column(1)[at].as_py() or ""
+                    text = whole.column(2)[at].as_py() or ""
                     raw = text.encode("utf-32-le")
                     cuts = cut_points(np.frombuffer(raw, dtype=np.uint32), mean)
                     view, ends = memoryview(raw), (cuts * 4).tolist()
                     digests += [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(ends, ends[1:])]
-                    tag = zlib.crc32(text.encode()) & _TAG
-                    places.append((cuts[:-1] << 32) | (np.diff(cuts) << 24) | tag)
-                    owners.append(np.full(len(cuts) - 1, whole.column(0)[at].as_py(), dtype=np.int64))
+                    places.append((cuts[:-1] << 8) | np.diff(cuts))
+                    numbers.append(len(cuts) - 1)
                     size, at = size + len(text), at + 1
                 two = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places).astype(np.int64))], ["d1", "d2", "doc", "place"])
+                doc, tag = (pa.array(np.repeat(whole.column(c).slice(start, at - start).to_numpy(), numbers)) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), doc, tag, pa.array(np.concatenate(places).astype(np.int64))], ["d1", "d2", "doc", "tag", "place"])
 
     return run
 
 
 def _start(place: str) -> F.Column:
-    return F.shiftrightunsigned(F.col(place), 32).cast("int")
+    return F.shiftrightunsigned(F.col(place), 8).cast("int")
 
 
 def repeated_spans(docs: DataFrame, mean: int = 40, least: int = 90) -> DataFrame:
     """Passages that an earlier document also has: (doc_id, text_tag, span_start, span_end,
     source_doc_id, source_start, n_chunks), offsets in code points, one row a passage.
 
-    A chunk is a repeat if another document has an equal chunk (by 128-bit digest) and a smaller
-    doc_id.  Repeats that touch form one span; spans under ``least`` code points are dropped, so short
-    formulas and phrases stay.  source_* is where the span's first chunk occurs first.
+    A chunk is a repeat if another document has an equal chunk (by 128-bit digest) and is the earlier
+    one: a smaller doc_id, or the same and a smaller text_tag.  Repeats that touch form one span; spans
+    under ``least`` code points are dropped, so short formulas and phrases stay.  source_* is where the
+    span's first chunk occurs first.
 
-    Defined cases: null or empty texts have no chunks.  A null doc_id counts as the largest, and rows
-    that share a doc_id count as one document, which never repeats itself; text_tag (24 bits of the
-    text's CRC-32) tells their spans apart.  A text may be as long as a string can be; a task holds one
-    at a time, at about 20 bytes a code point.  An empty table
-    gives no rows; other columns are ignored.
+    Defined cases: null or empty texts have no chunks.  A null doc_id counts as the largest.  Rows that
+    share a doc_id, or have none, are documents of their own if their texts differ: text_tag, a 64-bit hash
+    of the text, tells them apart.  Rows equal in doc_id and text are one document, which never repeats itself.
+    A text may be as long as a string can be; a task holds one at a time, at about 20 bytes a code point.  An
+    empty table gives no rows; other columns are ignored.
 
     Shuffles: chunks by digest, once to find each digest's first owner (combined before the shuffle)
-    and once for the join with owners.  The owners are a written table, so that both sides of the join
-    are shuffled for it alone and AQE splits hot digests.  A document's own spans are the
-    only group that a task gathers.
+    and once for the join with owners; then the repeats, combined first so that copies of a row go no further.
+    The owners are a written table, so that both sides of the join are shuffled for it alone and AQE splits
+    hot digests.  A document's own spans are the only group that a task gathers.
     """
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc")
-    chunks = docs.select(own, F.col("text").cast("string").alias("text")).where("length(text) > 0").mapInArrow(_chunk_rows(mean), "d1 long, d2 long, doc long, place long")
-    first = chunks.groupBy("d1", "d2").agg(F.min(F.struct("doc", "place")).alias("f"), F.max("doc").alias("last")).where("f.doc <> last")
-    first = Tables(docs.sparkSession, "owners").put("first", first.select("d1", "d2", F.col("f.doc").alias("src"), F.col("f.place").alias("src_place")))
-    again = chunks.join(first, ["d1", "d2"]).where("doc <> src").select("doc", F.col("place").bitwiseAND(_TAG).cast("int").alias("tag"), _start("place").alias("s"), F.shiftright("place", 24).bitwiseAND(255).cast("int").alias("n"), "src", _start("src_place").alias("ss"))
-    again = again.repartition("doc", "tag").dropDuplicates(["doc", "tag", "s"])  # copies of a row
+    texts = docs.select(own, F.col("text").cast("string").alias("text")).where("length(text) > 0").select("doc", text_tag(), "text")
+    chunks = texts.mapInArrow(_chunk_rows(mean), "d1 long, d2 long, doc long, tag long, place long")
+    first = chunks.groupBy("d1", "d2").agg(F.min(F.struct("doc", "tag", "place")).alias("f"), F.max(F.struct("doc", "tag")).alias("last")).where("f.doc <> last.doc or f.tag <> last.tag")
+    first = Tables(docs.sparkSession, "owners").put("first", first.select("d1", "d2", F.col("f.doc").alias("src"), F.col("f.tag").alias("src_tag"), F.col("f.place").alias("src_place")))
+    again = chunks.join(first, ["d1", "d2"]).where("doc <> src or tag <> src_tag").select("doc", "tag", _start("place").alias("s"), F.col("place").bitwiseAND(255).cast("int").alias("n"), "src", _start("src_place").alias("ss"))
+    again = again.dropDuplicates(["doc", "tag", "s"])  # copies of a row
     by = Window.partitionBy("doc", "tag").orderBy("s")
     again = again.withColumn("new", F.when(F.col("s") == F.lag(F.col("s") + F.col("n")).over(by), 0).otherwise(1))
     again = again.withColumn("island", F.sum("new").over(by))
@@ -134,12 +134,11 @@ def without_repeats(docs: DataFrame, mean: int = 40, least: int = 90, broadcast_
     cuts = repeated_spans(docs, mean, least).groupBy("doc_id", "text_tag").agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("__ff_cuts"))
     cuts = tables.put("cuts", cuts.select(F.col("doc_id").alias("__ff_id"), F.col("text_tag").alias("__ff_tag"), "__ff_cuts"))
     side = F.broadcast(cuts) if small_enough(cuts, broadcast_rows) else cuts
-    tag = F.crc32(F.col("text").cast("string").cast("binary")).bitwiseAND(_TAG).cast("int")
-    out = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["__ff_id"]) & (tag == side["__ff_tag"]), "left")
+    out = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["__ff_id"]) & (F.xxhash64(F.col("text").cast("string")) == side["__ff_tag"]), "left")
     before = F.concat(F.array(F.lit(0)), F.col("__ff_cuts.span_end"))
     after = F.concat(F.col("__ff_cuts.span_start"), F.array(F.length("text")))
     text = F.when(F.col("__ff_cuts").isNull(), F.col("text")).otherwise(F.array_join(F.zip_with(before, after, lambda a, b: F.substring(F.col("text"), a + 1, b - a)), ""))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__ff_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return out.select(*named(docs))

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +121,19 @@ def gives_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
     return giving
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = 4_000_000, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices with at most so many bytes of a text or binary column, and so many rows
+    (one at least), so that what a task makes of a slice is bounded however long the texts are."""
+    for whole in batches:
+        ends = pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy().astype("int64").cumsum()
+        at = 0
+        while at < whole.num_rows:
+            to = int(ends.searchsorted((ends[at - 1] if at else 0) + size, side="right"))
+            to = max(at + 1, min(to, at + rows))
+            yield whole.slice(at, to - at)
+            at = to
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -131,3 +145,17 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def text_tag() -> Column:
+    """What tells the texts of rows with one doc_id, or without one, apart: a 64-bit hash."""
+    return F.xxhash64(text_or_empty().cast("string")).alias("tag")
+
+
+def named(docs: DataFrame) -> list[Column]:
+    """All columns of ``docs`` as columns, whatever signs their names have."""
+    return [F.col(quoted(c)) for c in docs.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
