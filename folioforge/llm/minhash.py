@@ -23,14 +23,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import chain, combinations
 from math import comb
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, gives_back, small_enough
+from .common import Tables, gives_back, pieces, small_enough, text_tag
 from .components import connected_components
 from .shingles import MinHash, shingle_set
 
@@ -70,31 +70,56 @@ def part_keys(sig: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 
 def _features(width: int, symbols: int):
+    """Of rows (doc_id, text_tag, text): their set's size, its two hashes and its signature."""
+
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = MinHash(symbols)
-        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
-            n, cls, sig, tag = [], [], [], []
-            for text in b.column(1).to_pylist():
+        for b in pieces(batches, 2, rows=1000):
+            n, cls, mark, sig = [], [], [], []
+            for text in b.column(2).to_pylist():
                 s = shingle_set(text, width)
-                tag.append(crc32((text or "").encode("utf-8")))
                 n.append(len(s))
-                cls.append(_class_id(s))
+                cls.append(_set_hash(s, 0))
+                mark.append(_set_hash(s, 1))
                 sig.append(sign(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), pa.array(tag, pa.int64())], ["doc_id", "n_shingles", "cls", "sig", "text_tag"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(mark, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "text_tag", "n_shingles", "cls", "mark", "sig"])
 
     return run
 
 
-def _class_id(s: np.ndarray) -> int | None:
-    """A 64-bit hash of a set; None for the empty set."""
+#: Odd factors of the two hashes of a set.
+_FACTORS = np.array([[0xD6E8FEB86659FD93, 0xA0761D6478BD642F], [0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]], dtype=np.uint64)
+
+
+def _set_hash(s: np.ndarray, which: int) -> int | None:
+    """One of two 64-bit hashes of a set; None for the empty set."""
     if not len(s):
         return None
+    a, b = _FACTORS[which]
     with np.errstate(over="ignore"):
-        x = np.bitwise_xor.reduce(s * np.uint64(0xD6E8FEB86659FD93)) ^ (np.add.reduce(s) * np.uint64(0xA0761D6478BD642F)) ^ np.uint64(len(s))
+        spread = s * a
+        spread ^= spread >> np.uint64(29)
+        x = np.bitwise_xor.reduce(spread * b) ^ (np.add.reduce(spread ^ b) * b) ^ np.uint64(len(s))
     return int(x.astype(np.int64))
 
 
+def set_classes(feats: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """(feats, classes): one row of classes for each distinct set, with its least document.  A class is
+    named by a 64-bit hash of the set; sets that share it by chance, told apart by a second one (mark),
+    get names of their own."""
+    own = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("least"), "text_tag")
+    found = [F.min(own).alias("f"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high")]
+    flat = ["cls", "f.least", F.col("f.text_tag").alias("tag"), "sig", "n", "low", "high"]
+    classes = tables.put("classes", feats.where("cls is not null").groupBy("cls").agg(*found).select(flat))
+    odd = classes.where("low <> high").select(F.col("cls").alias("odd"))
+    if not odd.isEmpty():
+        feats = feats.join(odd, feats["cls"] == odd["odd"], "left")
+        feats = tables.put("feats", feats.withColumn("cls", F.when(F.col("odd").isNull(), F.col("cls")).otherwise(F.xxhash64("cls", "mark"))).drop("odd"))
+        classes = tables.put("classes", feats.where("cls is not null").groupBy("cls").agg(*found).select(flat))
+    return feats, classes
+
+
 def _keys(slots: np.ndarray):
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,41 +134,37 @@ def _keys(slots: np.ndarray):
     return run
 
 
-def _sets(width: int, packed: bool):
-    """The sets of classes from their texts; ``packed``: as bytes, the upper 48 bits of each hash."""
+def _sets(width: int):
+    """The sets of classes from their texts, of rows (cls, text)."""
 
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                ids, out = [], []
-                for cls, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    s = shingle_set(text, width)
-                    if _class_id(s) == cls:  # else another row with the same doc_id
-                        ids.append(cls)
-                        out.append(_pack(s) if packed else s.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary() if packed else pa.list_(pa.int64()))], ["cls", "members"])
+        for b in pieces(batches, 1, rows=500):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((shingle_set(text, width).tobytes() for text in b.column(1).to_pylist()), pa.binary())], ["cls", "members"])
 
     return run
 
 
-def _pack(s: np.ndarray) -> bytes:
-    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    wide[:, 2:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
-
-
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     both = np.concatenate((a, b))
     both.sort()
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
+def _confirmed(percent: int):
+    """Of rows (a, b, in_a, in_b) the pairs (a, b) whose sets are as similar."""
+
+    @gives_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(pieces(batches, 2), 3):
+            sets = [[np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in b.column(c)] for c in (2, 3)]
+            inter = np.array([_overlap(x, y) for x, y in zip(*sets)], dtype=np.int64)
+            total = np.array([len(x) + len(y) for x, y in zip(*sets)], dtype=np.int64)
+            yield b.select(["a", "b"]).filter(pa.array(100 * inter >= percent * (total - inter)))
+
+    return run
+
+
 def _links_across(slots: np.ndarray, radius: int, percent: int):
     """Links between different components in each run of rows with equal (key, i, j); the rows come
     sorted by these.
@@ -153,10 +174,10 @@ def _links_across(slots: np.ndarray, radius: int, percent: int):
     confirmed on the sets; a link merges its components within the run before d goes on."""
     covers = slots.T.astype(np.float32)
 
-    def search(run, slot, label, block, two, cls, sig, sets) -> pa.RecordBatch:
+    def search(run, slot, label, block, two, cls, sig, size, members) -> pa.RecordBatch:
         out, here, label = [], np.arange(len(run)), label.copy()
         ends = np.append(np.flatnonzero(run[1:] != run[:-1]) + 1, len(run))
-        size = np.array([len(x) for x in sets])
+        set_of = lambda r: np.frombuffer(members[int(r)].as_buffer(), dtype=np.uint64)  # noqa: E731  where it lies
         for d in range(1, len(run)):
             here = here[here + d < len(run)]
             here = here[run[here] == run[here + d]]
@@ -175,7 +196,7 @@ def _links_across(slots: np.ndarray, radius: int, percent: int):
                     a, b = label[r], label[r + d]
                     if a == b:
                         continue
-                    inter = _overlap(sets[r], sets[r + d])
+                    inter = _overlap(set_of(r), set_of(r + d))
                     if 100 * inter >= percent * (size[r] + size[r + d] - inter):
                         out.append((cls[r], cls[r + d]))
                         end = ends[np.searchsorted(ends, r, side="right")]
@@ -188,7 +209,7 @@ def _links_across(slots: np.ndarray, radius: int, percent: int):
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
-        for batch in chain(batches, [None]):
+        for batch in chain(pieces(batches, 5), [None]):
             have = [x for x in (kept, batch) if x is not None and x.num_rows]
             if not have:
                 continue
@@ -198,8 +219,9 @@ def _links_across(slots: np.ndarray, radius: int, percent: int):
             end = t.num_rows if batch is None else int(np.flatnonzero(starts)[-1])  # the last run may go on
             if end:
                 sig = np.frombuffer(b"".join(t.column("sig").slice(0, end).to_pylist()), dtype=np.uint16).reshape(end, -1)
-                sets = [_unpack(x) for x in t.column("members").slice(0, end).to_pylist()]
-                yield search(np.cumsum(starts)[:end], col("slot")[:end], col("label")[:end], col("block")[:end], (col("i") != col("j"))[:end], col("cls")[:end], sig, sets)
+                members = t.column("members").chunk(0).slice(0, end)
+                size = pc.binary_length(members).to_numpy().astype(np.int64) // 8
+                yield search(np.cumsum(starts)[:end], col("slot")[:end], col("label")[:end], col("block")[:end], (col("i") != col("j"))[:end], col("cls")[:end], sig, size, members)
             kept = t.slice(end).combine_chunks().to_batches()[0] if end < t.num_rows else None
 
     return run
@@ -217,55 +239,52 @@ def near_duplicates(
     Defined cases: a text that is null, empty or without words has the empty set and is linked with
     nothing, so it is its own component.  A null doc_id counts as the largest; a component of such rows
     alone has a null component_id and its rows are kept.  Rows that repeat a doc_id are told apart by
-    their texts (text_tag is the text's CRC-32); equal rows are one document and share its verdict.  An
-    empty table gives no rows; other columns are ignored.  Sets are compared by hashes of their
-    shingles: 64 bits for classes and for pairs with a bucket's least member, the upper 48 of them for
-    pairs across components, so that one of a thousand shingles counts falsely in about one pair of
-    10**8.  Memory: a task holds a batch of texts, or two blocks of signatures.
+    their texts (text_tag, a 64-bit hash); equal rows are one document and share its verdict.  An empty
+    table gives no rows; other columns are ignored.  Links are confirmed on the full sets, in which a
+    shingle is its 64-bit hash; sets are one class if two 64-bit hashes of them are equal.  Memory: a task
+    holds some megabytes of texts, or two blocks of sets.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "minhash")
     radius = radius_for(symbols, percent)
     slots = part_slots(symbols, parts or radius // 2 + 1, radius)  # one error a part
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag().alias("text_tag"), F.col("text").cast("string").alias("text"))
 
-    feats = tables.put("feats", docs.mapInArrow(_features(width, symbols), "doc_id long, n_shingles long, cls long, sig binary, text_tag long"))
-    own = F.coalesce("doc_id", F.lit(2**63 - 1))
-    classes = tables.put("classes", feats.where("cls is not null").groupBy("cls").agg(F.min(own).alias("least"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n")))
+    feats = tables.put("feats", docs.mapInArrow(_features(width, symbols), "doc_id long, text_tag long, n_shingles long, cls long, mark long, sig binary"))
+    feats, classes = set_classes(feats, tables)
 
     keys = classes.select("cls", "sig").mapInArrow(_keys(slots), "key long, slot short, cls long")
     shared = keys.groupBy("key").agg(F.min("cls").alias("center"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("size")).where("center <> last").select("key", "center", "size")
     members = tables.put("members", keys.join(shared, "key"))
 
-    side = lambda end: classes.select(F.col("cls").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("n").alias(f"n_{end}"), F.col("least").alias(f"least_{end}"))
+    side = lambda end: classes.select(F.col("cls").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("n").alias(f"n_{end}"), F.col("least").alias(f"least_{end}"), F.col("tag").alias(f"tag_{end}"))
     sized = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
-    def sets_of(wanted: DataFrame, rows: int, packed: bool) -> DataFrame:
-        """(cls, members) of at most ``rows`` classes (cls, least), from the texts that they come from."""
+    def sets_of(wanted: DataFrame, rows: int) -> DataFrame:
+        """(cls, members) of at most ``rows`` classes (cls, least, tag), from the texts that they come from."""
         wanted = tables.put("wanted", wanted.distinct(), rows)
         by = F.broadcast(wanted) if small_enough(wanted, broadcast_rows) else wanted
-        texts = docs.join(by, F.coalesce(docs["doc_id"], F.lit(2**63 - 1)) == by["least"]).select("cls", "text")
-        return tables.put("sets", texts.mapInArrow(_sets(width, packed), f"cls long, members {'binary' if packed else 'array<long>'}").dropDuplicates(["cls"]))
+        texts = docs.join(by, (F.coalesce(docs["doc_id"], F.lit(2**63 - 1)) == by["least"]) & (docs["text_tag"] == by["tag"])).select("cls", "text")
+        return tables.put("sets", texts.mapInArrow(_sets(width), "cls long, members binary").dropDuplicates(["cls"]))
 
     unequal = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda x: x))
     words = lambda c: F.regexp_extract_all(F.hex(c), F.lit("(....)"), F.lit(1))
     first = members.where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct()
     first = first.join(side("a"), "a").join(side("b"), "b").where(sized).where(unequal(words("sig_a"), words("sig_b")) <= radius)
-    first = tables.put("first", first.select("a", "b", "least_a", "least_b"))
-    sets = sets_of(first.select(F.col("a").alias("cls"), F.col("least_a").alias("least")).union(first.select("b", "least_b")), 2 * first.count(), False)
+    first = tables.put("first", first.select("a", "b", "least_a", "tag_a", "least_b", "tag_b"))
+    sets = sets_of(first.select(F.col("a").alias("cls"), F.col("least_a").alias("least"), F.col("tag_a").alias("tag")).union(first.select("b", "least_b", "tag_b")), 2 * first.count())
     both = first.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("members").alias("in_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("in_b")), "b")
-    both = both.select("a", "b", (F.size("in_a") + F.size("in_b")).alias("total"), F.size(F.array_intersect("in_a", "in_b")).alias("inter"))
-    links = tables.put("links", both.where(f"100L * inter >= {percent}L * (total - inter)").select("a", "b"))
+    links = tables.put("links", both.mapInArrow(_confirmed(percent), "a long, b long"))
     tables.clear("wanted", "sets", "first")
     labels = tables.put("labels", connected_components(links, tables), 2 * links.count())
 
     own_label = F.coalesce("label", "cls").alias("label")
     labelled = members.select("key", "slot", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("key", "slot", "cls", own_label)
-    labelled = labelled.join(classes.select("cls", "n", "least"), "cls")
+    labelled = labelled.join(classes.select("cls", "n", "least", "tag"), "cls")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight")).where("lo <> hi")
     blocks = F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("weight") / block_shingles)).cast("int").alias("blocks")
     rest = tables.put("rest", labelled.join(open_keys.select("key", blocks), "key"))
-    sets = sets_of(rest.select("cls", "least"), rest.count(), True)
+    sets = sets_of(rest.select("cls", "least", "tag"), rest.count())
     rest = rest.join(classes.select("cls", "sig"), "cls").join(sets, "cls").withColumn("block", F.pmod(F.hash("cls"), "blocks"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", "slot", "cls", "label", "sig", "members", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
