@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gives_back
+from .common import gives_back, pieces
 
 _MAX_STATES, _MAX_PAIRS, _MAX_PIECES, _MAX_PIECE, _BLOCK = 300_000, 1_000_000, 300_000, 64, 4096
 #: Fixed value: the pattern of the vocabularies that this module is tuned for; others work, slower.
@@ -343,7 +343,7 @@ def _digests(raw: bytes, pattern: str, with_ids: bool, memory: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tokenizer.load(raw, pattern) if memory >= 1 else Tokenizer(raw, pattern, memory)  # small ones go with the task
         names = t.text_of.__getitem__
-        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+        for b in pieces(batches, 1, rows=500):
             ids, n, digest, back = [], [], [], []
             for text in b.column(1):
                 own = t.encode(text.as_py() or "")

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, gives_back
+from .common import Tables, gives_back, named
 
 _DIM = 4096
 _LETTER = regex.compile(r"\p{L}")
@@ -167,11 +167,8 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600, clusters: int =
     return Model([r["lang"] for r in got], np.stack([np.frombuffer(r["center"], np.float32) for r in got]), radius, idf)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score (cosine, 0 to 1) and rejected; prediction reads only the text.
-
-    Defined cases: a text that is null or has no letter, and any text when no language was learned, is
-    ``und`` with score 0 and rejected.  Other columns and repeated rows pass unchanged.  No shuffle."""
+def judged(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with a column ``__ff_lang``: lang_pred, score (cosine, 0 to 1) and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -179,8 +176,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         return pd.DataFrame([m.predict(t) for t in text], columns=["lang_pred", "score", "rejected"])
 
-    out = docs.withColumn("__ff_lang", judge(F.col("text").cast("string")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "rejected")], "__ff_lang.lang_pred", "__ff_lang.score", "__ff_lang.rejected")
+    return docs.withColumn("__ff_lang", judge(F.col("text").cast("string")))
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with lang_pred, score (cosine, 0 to 1) and rejected; prediction reads only the text.
+
+    Defined cases: a text that is null or has no letter, and any text when no language was learned, is
+    ``und`` with score 0 and rejected.  Other columns and repeated rows pass unchanged, but for columns of
+    these three names, which are replaced.  No shuffle."""
+    kept = named(docs.drop("lang_pred", "score", "rejected"))
+    return judged(docs, model).select(*kept, "__ff_lang.lang_pred", "__ff_lang.score", "__ff_lang.rejected")
 
 
 def held_out() -> Column:
