@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,8 +106,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], dimension: int, scale: int) -> It
     rows, parts, size = [], [], 0
     for batch in batches:
         vectors = batch.column(0)
-        vectors = vectors.filter(pa.compute.equal(pa.compute.list_value_length(vectors), dimension))
-        kept = batch.filter(pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(batch.column(0)), dimension), False))
+        vectors = vectors.filter(pc.equal(pc.list_value_length(vectors), dimension))
+        kept = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(0)), dimension), False))
         usable, x = _whole(vectors, dimension, scale)
         rows.append(kept.filter(pa.array(usable)).select(list(range(1, batch.num_columns))))
         parts.append(x.reshape(-1, dimension))
