@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gives_back
+from .common import gives_back, pieces
 
 #: Lines of a window, and the weight of one that counts as a surge.
 WINDOW, SURGE = 3, 80
@@ -54,7 +54,7 @@ IMPLIED = {
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)", re.S)
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes")}
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript")}
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -209,11 +209,9 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
 
 @gives_back
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            some = batch.slice(at, 500)
-            texts = [main_text(page or "") for page in some.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+    for some in pieces(batches, 2):
+        texts = [main_text(page or "") for page in some.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract_main_text(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:
