@@ -4,15 +4,15 @@ import collections
 import hashlib
 import random
 import re
-import zlib
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import tiktoken
+import xxhash
 
 from folioforge.llm.bpe import parse_ranks
-from folioforge.llm.chunks import cut_points, repeated_spans
+from folioforge.llm.chunks import cut_points, repeated_spans, without_repeats
 from folioforge.llm.langid import fit, held_out, predict, vector
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -23,22 +23,27 @@ def chunks(text):
     return [(a, b, text[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def tag_of(text):
+    h = xxhash.xxh64_intdigest((text or "").encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def spans(rows, least=90):
     """(doc_id, tag, start, end, source): rows of (doc_id, text), by dictionaries of chunk texts."""
     first = {}
-    for doc, text in sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0])):
+    for doc, text in sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0], tag_of(r[1]))):
         for _, _, c in chunks(text):
-            first.setdefault(c, doc)
+            first.setdefault(c, (doc, tag_of(text)))
     out = set()
     for doc, text in rows:
-        tag, runs = zlib.crc32((text or "").encode()) & 0xFFFFFF, []
+        tag, runs = tag_of(text), []
         for a, b, c in chunks(text) if text else []:
-            if first[c] == doc:
+            if first[c] == (doc, tag):
                 continue
             if runs and runs[-1][1] == a:
                 runs[-1][1] = b
             else:
-                runs.append([a, b, first[c]])
+                runs.append([a, b, first[c][0]])
         out |= {(doc, tag, *run) for run in runs if run[1] - run[0] >= least}
     return out
 
@@ -51,7 +56,7 @@ def corpus(prose, seed):
         parts = [prose(100 * seed + i, r.randint(10, 150))] + r.sample(passages, r.randint(0, 2))
         r.shuffle(parts)
         rows.append((i, r.choice(["\n", " ", ""]).join(parts)))
-    return rows + [(60, rows[3][1]), (61, rows[3][1]), (61, rows[5][1]), (62, None), (63, ""), (64, "x" * 3000), (65, "y" + "x" * 3000), (None, rows[7][1])]
+    return rows + [(60, rows[3][1]), (61, rows[3][1]), (61, rows[5][1]), (62, None), (63, ""), (64, "x" * 3000), (65, "y" + "x" * 3000), (None, rows[7][1]), (None, rows[9][1] + " tail"), (None, "tail " + rows[9][1]), (None, "tail " + rows[9][1])]
 
 
 def test_repeated_spans_equal_dictionaries(documents, prose):
@@ -60,6 +65,17 @@ def test_repeated_spans_equal_dictionaries(documents, prose):
     assert got == spans(rows) and len(got) > 20
 
 
+def test_texts_without_an_id_are_told_apart(documents, prose):
+    """Thousands of rows without a doc_id: only those that hold the passage lose it."""
+    passage = prose(1, 60)
+    rows = [(1, passage + " first")] + [(None, f"{passage} row {k}") for k in range(20)] + [(None, prose(50 + k, 30)) for k in range(3000)]
+    left = [r.text for r in without_repeats(documents(rows).select("doc_id", "text")).where("doc_id is null").collect()]
+    assert sorted(t for t in left if not t.startswith(passage[:40]) and "row" not in t[-8:]) == sorted(t for d, t in rows[21:])
+    assert sum(len(t) < 120 for t in left) >= 20
+    alone = [r.text for r in without_repeats(documents(rows[1:21]).select("doc_id", "text")).collect()]
+    assert sorted(len(t) > 200 for t in alone) == [False] * 19 + [True]  # without ids they are documents of their own
+
+
 def test_language_is_that_of_the_nearest_centroid(documents, spark):
     r = random.Random(4)
     parts = {"en": "the and ing tion er on".split(), "fr": "eau le oi ment qu".split(), "de": "sch und ein ung ver".split()}

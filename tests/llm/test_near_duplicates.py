@@ -7,7 +7,7 @@ import numpy as np
 from folioforge.llm.chunks import cut_points, repeated_spans, without_repeats
 from folioforge.llm.common import Tables
 from folioforge.llm.components import connected_components
-from folioforge.llm.minhash import near_duplicates, part_keys, part_slots, radius_for
+from folioforge.llm.minhash import set_classes, near_duplicates, part_keys, part_slots, radius_for
 from folioforge.llm.shingles import MinHash, shingle_set, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -143,3 +143,14 @@ def test_chunk_cases(documents, prose):
     left = sorted(((r.doc_id, r.text) for r in without_repeats(documents(rows)).collect()), key=str)
     assert [t for i, t in left if i == 3] == [long, long] and (4, None) in left and (5, "") in left and (None, "") in left
     assert repeated_spans(documents([])).count() == 0 and without_repeats(documents([])).count() == 0
+
+
+def test_sets_with_one_hash_are_told_apart(spark):
+    """Two classes that share a 64-bit name by chance get names of their own."""
+    rows = [(1, 11, 5, 100, 7, b"a"), (2, 12, 5, 100, 7, b"a"), (3, 13, 4, 100, 8, b"b"), (4, 14, 4, 200, 9, b"c"), (5, 15, 0, None, None, None)]
+    feats = spark.createDataFrame(rows, "doc_id long, text_tag long, n_shingles long, cls long, mark long, sig binary")
+    feats, classes = set_classes(feats, Tables(spark, "test"))
+    got = sorted((r.least, r.tag, r.n, bytes(r.sig)) for r in classes.collect())
+    assert got == [(1, 11, 5, b"a"), (3, 13, 4, b"b"), (4, 14, 4, b"c")] and feats.count() == 5
+    by = {r.doc_id: r.cls for r in feats.collect()}
+    assert by[1] == by[2] != by[3] and by[4] == 200 and by[5] is None

@@ -49,7 +49,20 @@ def test_stages_with_equal_rows_and_none(spark, documents):
         assert stage(spark, documents([]), "").count() == 0
 
 
+def test_stages_take_any_schema(spark, documents, prose):
+    """Maps, names with dots and names that the operators use pass through every stage but the last."""
+    odd = {"a.b": "'dot'", "m": "map('k', doc_id)", "lang_pred": "'mine'", "score": "1", "rejected": "true", "tag": "'t'", "cls": "2", "s p": "array(1)", "order": "0"}
+    rows = [(k % 9, prose(k % 7, 60)) for k in range(40)] + [(None, prose(1, 60)), (None, None), (3, "")]
+    docs = documents(rows).drop("size", "key", "label").selectExpr("*", *(f"{v} as `{k}`" for k, v in odd.items()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r["a.b"] == "dot" and r["m"] == {"k": r.doc_id} and r["lang_pred"] == "mine" and r["order"] == 0 for r in got), name
+    assert corpus_pipeline.byte_level_bpe(spark, docs, "").count() == len(rows)
+
+
 def test_queries_are_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
