@@ -165,64 +165,88 @@ def _confirmed(percent: int):
     return run
 
 
+def _whole_runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows that come sorted by (key, i, j), in tables of whole runs of equal ones, with the run of each row;
+    slices are bounded by the bytes of a column, tables by those and one run."""
+    kept = None
+    for batch in chain(pieces(batches, column), [None]):
+        have = [x for x in (kept, batch) if x is not None and x.num_rows]
+        if not have:
+            continue
+        t = pa.Table.from_batches(have).combine_chunks()
+        col = lambda n: t.column(n).to_numpy()  # noqa: E731, B023
+        starts = np.concatenate(([True], (col("key")[1:] != col("key")[:-1]) | (col("i")[1:] != col("i")[:-1]) | (col("j")[1:] != col("j")[:-1])))
+        end = t.num_rows if batch is None else int(np.flatnonzero(starts)[-1])  # the last run may go on
+        if end:
+            yield t.slice(0, end), np.cumsum(starts)[:end]
+        kept = t.slice(end).combine_chunks().to_batches()[0] if end < t.num_rows else None
+
+
+def _near_in_runs(t: pa.Table, run: np.ndarray, covers: np.ndarray, radius: int, percent: int, labels: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(rows, d): rows that the row d places on in their run is near to by size and signature, from another
+    component and, where a run has two blocks, block, and for whom the run's key is the first that both share.
+    Compares all runs at once for d = 1, 2 .. while any run is that long; ``labels`` may change meanwhile."""
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(t.num_rows, -1)
+    slot, block, n, two = t.column("slot").to_numpy(), t.column("block").to_numpy(), t.column("n").to_numpy(), t.column("i").to_numpy() != t.column("j").to_numpy()
+    here = np.arange(len(run))
+    for d in range(1, len(run)):
+        here = here[here + d < len(run)]
+        here = here[run[here] == run[here + d]]
+        if not len(here):
+            break
+        x = here[(labels[here] != labels[here + d]) & (~two[here] | (block[here] != block[here + d]))]
+        x = x[100 * np.minimum(n[x], n[x + d]) >= percent * np.maximum(n[x], n[x + d])]
+        for at in range(0, len(x), 20_000):
+            y = x[at : at + 20_000]
+            differ = sig[y] != sig[y + d]
+            near = differ.sum(axis=1) <= radius
+            y, differ = y[near], differ[near]
+            y = y[((differ.astype(np.float32) @ covers) == 0).argmax(axis=1) == slot[y]]
+            if len(y):
+                yield y, d
+
+
+def _close(slots: np.ndarray, radius: int, percent: int):
+    """Of rows sorted by (key, i, j) those that are near to another of their run by signature."""
+    covers = slots.T.astype(np.float32)
+
+    @gives_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, runs in _whole_runs(batches, 4):
+            near = np.zeros(t.num_rows, dtype=bool)
+            for y, d in _near_in_runs(t, runs, covers, radius, percent, t.column("label").to_numpy()):
+                near[y] = near[y + d] = True
+            yield from t.filter(pa.array(near)).to_batches()
+
+    return run
+
+
 def _links_across(slots: np.ndarray, radius: int, percent: int):
     """Links between different components in each run of rows with equal (key, i, j); the rows come
-    sorted by these.
-
-    Compares each row with the row d places on, for all runs at once and d = 1, 2 .. while any run is
-    that long.  What is left after the tests of component, block, distance and first shared slot is
-    confirmed on the sets; a link merges its components within the run before d goes on."""
+    sorted by these.  Pairs that are near by signature are confirmed on the sets, and a link merges its
+    components within the run before the search goes on."""
     covers = slots.T.astype(np.float32)
 
-    def search(run, slot, label, block, two, cls, sig, size, members) -> pa.RecordBatch:
-        out, here, label = [], np.arange(len(run)), label.copy()
-        ends = np.append(np.flatnonzero(run[1:] != run[:-1]) + 1, len(run))
-        set_of = lambda r: np.frombuffer(members[int(r)].as_buffer(), dtype=np.uint64)  # noqa: E731  where it lies
-        for d in range(1, len(run)):
-            here = here[here + d < len(run)]
-            here = here[run[here] == run[here + d]]
-            if not len(here):
-                break
-            x = here[(label[here] != label[here + d]) & (~two[here] | (block[here] != block[here + d]))]
-            small, large = np.minimum(size[x], size[x + d]), np.maximum(size[x], size[x + d])
-            x = x[100 * small >= percent * large]
-            for at in range(0, len(x), 20_000):
-                y = x[at : at + 20_000]
-                differ = sig[y] != sig[y + d]
-                near = differ.sum(axis=1) <= radius
-                y, differ = y[near], differ[near]
-                y = y[((differ.astype(np.float32) @ covers) == 0).argmax(axis=1) == slot[y]]
-                for r in y.tolist():
+    @gives_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, runs in _whole_runs(batches, 9):
+            cls, label, members = t.column("cls").to_numpy(), t.column("label").to_numpy().copy(), t.column("members").combine_chunks()
+            set_of = lambda r: np.frombuffer(members[int(r)].as_buffer(), dtype=np.uint64)  # noqa: B023, E731  where it lies
+            ends, out = np.append(np.flatnonzero(runs[1:] != runs[:-1]) + 1, len(runs)), []
+            for rows, d in _near_in_runs(t, runs, covers, radius, percent, label):
+                for r in rows.tolist():
                     a, b = label[r], label[r + d]
                     if a == b:
                         continue
-                    inter = _overlap(set_of(r), set_of(r + d))
-                    if 100 * inter >= percent * (size[r] + size[r + d] - inter):
+                    one, other = set_of(r), set_of(r + d)
+                    inter = _overlap(one, other)
+                    if 100 * inter >= percent * (len(one) + len(other) - inter):
                         out.append((cls[r], cls[r + d]))
-                        end = ends[np.searchsorted(ends, r, side="right")]
-                        start = 0 if end == ends[0] else ends[np.searchsorted(ends, end) - 1]
-                        own = label[start:end]
+                        k = int(np.searchsorted(ends, r, side="right"))
+                        own = label[ends[k - 1] if k else 0 : ends[k]]
                         own[own == b] = a
-        pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    @gives_back
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in chain(pieces(batches, 5), [None]):
-            have = [x for x in (kept, batch) if x is not None and x.num_rows]
-            if not have:
-                continue
-            t = pa.Table.from_batches(have).combine_chunks()
-            col = lambda n: t.column(n).to_numpy()  # noqa: E731, B023
-            starts = np.concatenate(([True], (col("key")[1:] != col("key")[:-1]) | (col("i")[1:] != col("i")[:-1]) | (col("j")[1:] != col("j")[:-1])))
-            end = t.num_rows if batch is None else int(np.flatnonzero(starts)[-1])  # the last run may go on
-            if end:
-                sig = np.frombuffer(b"".join(t.column("sig").slice(0, end).to_pylist()), dtype=np.uint16).reshape(end, -1)
-                members = t.column("members").chunk(0).slice(0, end)
-                size = pc.binary_length(members).to_numpy().astype(np.int64) // 8
-                yield search(np.cumsum(starts)[:end], col("slot")[:end], col("label")[:end], col("block")[:end], (col("i") != col("j"))[:end], col("cls")[:end], sig, size, members)
-            kept = t.slice(end).combine_chunks().to_batches()[0] if end < t.num_rows else None
+            pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
@@ -283,14 +307,18 @@ def near_duplicates(
     labelled = labelled.join(classes.select("cls", "n", "least", "tag"), "cls")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight")).where("lo <> hi")
     blocks = F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("weight") / block_shingles)).cast("int").alias("blocks")
-    rest = tables.put("rest", labelled.join(open_keys.select("key", blocks), "key"))
-    sets = sets_of(rest.select("cls", "least", "tag"), rest.count())
-    rest = rest.join(classes.select("cls", "sig"), "cls").join(sets, "cls").withColumn("block", F.pmod(F.hash("cls"), "blocks"))
+    rest = labelled.join(open_keys.select("key", blocks), "key").join(classes.select("cls", "sig"), "cls").withColumn("block", F.pmod(F.hash("cls"), "blocks"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "slot", "cls", "label", "sig", "members", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_links_across(slots, radius, percent), "a long, b long")
+    rest = rest.select("key", "slot", "cls", "label", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "least", "tag")
+    kinds = "key long, slot short, cls long, label long, sig binary, block int, i int, j int, n long, least long, tag long"
+    by_run = lambda rows: rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # Most rows of open buckets are near to none of another component: sets travel for those alone that are.
+    close = tables.put("close", by_run(rest).mapInArrow(_close(slots, radius, percent), kinds))
+    sets = sets_of(close.select("cls", "least", "tag"), close.count())
+    close = close.drop("least", "tag").join(sets, "cls").select("key", "slot", "cls", "label", "sig", "block", "i", "j", "n", "members")
+    found = by_run(close).mapInArrow(_links_across(slots, radius, percent), "a long, b long")
     more = tables.put("more", found)
-    tables.clear("members", "rest", "wanted", "sets")
+    tables.clear("members", "close", "wanted", "sets")
 
     if more.limit(1).count():
         labels = tables.put("labels", connected_components(links.union(more), tables), 2 * (links.count() + more.count()))
