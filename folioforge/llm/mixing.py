@@ -92,7 +92,7 @@ def mix_sources(docs: DataFrame, cap: float = 3.0, seed: int = 17, cycle: int =
     out, until none fits; what is then missing is filled by the one other document whose size is
     nearest to it, if that brings the source nearer to its target.  So taken misses target by at most
     half of the smallest document that isn't taken once more.  Without ``fill``, the first document
-    that is too long ends the order, as in the query's SQL.
+    that is too long ends the order.
 
     Defined cases: a null or empty text has size 0 and adds nothing; a null source is one source,
     ranked last; sources without words have target 0.  Rows that repeat a doc_id are rows of their

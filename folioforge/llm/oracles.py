@@ -38,16 +38,23 @@ def fingerprints(block: int) -> str:
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-MIX = rf"""WITH d AS (SELECT doc_id, source, len({_WORDS}) size, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT ord FROM documents),
+MIX = rf"""WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS}) size, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT ord FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 w FROM d GROUP BY source),
 r AS (SELECT *, 3 * size / w r, sum(size) OVER () total, sum(3 * size) OVER o - 3 * size used, sum(w) OVER () - (sum(w) OVER o - w) rest FROM s WINDOW o AS (ORDER BY 3 * size / w, source ROWS UNBOUNDED PRECEDING)),
 l AS (SELECT arg_min((total - used) / rest, r) FILTER ((total - used) / rest <= r) level FROM r),
 t AS (SELECT source s, size source_size, least(3 * size, w * level) target, CASE WHEN size > 0 THEN floor(least(3 * size, w * level) / size) ELSE 0 END whole FROM s, l),
 p AS (SELECT d.*, source_size, target, whole, target - whole * source_size - coalesce(sum(d.size) OVER (PARTITION BY source ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) leftover FROM d JOIN t ON source IS NOT DISTINCT FROM s),
 x AS (SELECT *, CASE WHEN size > 0 AND leftover >= size THEN 1 ELSE 0 END extra FROM p),
-m AS (SELECT source, any_value(target) - sum((whole + extra) * size) short FROM x GROUP BY source),
-c AS (SELECT x.source cs, arg_min(ord, ROW(abs(size - short), ord)) co FROM x JOIN m ON x.source IS NOT DISTINCT FROM m.source WHERE short > 0 AND extra = 0 AND size > 0 AND whole + 1 <= 3 AND size < 2 * short GROUP BY x.source)
-SELECT doc_id, size, source_size::BIGINT source_size, round(target, 6) target, (size * (whole + extra + CASE WHEN co IS NOT NULL THEN 1 ELSE 0 END))::BIGINT taken FROM x LEFT JOIN c ON source IS NOT DISTINCT FROM cs AND ord = co"""
+q AS (SELECT *, row_number() OVER (PARTITION BY source, ord ORDER BY extra DESC) cp FROM x),
+m AS (SELECT source ms, any_value(target) - sum((whole + extra) * size) short FROM q GROUP BY source),
+f(source, ord, cp, size, short, took) AS (SELECT source, ord, cp, size, short, FALSE FROM q JOIN m ON source IS NOT DISTINCT FROM ms WHERE short > 0 AND extra = 0 AND size > 0 AND whole + 1 <= 3 AND size <= short
+  UNION ALL SELECT source, ord, cp, size, short - coalesce(sum(CASE WHEN t THEN size END) OVER (PARTITION BY source), 0), t FROM (
+    SELECT *, fits AND sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY ord, cp ROWS UNBOUNDED PRECEDING) <= short t FROM (
+      SELECT *, NOT bool_or(size <= short / 2) OVER (PARTITION BY source) OR size <= short / 2 fits FROM f WHERE NOT took AND size <= short))),
+y AS (SELECT q.doc_id, q.source, q.ord, q.cp, q.size, source_size, target, whole, CASE WHEN e.ord IS NOT NULL THEN 1 ELSE extra END extra FROM q LEFT JOIN (SELECT * FROM f WHERE took) e ON q.source IS NOT DISTINCT FROM e.source AND q.ord = e.ord AND q.cp = e.cp),
+n AS (SELECT source ns, any_value(target) - sum((whole + extra) * size) short FROM y GROUP BY source),
+c AS (SELECT y.source cs, arg_min(ROW(ord, cp), ROW(abs(size - short), ord, cp)) co FROM y JOIN n ON y.source IS NOT DISTINCT FROM ns WHERE short > 0 AND extra = 0 AND size > 0 AND whole + 1 <= 3 AND size < 2 * short GROUP BY y.source)
+SELECT doc_id, size, source_size::BIGINT source_size, round(target, 6) target, (size * (whole + extra + CASE WHEN co IS NOT NULL THEN 1 ELSE 0 END))::BIGINT taken FROM y LEFT JOIN c ON source IS NOT DISTINCT FROM cs AND ROW(ord, cp) = co"""
 
 
 def url_filter(rules: list[tuple[str, str]]) -> str:
@@ -59,18 +66,18 @@ def url_filter(rules: list[tuple[str, str]]) -> str:
     SELECT page_id, host, path, rule, coalesce(action, 'allow') verdict FROM p LEFT JOIN f USING (k)"""
 
 
-LINES = rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') t, {_WORDS} ws, string_split(coalesce(text, ''), {_NL}) ls FROM documents),
-g AS (SELECT doc_id, i, ws[i] || chr(1) || ws[i + 1] || chr(1) || ws[i + 2] g FROM d, unnest(range(1, len(ws) - 1)) u(i)),
-c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, g) n FROM g),
-v AS (SELECT doc_id, count(DISTINCT p) n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) p FROM c WHERE n > 1) GROUP BY doc_id),
-l AS (SELECT doc_id, source, l FROM d, unnest(ls) u(l) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
-y AS (SELECT doc_id, count(*) - count(DISTINCT l) n_dup_lines FROM l GROUP BY doc_id),
-k AS (SELECT doc_id, source, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) k FROM l),
-h AS (SELECT source hs, count(*) docs FROM d GROUP BY source),
-o AS (SELECT source os, k ok FROM k JOIN h ON source IS NOT DISTINCT FROM hs GROUP BY source, k, docs HAVING count(DISTINCT doc_id) > greatest(50, docs * 0.002)),
-z AS (SELECT doc_id, count(*) lines, sum(len(k) - len(replace(k, ' ', '')) + 1) words FROM k JOIN o ON source IS NOT DISTINCT FROM os AND k = ok GROUP BY doc_id),
+LINES = rf"""WITH d AS (SELECT row_number() OVER () r, doc_id, source, coalesce(text, '') t, {_WORDS} ws, string_split(coalesce(text, ''), {_NL}) ls FROM documents),
+g AS (SELECT r, i, ws[i] || chr(1) || ws[i + 1] || chr(1) || ws[i + 2] g FROM d, unnest(range(1, len(ws) - 1)) u(i)),
+c AS (SELECT *, count(*) OVER (PARTITION BY r, g) n FROM g),
+v AS (SELECT r, count(DISTINCT p) n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) p FROM c WHERE n > 1) GROUP BY r),
+l AS (SELECT r, doc_id, t, source, l FROM d, unnest(ls) u(l) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+y AS (SELECT r, count(*) - count(DISTINCT l) n_dup_lines FROM l GROUP BY r),
+k AS (SELECT r, doc_id, md5(t) t, source, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) k FROM l),
+h AS (SELECT source hs, count(DISTINCT (coalesce(doc_id::VARCHAR, '-'), md5(t))) docs FROM d GROUP BY source),
+o AS (SELECT source os, k ok FROM k JOIN h ON source IS NOT DISTINCT FROM hs GROUP BY source, k, docs HAVING count(DISTINCT (coalesce(doc_id::VARCHAR, '-'), t)) > greatest(50, docs * 0.002)),
+z AS (SELECT r, count(*) lines, sum(len(k) - len(replace(k, ' ', '')) + 1) words FROM k JOIN o ON source IS NOT DISTINCT FROM os AND k = ok GROUP BY r),
 a AS (SELECT doc_id, len(ws) n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) n_symbols, coalesce(n_dup_lines, 0) n_dup_lines,
-  coalesce(n_repeat_words, 0) n_repeat_words, coalesce(lines, 0)::BIGINT n_removed_lines, coalesce(words, 0)::BIGINT n_removed_words FROM d LEFT JOIN v USING (doc_id) LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id))
+  coalesce(n_repeat_words, 0) n_repeat_words, coalesce(lines, 0)::BIGINT n_removed_lines, coalesce(words, 0)::BIGINT n_removed_words FROM d LEFT JOIN v USING (r) LEFT JOIN y USING (r) LEFT JOIN z USING (r))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 50 AND n_words - n_removed_words >= 0.3 * n_words kept FROM a"""
 
