@@ -1,15 +1,17 @@
 """License scans: phrases of names, and template markup compiled into token automata.
 
 A template's words must occur as written (letter case and punctuation aside), but for
-``<<beginOptional>>..<<endOptional>>``, which may be missing, and ``<<var;match=.+>>`` (or ``.*``), in
-whose place any words may stand, up to ``VAR_WORDS``.  A template compiles into a nondeterministic
-automaton over words, determinised lazily over the words that the templates know; one pass over a text
-finds the templates that match somewhere in it.
+``<<beginOptional>>..<<endOptional>>``, which may be missing, and ``<<var;match="..">>``, in whose place
+words may stand that the expression fully matches, as they are compared: in lower case, with one blank
+between.  A template compiles into a nondeterministic automaton over words, determinised lazily over the
+words that the templates know; one pass over a text finds the templates that match somewhere in it.
 """
 
 from __future__ import annotations
 
 import re
+import re._constants as sre_constants
+import re._parser as sre
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,11 +82,11 @@ TEMPLATES = {
     "mit-notice": "<<beginOptional>>Released under<<endOptional>> the MIT License",
     **TEXTS,
 }
-VAR_WORDS = 20
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 _IS_WORD = bytes(int(0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80) for c in range(256))
 _MARK = re.compile(r"<<(.*?)>>")
+_MATCH = re.compile(r"""match=(?:"([^"]*)"|([^;>]*))""")
 _MAX_STATES = 50_000
 
 
@@ -101,13 +103,107 @@ def count_words(text: str) -> int:
     return int(flag[0]) + int(np.count_nonzero(flag[1:] > flag[:-1]))
 
 
+class Expression:
+    """A replaceable region's expression as a nondeterministic automaton over characters, to be fed word by
+    word with blanks between.  Case is ignored; look-around and back-references are errors."""
+
+    def __init__(self, pattern: str):
+        self.moves: list[list[tuple]] = []  # by state: (test of a character, state)
+        self.free: list[list[int]] = []
+        self.start = self._state()
+        self.end = self._build(sre.parse(pattern, re.IGNORECASE | re.DOTALL), self.start)
+
+    def _state(self) -> int:
+        self.moves.append([])
+        self.free.append([])
+        return len(self.moves) - 1
+
+    def _build(self, items, at: int) -> int:
+        for kind, value in items:
+            name = str(kind)
+            if name in ("LITERAL", "NOT_LITERAL", "ANY", "IN", "CATEGORY"):
+                to = self._state()
+                self.moves[at].append((_tester(name, value), to))
+                at = to
+            elif name == "SUBPATTERN":
+                at = self._build(value[-1], at)
+            elif name == "BRANCH":
+                to = self._state()
+                for branch in value[1]:
+                    own = self._state()
+                    self.free[at].append(own)
+                    self.free[self._build(branch, own)].append(to)
+                at = to
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                least, most, body = value
+                for _ in range(least):
+                    at = self._build(body, at)
+                to = self._state()
+                if most == sre_constants.MAXREPEAT:
+                    again = self._state()
+                    self.free[at].append(again)
+                    self.free[self._build(body, again)].append(again)
+                    self.free[again].append(to)
+                else:
+                    self.free[at].append(to)
+                    for _ in range(most - least):
+                        at = self._build(body, at)
+                        self.free[at].append(to)
+                at = to
+            elif name != "AT":
+                raise ValueError(f"{name} in an expression")
+        return at
+
+    def closure(self, states) -> frozenset[int]:
+        seen, todo = set(), list(states)
+        while todo:
+            s = todo.pop()
+            if s not in seen:
+                seen.add(s)
+                todo += self.free[s]
+        return frozenset(seen)
+
+    def feed(self, states: frozenset[int], text: str) -> frozenset[int]:
+        for c in text:
+            states = self.closure([to for s in states for test, to in self.moves[s] if test(c)])
+            if not states:
+                break
+        return states
+
+
+def _tester(name: str, value):
+    if name == "ANY":
+        return lambda c: True
+    if name in ("LITERAL", "NOT_LITERAL"):
+        own = {chr(value).lower(), chr(value).upper()}
+        return lambda c: (c in own) == (name == "LITERAL")
+    if name == "CATEGORY":
+        kind = str(value).removeprefix("CATEGORY_")
+        test = {"DIGIT": str.isdigit, "SPACE": str.isspace, "WORD": lambda c: c.isalnum() or c == "_"}[kind.removeprefix("NOT_")]
+        return lambda c: test(c) != kind.startswith("NOT_")
+    parts, negated = [], False
+    for kind, v in value:
+        if str(kind) == "NEGATE":
+            negated = True
+        elif str(kind) == "RANGE":
+            parts.append(lambda c, lo=chr(v[0]), hi=chr(v[1]): lo <= c <= hi or lo <= c.upper() <= hi)
+        else:
+            parts.append(_tester(str(kind), v))
+    return lambda c: any(p(c) for p in parts) != negated
+
+
 class TokenAutomata:
-    """Templates as one lazily determinised automaton; its alphabet is the templates' words and "any
-    other word"."""
+    """Templates as one lazily determinised automaton over words; its alphabet is the templates' words and "any
+    other word", and within a replaceable region whose expression looks at the text, that word itself.
 
-    def __init__(self, templates: dict[str, str], var_words: int = VAR_WORDS):
-        self.moves: list[dict[str | None, list[int]]] = []  # by state: word, or None for any, to states
-        self.free: list[list[int]] = []  # by state: states reached without a word
+    A state is (place, None), or (place, (characters' states, whether a word has been read)) within such a region.
+    A region of any words (``.+``, ``.*`` or none given) is a loop, however many they are; ``var_words`` bounds it."""
+
+    def __init__(self, templates: dict[str, str], var_words: int | None = None):
+        self.var_words = var_words
+        self.moves: list[dict[str | None, list[int]]] = []  # by place: word, or None for any, to places
+        self.free: list[list[int]] = []  # by place: places reached without a word
+        self.regions: dict[int, tuple[Expression, int]] = {}  # by place: the expression that begins there, its end
         self.accepts: dict[int, str] = {}
         self.must: dict[str, list[str]] = {}
         starts = []
@@ -130,8 +226,8 @@ class TokenAutomata:
                 elif kind == "endOptional":
                     self.free[open_.pop()].append(at)
                 elif kind == "var":
-                    least = 0 if "match=.*" in piece or "match=.{0" in piece else 1
-                    at = self._any(at, least, var_words)
+                    found = _MATCH.search(piece)
+                    at = self._region(at, (found[1] if found[1] is not None else found[2].strip()) if found else ".+")
                 else:
                     raise ValueError(f"unknown mark {piece!r} in {label}")
                 runs.append([])
@@ -142,7 +238,7 @@ class TokenAutomata:
         self.runs = [f" {' '.join(m)} " for m in self.must.values()]
         self.rarest = {max(m, key=len) for m in self.must.values() if m}
         self.known = {w for m in self.moves for w in m if w is not None}
-        self.start = self._closure(starts)
+        self.start = self._closure([(s, None) for s in starts])
         self._forget()
 
     def _state(self) -> int:
@@ -150,42 +246,74 @@ class TokenAutomata:
         self.free.append([])
         return len(self.moves) - 1
 
-    def _any(self, at: int, least: int, most: int) -> int:
+    def _region(self, at: int, pattern: str) -> int:
         end = self._state()
-        for k in range(most + 1):
-            if k >= least:
+        if pattern in (".+", ".*") and self.var_words is not None:
+            for k in range(self.var_words + 1):
+                if k or pattern == ".*":
+                    self.free[at].append(end)
+                if k < self.var_words:
+                    to = self._state()
+                    self.moves[at].setdefault(None, []).append(to)
+                    at = to
+        elif pattern in (".+", ".*"):
+            loop = self._state()
+            self.moves[at].setdefault(None, []).append(loop)
+            self.moves[loop].setdefault(None, []).append(loop)
+            self.free[loop].append(end)
+            if pattern == ".*":
                 self.free[at].append(end)
-            if k < most:
-                to = self._state()
-                self.moves[at].setdefault(None, []).append(to)
-                at = to
+        else:
+            self.regions[at] = Expression(pattern), end
         return end
 
-    def _closure(self, states) -> frozenset[int]:
+    def _closure(self, states) -> frozenset:
         seen, todo = set(), list(states)
         while todo:
             s = todo.pop()
-            if s not in seen:
-                seen.add(s)
-                todo += self.free[s]
+            if s in seen:
+                continue
+            seen.add(s)
+            place, inside = s
+            if inside is None:
+                todo += [(t, None) for t in self.free[place]]
+                if place in self.regions:
+                    e, _ = self.regions[place]
+                    todo.append((place, (e.closure([e.start]), False)))
+            else:
+                e, end = self.regions[place]
+                if e.end in inside[0]:
+                    todo.append((end, None))
         return frozenset(seen)
 
     def _forget(self) -> None:
-        self.table: dict[tuple[frozenset[int], str | None], tuple[frozenset[int], frozenset[str]]] = {}
-
-    def _next(self, now: frozenset[int], word: str | None):
-        to = [t for s in now for key in ({word, None}) for t in self.moves[s].get(key, ())]
+        self.table: dict[tuple[frozenset, str | None], tuple[frozenset, frozenset[str]]] = {}
+        self.reads: dict[frozenset, bool] = {}
+
+    def _looks(self, now: frozenset) -> bool:
+        """Whether a region's expression has to see the next word itself."""
+        if now not in self.reads:
+            self.reads[now] = any(inside is not None for _, inside in now)
+        return self.reads[now]
+
+    def _next(self, now: frozenset, word: str | None):
+        to = []
+        for place, inside in now:
+            if inside is None:
+                to += [(t, None) for key in {word if word in self.known else None, None} for t in self.moves[place].get(key, ())]
+            elif word is not None and (fed := self.regions[place][0].feed(inside[0], f" {word}" if inside[1] else word)):
+                to.append((place, (fed, True)))
         found = self._closure([*to, *self.start])  # a match may begin at each word
         if len(self.table) > _MAX_STATES:
             self._forget()
-        self.table[now, word] = out = found, frozenset(self.accepts[s] for s in found if s in self.accepts)
+        self.table[now, word] = out = found, frozenset(self.accepts[p] for p, inside in found if inside is None and p in self.accepts)
         return out
 
     def labels(self, tokens: list[str]) -> set[str]:
         """Templates that match a run of these words."""
         now, out = self.start, set()
         for t in tokens:
-            w = t if t in self.known else None
+            w = t if t in self.known or self._looks(now) else None
             now, accepted = self.table.get((now, w)) or self._next(now, w)
             if accepted:
                 out |= accepted

@@ -86,7 +86,7 @@ SELECT page_id, strlen(h)::BIGINT payload_bytes, sha256(h) payload_digest, CASE
   CASE WHEN strlen(h) >= 100 AND page_id <> first THEN first END refers_to FROM p"""
 
 
-def licenses(phrases: dict[tuple[str, ...], str], templates: dict[str, str], var_words: int) -> str:
+def licenses(phrases: dict[tuple[str, ...], str], templates: dict[str, str]) -> str:
     """Templates as regular expressions over the words, each after a blank."""
     import re
 
@@ -97,7 +97,7 @@ def licenses(phrases: dict[tuple[str, ...], str], templates: dict[str, str], var
                 out += "".join(f" {w}" for w in re.findall(r"[a-z0-9]+", piece.lower()))
             else:
                 kind = piece.split(";")[0]
-                out += "(?:" if kind == "beginOptional" else ")?" if kind == "endOptional" else f"(?: [^ ]+){{{0 if '.*' in piece else 1},{var_words}}}"
+                out += "(?:" if kind == "beginOptional" else ")?" if kind == "endOptional" else "(?: [^ ]+)" + {".*": "*", ".+": "+"}[piece.split("match=")[1]]
         return out + " "
 
     places = " || ".join(f"list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p))})" for p in phrases)

@@ -14,7 +14,7 @@ from .chunks import repeated_spans
 from .common import ship_package
 from .fingerprints import BLOCK, fingerprint_edits
 from .langid import fit, held_out, predict
-from .licenses import PHRASES, TEMPLATES, VAR_WORDS, scan_licenses
+from .licenses import PHRASES, TEMPLATES, scan_licenses
 from .linefreq import line_frequency_rules
 from .maintext import extract_main_text
 from .minhash import near_duplicates
@@ -129,7 +129,7 @@ ORACLES: dict[str, str] = {
     "op3_url_filters": oracles.url_filter(URL_RULES),
     "op5_line_frequency": oracles.LINES,
     "op6_warc_packages": oracles.ARCHIVES,
-    "op7_license_scan": oracles.licenses(PHRASES, TEMPLATES, VAR_WORDS),
+    "op7_license_scan": oracles.licenses(PHRASES, TEMPLATES),
     "op10_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op11_main_text": oracles.main_text(),
     "op12_vector_codes": oracles.vector_codes(),

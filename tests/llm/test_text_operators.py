@@ -341,3 +341,45 @@ def test_license_scan(documents):
     assert got[2, 0].n_base == 0 and got[2, 0].first_word is None and got[2, 0].labels == ""
     assert got[4, 7].labels == "cc-by-nc-4.0" and got[4, 7].n_base == 0 and (got[None, 9].n_base, got[None, 9].last_word) == (3, 6)
     assert count_words("é a-b_c\u00a09 Zz") == len(words("é a-b_c\u00a09 Zz")) and scan_licenses(documents([])).count() == 0
+
+
+@pytest.mark.parametrize("pattern", ["(licensor|author)", "(the )?copyright holders?", r"\d{4}(-\d{4})?", "[a-c]+ x*", ".{0,12}", ".{3,}", "a.c", "(ab|a b)+", "", "[^xyz ]+ of .+"])
+def test_replaceable_regions_are_expressions(pattern):
+    """A region accepts just the words that its expression fully matches, none included."""
+    r = random.Random(pattern)
+    automata = TokenAutomata({"t": f'begin <<var;name=x;match="{pattern}">> end'})
+    pool = ["licensor", "author", "banana", "the", "copyright", "holder", "holders", "2024", "2024-2025", "a", "b", "abc", "x", "xx", "ab", "c", "of", "z", "holder of"]
+    for _ in range(600):
+        inside = words(" ".join(r.choice(pool) for _ in range(r.randint(0, 4))))
+        want = re.fullmatch(pattern, " ".join(inside), re.I) is not None
+        assert ("t" in automata.labels(["x", "begin", *inside, "end", "y"])) == want, inside
+
+
+def test_regions_of_any_length():
+    automata = TokenAutomata({"t": "by <<var;match=.+>> as is", "u": 'by <<var;match=".{0,5000}">> alone'})
+    many = ["word"] * 3000
+    assert automata.labels(["by", *many, "as", "is"]) == {"t"} and automata.labels(["by", "as", "is"]) == set()
+    assert automata.labels(["by", *many[:1000], "alone"]) == {"u"} and automata.labels(["by", *many[:1001], "alone"]) == set() and automata.labels(["by", "alone"]) == {"u"}
+    with pytest.raises(ValueError):
+        TokenAutomata({"t": 'a <<var;match="(?=x)y">> b'})
+
+
+def test_lines_of_copies_count_once(documents, prose):
+    """One document in sixty equal rows has no line that is frequent; sixty documents that share one do."""
+    text = "\n".join(prose(k, 12) for k in range(8))
+    same = [(5, text, "en", "h")] * 60 + [(None, text + " end", "en", "h")] * 60 + [(6, text.replace("\n", " x\n"), "en", "h")]
+    assert all(r.n_removed_lines == 0 and r.kept for r in line_frequency_rules(documents(same), limit=50, share=0.0).collect())
+    shared = [(7, f"{text}\n{prose(100 + k, 20)}", "en", "h") for k in range(60)] * 2
+    got = line_frequency_rules(documents(shared), limit=50, share=0.0).collect()
+    assert len(got) == 120 and all(r.n_removed_lines == 8 for r in got)
+    assert all(r.n_removed_lines == 0 for r in line_frequency_rules(documents(shared), limit=60, share=0.0).collect())
+
+
+def test_very_long_texts(documents, prose):
+    """A text of a million words goes whole through the text operators."""
+    long = (prose(1, 5000, 3000) + "\n") * 200
+    docs = documents([(1, long), (2, "short text"), (3, None)])
+    one = {r.doc_id: r for r in line_frequency_rules(docs).collect()}
+    assert one[1].n_words == 1_000_000 and one[1].n_dup_lines == 199 and one[1].n_repeat_words == 1_000_000
+    assert {r.doc_id: r.n_words for r in scan_licenses(docs).collect()} == {1: len(words(long)), 2: 2, 3: 0}
+    assert {r.doc_id: r.size for r in mix_sources(docs).collect()} == {1: 1_000_000, 2: 2, 3: 0}
