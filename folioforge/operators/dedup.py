@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled, jaccard, normalize_title, title_tokens
+from .ordered import HOT_ROWS, handed_on, sliced, slices_before
 from .store import source_map
 
 FUZZY = 0.85
@@ -25,38 +26,31 @@ def latest_per_key(df: DataFrame, keys: list[str], when: str, tie: str) -> DataF
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def version_fold(df: DataFrame, key: str, modified: str, order: str, slices: int = 64) -> DataFrame:
+def version_fold(df: DataFrame, key: str, modified: str, order: str, hot: int = HOT_ROWS) -> DataFrame:
     """verdict of each row of a key in arrival order: the first is NEW; a later one is NEW_VERSION if it
     was modified after all before it and the first has a date, else DUPLICATE.  base is the row that it
     is compared with: the last accepted one.
 
-    A key that holds a third of all rows is spread: ``order`` is cut into ``slices`` ranges at approximate
-    quantiles (that many numbers to the driver); a slice starts with what the slices of its key before it
-    hand over (a row a key and slice), so a task orders one slice of a key."""
-    bounds = df.select(F.percentile_approx(order, [i / slices for i in range(1, slices)], 20 * slices).alias("q")).first()["q"] or []
-    at = F.lit(0)
-    for b in sorted(set(bounds)):
-        at = at + (F.col(order) > F.lit(b)).cast("int")
-    df = df.withColumn("__at", at)
-    over = Window.partitionBy(key).orderBy("__at")
-    before = over.rowsBetween(Window.unboundedPreceding, -1)
-
-    def handed(rows: DataFrame, facts: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
-        """``rows`` with what the earlier slices of their key hand over."""
-        parts = rows.groupBy(key, "__at").agg(*[v.alias(n) for n, v in facts.items()]).withColumns(carried)
-        parts = parts.select(F.col(key).alias("__k"), F.col("__at").alias("__s"), *carried)
-        return rows.join(parts, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__at") == F.col("__s")), "left").drop("__k", "__s")
-
-    df = handed(df, {"__max": F.max(modified), "__head": F.min_by(F.struct(F.col(modified).alias("m")), order)}, {"__most": F.max("__max").over(before), "__start": F.first("__head").over(over.rowsBetween(Window.unboundedPreceding, 0)), "__earlier": F.count(F.lit(1)).over(before)})
+    One shuffle by key for keys of up to ``hot`` rows; larger ones are spread over slices of their order,
+    and a slice starts with what the earlier slices of its key hand over (a row a key and slice)."""
+    df, hot_keys = sliced(df, key, order, hot)
     w = Window.partitionBy(key, "__at").orderBy(order)
     prior = w.rowsBetween(Window.unboundedPreceding, -1)
-    most = F.greatest(F.col("__most"), F.max(modified).over(prior))
-    first = (F.col("__earlier") == 0) & (F.row_number().over(w) == 1)
-    df = df.withColumn("verdict", F.when(first, "NEW").when(F.col("__start.m").isNotNull() & (F.col(modified) > most), "NEW_VERSION").otherwise("DUPLICATE"))
+    most, head, first = F.max(modified).over(prior), F.first(modified).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.row_number().over(w) == 1
+    if hot_keys:
+        before = slices_before(key)
+        facts = {"__max": F.max(modified), "__head": F.min_by(F.struct(F.col(modified).alias("m")), order)}
+        df = handed_on(df, key, facts, {"__most": F.max("__max").over(before), "__start": F.first("__head").over(before)})
+        most, first = F.greatest(F.col("__most"), most), F.col("__start").isNull() & first
+        head = F.when(F.col("__start").isNull(), head).otherwise(F.col("__start.m"))
+    df = df.withColumns({"__top": most, "__first": head, "__is": first})
+    df = df.withColumn("verdict", F.when(F.col("__is"), "NEW").when(F.col("__first").isNotNull() & (F.col(modified) > F.col("__top")), "NEW_VERSION").otherwise("DUPLICATE"))
     accepted = F.when(F.col("verdict") != "DUPLICATE", F.col(order))
-    df = handed(df, {"__last": F.max(accepted)}, {"__base": F.max("__last").over(before)})
-    base = F.coalesce(F.max(accepted).over(prior), F.col("__base"))
-    return df.withColumn("base", base).drop("__at", "__most", "__start", "__earlier", "__base")
+    base = F.max(accepted).over(prior)
+    if hot_keys:
+        df = handed_on(df, key, {"__last": F.max(accepted)}, {"__base": F.max("__last").over(slices_before(key))})
+        base = F.coalesce(base, F.col("__base"))
+    return df.withColumn("base", base).drop("__at", "__most", "__start", "__top", "__first", "__is", "__base")
 
 
 def fuzzy_pairs(df: DataFrame, identity: str, title: str, block: int = 12, threshold: float = FUZZY, author: str | None = None) -> DataFrame:
@@ -111,15 +105,13 @@ def resolve_arrivals(df: DataFrame, order: str = "seq", modified: str = "source_
 PREFIX = 12
 
 
-def fuzzy_match(incoming: DataFrame, stored: DataFrame, threshold: float = FUZZY, identity: str = "resource_id") -> DataFrame:
-    """(in_id, match_id, similarity): for rows of ``incoming`` with a title the least stored row whose title
-    (original or Korean) contains the first ``PREFIX`` characters of theirs, whose year is the same or one
-    unknown, whose tokens have a Jaccard of ``threshold`` or more, and whose first author, if both have
-    one, is the same.  Both are (identity, title, year, author), titles normalised, authors in lower case.
+def title_pairs(incoming: DataFrame, stored: DataFrame, threshold: float = FUZZY) -> DataFrame:
+    """(a, b, similarity) of distinct normalised titles of ``incoming`` and ``stored`` (column title) where b
+    contains the first ``PREFIX`` characters of a and their tokens have a Jaccard of ``threshold`` or more.
 
     No cross join: tokens are ordered from the rarest on; two sets of that similarity share one of their
-    first n - ceil(threshold * n) + 1 tokens, so titles meet on those, one row a distinct title; what
-    meets is confirmed on the whole titles."""
+    first n - ceil(threshold * n) + 1 tokens, so titles meet on those; what meets is confirmed on the whole
+    titles."""
 
     def titles(df: DataFrame) -> DataFrame:
         return df.where("title <> ''").select("title").distinct().withColumn("w", title_tokens(F.col("title")))
@@ -135,11 +127,26 @@ def fuzzy_match(incoming: DataFrame, stored: DataFrame, threshold: float = FUZZY
 
     met = keyed(mine, "a").join(keyed(theirs, "b"), "t").select("a", "b").distinct()
     alike = jaccard(title_tokens(F.col("a")), title_tokens(F.col("b")))
-    met = met.where(F.contains(F.col("b"), F.left("a", F.lit(PREFIX)))).withColumn("similarity", alike).where(F.col("similarity") >= threshold)
-    left = incoming.select(F.col(identity).alias("in_id"), F.col("title").alias("a"), F.col("year").alias("ya"), F.coalesce("author", F.lit("")).alias("aa"))
-    # Of the stored rows of a title only the least of each year and author can be a first match.
-    right = stored.groupBy(F.col("title").alias("b"), F.col("year").alias("yb"), F.coalesce("author", F.lit("")).alias("ab")).agg(F.min(identity).alias("match_id"))
-    fits = left.join(met, "a").join(right, "b").where("(ya is null or yb is null or ya = yb) and (aa = '' or ab = '' or aa = ab)")
+    return met.where(F.contains(F.col("b"), F.left("a", F.lit(PREFIX)))).withColumn("similarity", alike).where(F.col("similarity") >= threshold)
+
+
+def fuzzy_match(incoming: DataFrame, stored: DataFrame, threshold: float = FUZZY, identity: str = "resource_id", met: DataFrame | None = None) -> DataFrame:
+    """(in_id, match_id, similarity): for rows of ``incoming`` with a title the least stored row whose title
+    contains the first ``PREFIX`` characters of theirs, whose year is the same or one unknown, whose tokens
+    have a Jaccard of ``threshold`` or more, and whose first author, if both have one, is the same.  Both
+    are (identity, title, year, author), titles normalised, authors in lower case.  ``met``: their
+    ``title_pairs``, if known."""
+    met = title_pairs(incoming, stored, threshold) if met is None else met
+    # A title's holders are reduced to the least one of each year and author, each year, each author, and of all; an
+    # arriving row asks for what fits it: a known year for itself and the unknown one (''), an unknown one for any (*).
+    # So a title that many rows hold on both sides costs each of them four keys, not each other.
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    pairs = lambda ys, ws: F.explode(F.flatten(F.transform(ys, lambda y: F.transform(ws, lambda w: F.struct(y.alias("y"), w.alias("w"))))))
+    asks = lambda c: F.when(said(c) == "", F.array(F.lit("*"))).otherwise(F.array(said(c), F.lit("")))
+    holds = lambda c: F.array(said(c), F.lit("*"))
+    left = incoming.select(F.col(identity).alias("in_id"), F.col("title").alias("a"), pairs(asks("year"), asks("author")).alias("k")).join(met, "a").select("in_id", "similarity", "b", "k.y", "k.w")
+    right = stored.where("title <> ''").select(F.col("title").alias("b"), pairs(holds("year"), holds("author")).alias("k"), F.col(identity).alias("id")).groupBy("b", "k.y", "k.w").agg(F.min("id").alias("match_id"))
+    fits = left.join(right, ["b", "y", "w"])
     return fits.groupBy("in_id").agg(F.min("match_id").alias("match_id"), F.min_by("similarity", "match_id").alias("similarity"))
 
 

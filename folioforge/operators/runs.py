@@ -38,12 +38,17 @@ def source_since(since: Column, until: Column, lookback_days: Column) -> Column:
     return F.least(since, F.date_sub(until, lookback_days - 1))
 
 
+def tally_measures() -> dict[str, Column]:
+    """Counts by outcome and by access mode; n_items counts the outcomes that a tally knows, so neither
+    quarantined nor skipped items."""
+    of = {"n_items": F.count_if(F.col("outcome").isin("NEW", "UPDATED", "DUPLICATE", "ERROR", "FAILED"))}
+    of |= {f"n_{v.lower()}": F.count_if(F.col("outcome") == v) for v in ("NEW", "UPDATED", "DUPLICATE", "ERROR")}
+    return of | {f"n_{v.lower()}": F.count_if(F.col("access_mode") == v) for v in ("DOWNLOADED", "LINK_ONLY")}
+
+
 def run_tally(items: DataFrame, by: str = "source_id") -> DataFrame:
-    """Counts by outcome and by access mode, a row a source; n_items counts the outcomes that a tally
-    knows, so neither quarantined nor skipped items."""
-    outcome = lambda v: F.count_if(F.col("outcome") == v).alias(f"n_{v.lower()}")
-    mode = lambda v: F.count_if(F.col("access_mode") == v).alias(f"n_{v.lower()}")
-    return items.groupBy(by).agg(F.count_if(F.col("outcome").isin("NEW", "UPDATED", "DUPLICATE", "ERROR", "FAILED")).alias("n_items"), *[outcome(v) for v in ("NEW", "UPDATED", "DUPLICATE", "ERROR")], *[mode(v) for v in ("DOWNLOADED", "LINK_ONLY")])
+    """``tally_measures``, a row a source."""
+    return items.groupBy(by).agg(*[v.alias(n) for n, v in tally_measures().items()])
 
 
 def failed_sources(errors: DataFrame, since: Column) -> DataFrame:

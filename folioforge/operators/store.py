@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_whitespace, first_filled
+from ..functions.text import clean_whitespace, first_filled, normalize_title
 
 #: Columns that an update changes, and those it fills only where they were empty.
 UPDATED = [
@@ -64,9 +64,13 @@ def source_map(resources: DataFrame) -> DataFrame:
 
 
 def works(resources: DataFrame) -> DataFrame:
-    """One row a work: first author, year and creation keep the earliest, titles the latest filled."""
+    """One row a work: first author, year and creation keep the earliest, DOI and titles the latest filled;
+    title_norm is the normalised title, by which works are compared."""
+    named = first_filled(F.col("title_original"), F.col("title_ko")) if "title_ko" in resources.columns else F.col("title_original")
+    resources = resources.withColumns({"__title": F.nullif(named, F.lit("")), "__norm": F.nullif(normalize_title(named), F.lit(""))})
     return resources.where("coalesce(work_id, '') <> ''").groupBy("work_id").agg(
-        F.max_by("doi", F.when(F.coalesce("doi", F.lit("")) != "", F.col("last_seen_at"))).alias("doi"), F.max_by("title_original", "last_seen_at").alias("title"),
+        F.max_by("doi", F.when(F.coalesce("doi", F.lit("")) != "", F.col("last_seen_at"))).alias("doi"), F.max_by("__title", F.when(F.col("__title").isNotNull(), F.col("last_seen_at"))).alias("title"),
+        F.max_by("__norm", F.when(F.col("__norm").isNotNull(), F.col("last_seen_at"))).alias("title_norm"),
         F.min_by(F.get("authors", 0), "first_seen_at").alias("first_author"), F.min_by(F.year("publication_date"), "first_seen_at").alias("year"),
         F.min("first_seen_at").alias("created_at"), F.count(F.lit(1)).alias("n_resources"),
     )
