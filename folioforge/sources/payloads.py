@@ -8,7 +8,6 @@ without a DOI.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -241,10 +240,12 @@ PRESETS: dict[str, dict[str, str]] = {
 
 def dig(path: str) -> Column:
     """The text at a dotted path of the payload; wherever a list stands on the way its first element is
-    taken.  One try a choice of places with lists, the most lists first."""
-    steps = path.split(".")
-    tries = ["$." + ".".join(n + x for n, x in zip(steps, marks)) for marks in product(("[0]", ""), repeat=len(steps))]
-    return T.clean_whitespace(F.coalesce(*[_get(t) for t in tries]))
+    taken, step by step."""
+    at = F.col("__v")
+    for name in path.split("."):
+        step = F.try_variant_get(at, f"$.{name}", "variant")
+        at = F.get(F.transform(F.array(step), lambda v: F.coalesce(F.try_variant_get(v, "$[0]", "variant"), v)), 0)
+    return T.clean_whitespace(F.try_variant_get(at, "$", "string"))
 
 
 def merged_fields(preset: str, overrides: dict[str, str] | None = None) -> dict[str, str]:
