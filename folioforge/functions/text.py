@@ -217,9 +217,13 @@ def abstract_from_index(c: Column) -> Column:
 
 def distinct_ignoring_case(c: Column) -> Column:
     """Trimmed strings in order, the first spelling of each kept, empty ones dropped."""
-    start = F.array().cast("array<string>")
-    trimmed = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
-    return F.aggregate(trimmed, start, lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.array_append(acc, x)))
+    some = F.transform(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""), lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x")))
+
+    def first(rows: Column) -> Column:  # sorted by spelling without case, so that equal ones stand together
+        kept = F.filter(F.transform(rows, lambda r, i: F.when((i == 0) | (F.get(rows, i - 1)["k"] != r["k"]), F.struct(r["i"].alias("i"), r["x"].alias("x")))), lambda r: r.isNotNull())
+        return F.transform(F.array_sort(kept), lambda r: r["x"])
+
+    return F.get(F.transform(F.array(F.array_sort(some)), first), 0)
 
 
 def json_block(c: Column) -> Column:

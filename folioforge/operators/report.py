@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import best_title, html_escape, mask_secrets, text_of
+from .ordered import numbered
+from .state import Scratch
 
 LIST_CAP = 40
 
@@ -57,16 +59,45 @@ def emit_cap(items: DataFrame, cap: int, by: str = "source_id", order: str = "se
     return items.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("__n") <= cap).drop("__n")
 
 
-def request_plan(requests: DataFrame) -> DataFrame:
+def request_plan(requests: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Requests (method, url, headers) each once, with host and place among its host's, the order in which
-    a polite reader sends them."""
+    a polite reader sends them.  A host with most of the requests is spread over tasks (``numbered``)."""
     once = requests.dropDuplicates(["method", "url", "headers"]).withColumn("host", F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)))
-    return once.withColumn("turn", F.row_number().over(Window.partitionBy("host").orderBy("url", "method")))
+    return numbered(once, "host", ["url", "method", "headers"], "turn", scratch or Scratch(requests.sparkSession))
+
+
+def with_totals(rows: DataFrame, by: list[str], measures: dict[str, Column], all_: str = "(all)") -> DataFrame:
+    """Measures of each group and of the groups above it, the last column of ``by`` summed up first: one
+    aggregation over a rollup.  ``all_`` stands for a column that is summed up; null groups stay null."""
+    out = rows.rollup(*by).agg(*[v.alias(n) for n, v in measures.items()], *[F.grouping(c).alias(f"__{c}") for c in by])
+    return out.select(*[F.when(F.col(f"__{c}") == 1, all_).otherwise(F.col(c)).alias(c) for c in by], *measures)
+
+
+def by_month(rows: DataFrame, day: str, measures: dict[str, Column]) -> DataFrame:
+    """Measures of each month (yyyy-MM), the latest first."""
+    return rows.groupBy(F.date_format(day, "yyyy-MM").alias("month")).agg(*[v.alias(n) for n, v in measures.items()]).orderBy(F.desc("month"))
+
+
+def figures(*tables: tuple[DataFrame, dict[str, Column]]) -> DataFrame:
+    """One row of measures over several tables, each read once."""
+    out = None
+    for rows, measures in tables:
+        one = rows.agg(*[v.alias(n) for n, v in measures.items()])
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out
 
 
 def registered(urls: DataFrame, endpoints: DataFrame) -> DataFrame:
     """URLs that begin with a registered API endpoint (column endpoint): exempt from robots rules."""
-    return urls.join(F.broadcast(endpoints.select("endpoint")), F.startswith(urls["url"], F.col("endpoint")), "left_semi")
+    # Endpoints are compared where their host is the URL's, not with all URLs.
+    host = lambda c: F.lower(F.regexp_extract(c, "^[^:]*://([^/?#]*)", 1))
+    known = endpoints.select("endpoint", host("endpoint").alias("__host")).distinct()
+    whole = known.where(F.col("endpoint").rlike("^[^:]*://[^/?#]*[/?#]"))
+    urls = urls.withColumn("__at", host("url"))
+    exact = urls.join(whole, (urls["__at"] == whole["__host"]) & F.startswith(urls["url"], F.col("endpoint")), "left_semi")
+    open_ = known.where(~F.col("endpoint").rlike("^[^:]*://[^/?#]*[/?#]")).select("endpoint")  # begins of hosts: configuration
+    rest = urls.join(whole, (urls["__at"] == whole["__host"]) & F.startswith(urls["url"], F.col("endpoint")), "left_anti")
+    return exact.union(rest.join(open_, F.startswith(rest["url"], F.col("endpoint")), "left_semi")).drop("__at")
 
 
 def retry_delays(attempts: int = 3, base: float = 2.0, most: float = 60.0) -> list[float]:

@@ -17,7 +17,7 @@ STOPWORDS = [
     "are", "was", "were", "have", "has", "その", "이러한", "따라", "관한", "경우",
 ]
 SHORTEST, LONGEST, POINTS, FULLTEXT_CHARS, LEAD, LEAD_BONUS = 25, 400, 5, 40_000, 0.2, 0.15
-_BREAK = r"(?<=[.!?。])\s+|(?<=다\.)\s+|\n+"
+_BREAK = r"(?U)(?<=[.!?。])\s+|(?<=다\.)\s+|\n+"
 
 
 def _let(value: Column, body) -> Column:
@@ -48,24 +48,37 @@ def ranked_sentences(kept: Column) -> Column:
         parts = F.transform(s, lambda x, i: F.struct(x.alias("s"), i.alias("i"), tokens(x).alias("t")))
 
         def weigh(p: Column) -> Column:
-            every = F.array_sort(F.flatten(F.transform(p, lambda x: x["t"])))
-            starts = _let(every, lambda e: F.filter(F.transform(e, lambda t, i: F.when((i == 0) | (F.get(e, i - 1) != t), i)), lambda i: i.isNotNull()))
-            counts = _let(every, lambda e: _let(starts, lambda b: F.map_from_entries(F.transform(b, lambda i, k: F.struct(F.get(e, i).alias("t"), (F.coalesce(F.get(b, k + 1), F.size(e)) - i).alias("n"))))))
+            # All tokens sorted, so that equal ones stand together: a run's length is its token's frequency.  What each
+            # token weighs is then sorted by sentence, and each sentence's run summed up: no look-up, n log n in all.
+            every = F.array_sort(F.flatten(F.transform(p, lambda x: F.transform(x["t"], lambda t: F.struct(t.alias("t"), x["i"].alias("i"))))))
 
-            def score(m: Column) -> Column:
-                peak = F.array_max(F.map_values(m))
-                mean = lambda x: F.aggregate(x["t"], F.lit(0.0), lambda a, t: a + F.element_at(m, t) / peak) / F.size(x["t"])
-                bonus = lambda x: F.when(x["i"] < F.size(s) * F.lit(LEAD), LEAD_BONUS).otherwise(0.0)
-                return F.array_sort(F.transform(F.filter(p, lambda x: F.size(x["t"]) > 0), lambda x: F.struct((-(mean(x) + bonus(x))).alias("minus"), x["i"].alias("pos"), x["s"].alias("sentence"))))
+            def counted(e: Column) -> Column:
+                length = lambda b, k, at: F.coalesce(F.get(b, k + 1), F.size(e)) - at
+                counts = _let(_starts(e, "t"), lambda b: F.flatten(F.transform(b, lambda at, k: F.array_repeat(length(b, k, at), length(b, k, at)))))
+                return _let(counts, lambda c: _let(F.array_sort(F.zip_with(e, c, lambda x, n: F.struct(x["i"].alias("i"), n.alias("n")))), lambda w: scored(w, F.array_max(c))))
+
+            def scored(w: Column, peak: Column) -> Column:
+                def one(b: Column, at: Column, k: Column) -> Column:
+                    n, i = F.coalesce(F.get(b, k + 1), F.size(w)) - at, F.get(w, at)["i"]
+                    total = F.aggregate(F.slice(w, at + 1, n), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+                    bonus = F.when(i < F.size(s) * F.lit(LEAD), LEAD_BONUS).otherwise(0.0)
+                    return F.struct((-(total.cast("double") / peak / n + bonus)).alias("minus"), i.alias("pos"), F.get(p, i)["s"].alias("sentence"))
+
+                return F.array_sort(_let(_starts(w, "i"), lambda b: F.transform(b, lambda at, k: one(b, at, k))))
 
             plain = F.transform(p, lambda x: F.struct(F.lit(0.0).alias("minus"), x["i"].alias("pos"), x["s"].alias("sentence")))
-            return F.when(F.size(every) == 0, plain).otherwise(_let(counts, score))
+            return _let(every, lambda e: F.when(F.size(e) == 0, plain).otherwise(counted(e)))
 
         return _let(parts, weigh)
 
     return _let(kept, rank)
 
 
+def _starts(rows: Column, field: str) -> Column:
+    """Where runs of an equal field begin in a sorted array of structs."""
+    return F.filter(F.transform(rows, lambda x, i: F.when((i == 0) | (F.get(rows, i - 1)[field] != x[field]), i)), lambda i: i.isNotNull())
+
+
 def having(kept: Column, markers: list[str], limit: int) -> Column:
     """The first sentences that contain any marker."""
     literal = F.array(*[F.lit(m) for m in markers])

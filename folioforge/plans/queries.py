@@ -12,7 +12,7 @@ from ..functions import dates as D
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import classify as C
-from ..operators import dedup, expand, policy, runs, score, search, store
+from ..operators import dedup, expand, policy, report, runs, score, search, store
 from ..operators import summarize as M
 from ..streaming.incremental import sessions, windowed_counts
 from .catalogue import TODAY, flagship, resource_from_documents
@@ -269,7 +269,7 @@ _STOP_SQL = "(" + ", ".join(f"'{w}'" for w in M.STOPWORDS) + ")"
     f"""WITH d AS (SELECT doc_id, {_SENTENCES_SQL.replace("regexp_replace(text,", "regexp_replace(left(text, 40000),")} s FROM documents),
     e AS (SELECT doc_id, i pos, s[i] sentence, len(s) n, list_filter(regexp_extract_all(lower(s[i]), '[가-힣]{{2,}}|[A-Za-z]{{3,}}'), lambda t: t NOT IN {_STOP_SQL}) t FROM d, unnest(range(1, len(s) + 1)) u(i)),
     w AS (SELECT doc_id, unnest(t) w FROM e), c AS (SELECT doc_id, w, count(*) c FROM w GROUP BY ALL), m AS (SELECT doc_id, map_from_entries(list((w, c))) m, max(c) peak FROM c GROUP BY doc_id),
-    r AS (SELECT doc_id, pos, sentence, CASE WHEN peak IS NULL THEN 0.0 ELSE list_sum(list_transform(t, lambda x: m[x] / peak)) / len(t) + CASE WHEN pos - 1 < n * 0.2::DOUBLE THEN 0.15 ELSE 0.0 END END::DOUBLE score
+    r AS (SELECT doc_id, pos, sentence, CASE WHEN peak IS NULL THEN 0.0 ELSE list_sum(list_transform(t, lambda x: m[x]))::DOUBLE / peak / len(t) + CASE WHEN pos - 1 < n * 0.2::DOUBLE THEN 0.15 ELSE 0.0 END END::DOUBLE score
       FROM e LEFT JOIN m USING (doc_id) WHERE len(t) > 0 OR peak IS NULL),
     k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) o FROM r)
     SELECT doc_id, coalesce(string_agg(sentence, ' | ' ORDER BY o) FILTER (o <= 5), '') key_points FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id"""
@@ -306,9 +306,7 @@ def q_run_tally(spark, sf_dir):
 
 @query(_TALLY_SQL.replace("SELECT source_id, count", "SELECT coalesce(source_id, '(all)') source_id, count") + " FROM i GROUP BY ROLLUP (source_id)")
 def q_run_totals(spark, sf_dir):
-    by = runs.run_tally(_items(spark, sf_dir))
-    total = by.agg(F.lit("(all)").alias("source_id"), *[F.sum(c).alias(c) for c in by.columns[1:]])
-    return by.unionByName(total)
+    return report.with_totals(_items(spark, sf_dir), ["source_id"], runs.tally_measures())
 
 
 @query("SELECT DISTINCT user_id::VARCHAR source_id FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-20'")
@@ -344,10 +342,10 @@ def q_changed_in_run(spark, sf_dir):
 
 @query("SELECT (SELECT count(*) FROM documents) n_resources, (SELECT count(DISTINCT source) FROM documents) n_sources, (SELECT count(*) FROM pages) n_files, (SELECT count(*) FROM events WHERE event_type = 'error') n_errors, (SELECT count(*) FROM events) n_items")
 def q_repo_counts(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_resources"), F.count_distinct("source").alias("n_sources"))
-    pages = _read(spark, sf_dir, "pages").agg(F.count(F.lit(1)).alias("n_files"))
-    events = _read(spark, sf_dir, "events").agg(F.count_if(F.col("event_type") == "error").alias("n_errors"), F.count(F.lit(1)).alias("n_items"))
-    return docs.crossJoin(pages).crossJoin(events)  # one row each
+    n = F.count(F.lit(1))
+    docs = (_read(spark, sf_dir, "documents"), {"n_resources": n, "n_sources": F.count_distinct("source")})
+    events = (_read(spark, sf_dir, "events"), {"n_errors": F.count_if(F.col("event_type") == "error"), "n_items": n})
+    return report.figures(docs, (_read(spark, sf_dir, "pages"), {"n_files": n}), events)
 
 
 @query(
@@ -400,7 +398,7 @@ def q_export_sheets(spark, sf_dir):
 
 @query("SELECT strftime(DATE '2024-01-01' + (doc_id % 1500)::INT, '%Y-%m') AS month, count(*) n, count(DISTINCT source) n_sources FROM documents GROUP BY ALL")
 def q_monthly(spark, sf_dir):
-    return _resources(spark, sf_dir).groupBy(F.date_format("publication_date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_id").alias("n_sources")).orderBy(F.desc("month"))
+    return report.by_month(_resources(spark, sf_dir), "publication_date", {"n": F.count(F.lit(1)), "n_sources": F.count_distinct("source_id")})
 
 
 @query(
@@ -537,3 +535,4 @@ def ext_event_sessions(spark, sf_dir):
 
 
 from . import record_queries  # noqa: E402, F401  registers more queries here
+from . import state_queries  # noqa: E402, F401
