@@ -18,9 +18,11 @@ from folioforge.llm.langid import fit, held_out, predict, vector
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def chunks(text):
+def runs(text, least=90):
+    """(start, end, text) from each chunk on, as long as it takes for a passage."""
     cuts = cut_points(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)).tolist()
-    return [(a, b, text[a:b]) for a, b in zip(cuts, cuts[1:])]
+    ends = [(a, next((b for b in cuts if b - a >= least), None)) for a in cuts[:-1]]
+    return [(a, b, text[a:b]) for a, b in ends if b]
 
 
 def tag_of(text):
@@ -28,23 +30,30 @@ def tag_of(text):
     return h - (1 << 64) if h >> 63 else h
 
 
-def spans(rows, least=90):
-    """(doc_id, tag, start, end, source): rows of (doc_id, text), by dictionaries of chunk texts."""
+def spans(rows):
+    """(doc_id, tag, start, end, source, source start): rows of (doc_id, text), by dictionaries of runs."""
     first = {}
     for doc, text in sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0], tag_of(r[1]))):
-        for _, _, c in chunks(text):
-            first.setdefault(c, (doc, tag_of(text)))
+        for a, _, c in runs(text):
+            first.setdefault(c, (doc, tag_of(text), a))
     out = set()
     for doc, text in rows:
-        tag, runs = tag_of(text), []
-        for a, b, c in chunks(text) if text else []:
-            if first[c] == (doc, tag):
+        tag, ways = tag_of(text), {}
+        for a, b, c in runs(text) if text else []:
+            source, its, at = first[c]
+            if (source, its) == (doc, tag):
                 continue
-            if runs and runs[-1][1] == a:
-                runs[-1][1] = b
+            found = ways.setdefault((source, its, at - a), [])
+            if found and a <= found[-1][1]:
+                found[-1][1] = b
             else:
-                runs.append([a, b, first[c][0]])
-        out |= {(doc, tag, *run) for run in runs if run[1] - run[0] >= least}
+                found.append([a, b])
+        reached = 0
+        last = lambda source: (source is None, source or 0)
+        for a, _, _, _, _, b, source, away in sorted((a, -b, last(source), its, away, b, source, away) for (source, its, away), found in ways.items() for a, b in found):
+            if b > reached:
+                out.add((doc, tag, a, b, source, a + away))
+                reached = b
     return out
 
 
@@ -61,8 +70,12 @@ def corpus(prose, seed):
 
 def test_repeated_spans_equal_dictionaries(documents, prose):
     rows = corpus(prose, 3)
-    got = {(r.doc_id, r.text_tag, r.span_start, r.span_end, r.source_doc_id) for r in repeated_spans(documents(rows)).collect()}
+    got = {(r.doc_id, r.text_tag, r.span_start, r.span_end, r.source_doc_id, r.source_start) for r in repeated_spans(documents(rows)).collect()}
     assert got == spans(rows) and len(got) > 20
+    texts = dict(rows[:60])
+    for doc, _, a, b, source, at in got:  # every span is one passage that stands at its source
+        if source in texts and doc in texts:
+            assert texts[doc][a:b] == texts[source][at : at + b - a]
 
 
 def test_texts_without_an_id_are_told_apart(documents, prose):
@@ -121,7 +134,7 @@ def test_pipeline_stages(spark, documents, prose):
 
     cut = corpus_pipeline.substring_dedup(spark, docs, "")
     gone = collections.defaultdict(list)
-    for d, _, a, b, _ in spans(rows):
+    for d, _, a, b, *_ in spans(rows):
         gone[d].append((a, b))
     left = lambda d, t: "".join(c for k, c in enumerate(t or "") if not any(a <= k < b for a, b in gone[d]))
     assert pick(cut) == sorted((d, left(d, t)) for d, t in rows)
