@@ -67,10 +67,13 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def changed_sections(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of sections of ``a`` whose leaves differ from the section at that place in
-    ``b``; ``locate_edits`` walks whole trees and finds sections that moved."""
-    x, y = F.split(F.substring(a, 66, 2**31 - 1), ";", -1), F.split(F.substring(b, 66, 2**31 - 1), ";", -1)
-    return F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: ~F.coalesce(F.get(x, i) == F.get(y, i), F.lit(False)))
+    """Numbers (from 0) of sections of ``a`` that ``b`` has nowhere, by the digests of their blocks: the walk ends
+    at equal roots, and at sections that are there, moved or not.  ``locate_edits`` goes on to paragraphs."""
+    of = lambda f: F.split(F.substring(f, 66, 2**31 - 1), ";", -1)
+    lacking = lambda x, gone: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.array_contains(gone, F.get(x, i)))
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    found = let(of(a), lambda x: let(F.array_except(x, of(b)), lambda gone: F.when(F.size(gone) == 0, F.array().cast("array<int>")).otherwise(lacking(x, gone))))
+    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.array().cast("array<int>")).otherwise(found)
 
 
 def _tree(text: Column) -> Column:

@@ -33,7 +33,7 @@ def fingerprints(block: int) -> str:
     e AS (SELECT doc_id, n, t, nx, left(t, n - n // 3) || left(nx, n // 3) e FROM n),
     f AS (SELECT doc_id, n n_chars, sha256(e) edited_sha256, {_fingerprint("t", block)} fingerprint, {_fingerprint("e", block)} edited_fingerprint, {_fingerprint("nx", block)} nf FROM e)
     SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_likeness("fingerprint", "edited_fingerprint")} near_edited, {_likeness("fingerprint", "nf")} near_next,
-      array_to_string(list_filter(range(0, len({x})), lambda i: NOT coalesce(({x})[i + 1] = ({y})[i + 1], false)), ',') changed_sections FROM f"""
+      array_to_string(list_filter(range(0, len({x})), lambda i: left(fingerprint, 64) <> left(edited_fingerprint, 64) AND NOT list_contains({y}, ({x})[i + 1])), ',') changed_sections FROM f"""
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
