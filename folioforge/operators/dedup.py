@@ -70,6 +70,20 @@ def fuzzy_pairs(df: DataFrame, identity: str, title: str, block: int = 12, thres
     return met.select(F.least("li", "ri").alias("left_id"), F.greatest("li", "ri").alias("right_id"), "s").withColumnRenamed("s", "similarity")
 
 
+def fuzzy_links(df: DataFrame, identity: str, title: str, block: int = 12, threshold: float = FUZZY) -> DataFrame:
+    """Links (left_id < right_id, similarity) of normalised titles that share their first ``block`` characters and
+    have a token Jaccard of ``threshold`` or more: between the least rows of different titles, and of each
+    further row of a title (1.0) to its least.  So a title that many rows hold costs a row each, and titles of a
+    block meet on their rarest tokens (``title_pairs``), not with all others."""
+    rows = df.select(F.col(identity).alias("i"), F.col(title).alias("title")).where("title <> ''")
+    least = rows.groupBy("title").agg(F.min("i").alias("rep"))
+    met = title_pairs(least, least, threshold).where((F.left("a", F.lit(block)) == F.left("b", F.lit(block))) & (F.col("a") < F.col("b")))
+    x, y = least.select(F.col("title").alias("a"), F.col("rep").alias("x")), least.select(F.col("title").alias("b"), F.col("rep").alias("y"))
+    near = met.join(x, "a").join(y, "b").select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "similarity")
+    same = rows.join(least, "title").where("i <> rep").select(F.col("rep").alias("left_id"), F.col("i").alias("right_id"), F.lit(1.0).alias("similarity"))
+    return near.union(same)
+
+
 def tiered_match(incoming: DataFrame, stored: DataFrame, tiers: list[tuple[str, list[str]]], identity: str = "resource_id", seen: str = "last_seen_at", itself: bool = False) -> DataFrame:
     """``incoming`` with match_id and matched_by from the first tier (name, key columns) whose keys, all
     filled, are stored; a row never matches itself, unless ``itself``.  Later tiers only join what is still unmatched by

@@ -54,7 +54,7 @@ def ranked_sentences(kept: Column) -> Column:
 
             def counted(e: Column) -> Column:
                 length = lambda b, k, at: F.coalesce(F.get(b, k + 1), F.size(e)) - at
-                counts = _let(_starts(e, "t"), lambda b: F.flatten(F.transform(b, lambda at, k: F.array_repeat(length(b, k, at), length(b, k, at)))))
+                counts = _let(starts(e, "t"), lambda b: F.flatten(F.transform(b, lambda at, k: F.array_repeat(length(b, k, at), length(b, k, at)))))
                 return _let(counts, lambda c: _let(F.array_sort(F.zip_with(e, c, lambda x, n: F.struct(x["i"].alias("i"), n.alias("n")))), lambda w: scored(w, F.array_max(c))))
 
             def scored(w: Column, peak: Column) -> Column:
@@ -64,7 +64,7 @@ def ranked_sentences(kept: Column) -> Column:
                     bonus = F.when(i < F.size(s) * F.lit(LEAD), LEAD_BONUS).otherwise(0.0)
                     return F.struct((-(total.cast("double") / peak / n + bonus)).alias("minus"), i.alias("pos"), F.get(p, i)["s"].alias("sentence"))
 
-                return F.array_sort(_let(_starts(w, "i"), lambda b: F.transform(b, lambda at, k: one(b, at, k))))
+                return F.array_sort(_let(starts(w, "i"), lambda b: F.transform(b, lambda at, k: one(b, at, k))))
 
             plain = F.transform(p, lambda x: F.struct(F.lit(0.0).alias("minus"), x["i"].alias("pos"), x["s"].alias("sentence")))
             return _let(every, lambda e: F.when(F.size(e) == 0, plain).otherwise(counted(e)))
@@ -74,7 +74,7 @@ def ranked_sentences(kept: Column) -> Column:
     return _let(kept, rank)
 
 
-def _starts(rows: Column, field: str) -> Column:
+def starts(rows: Column, field: str) -> Column:
     """Where runs of an equal field begin in a sorted array of structs."""
     return F.filter(F.transform(rows, lambda x, i: F.when((i == 0) | (F.get(rows, i - 1)[field] != x[field]), i)), lambda i: i.isNotNull())
 

@@ -18,14 +18,18 @@ from ..operators.summarize import markdown, summarize
 TODAY = date(2026, 8, 22)
 
 
+def first_line(text: Column) -> Column:
+    return F.split_part(text, F.lit("\n"), F.lit(1))
+
+
 def resource_from_documents(docs: DataFrame) -> DataFrame:
-    """Synthetic documents as resources: a title of 80 characters, an abstract of 1,000, dates by id."""
+    """Synthetic documents as resources: the first line as title, the whole text as abstract, dates by id."""
     day = F.date_add(F.lit(date(2024, 1, 1)), F.pmod("doc_id", F.lit(1500)).cast("int"))
     return docs.select(
         F.concat(F.lit("doc-"), F.col("doc_id")).alias("resource_id"), F.col("doc_id").alias("seq"), F.col("source").alias("source_id"),
-        F.concat("source", F.lit(":"), "doc_id").alias("official_identifier"), F.lit("").alias("doi"), F.left("text", F.lit(80)).alias("title_original"), F.lit("").alias("title_ko"),
-        F.left("text", F.lit(1000)).alias("abstract_original"), F.array().cast("array<string>").alias("keywords"), F.col("text").alias("fulltext"), F.lit(False).alias("text_extract_failed"),
-        F.col("lang").alias("language"), T.document_type(F.left("text", F.lit(80))).alias("document_type"), day.alias("publication_date"), F.lit(None).cast("date").alias("source_registered_date"),
+        F.concat("source", F.lit(":"), "doc_id").alias("official_identifier"), F.lit("").alias("doi"), first_line(F.col("text")).alias("title_original"), F.lit("").alias("title_ko"),
+        F.col("text").alias("abstract_original"), F.array().cast("array<string>").alias("keywords"), F.col("text").alias("fulltext"), F.lit(False).alias("text_extract_failed"),
+        F.col("lang").alias("language"), T.document_type(first_line(F.col("text"))).alias("document_type"), day.alias("publication_date"), F.lit(None).cast("date").alias("source_registered_date"),
         F.date_add(day, F.pmod("doc_id", F.lit(7)).cast("int")).alias("source_modified_date"), F.lit("PENDING").alias("access_mode"), F.lit("").alias("oa_url"), F.lit("").alias("download_url"),
         F.lit(True).alias("license_unknown"), F.lit("").alias("license"), F.concat(F.lit("https://example.org/"), "doc_id").alias("landing_url"),
     )

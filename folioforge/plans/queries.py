@@ -15,7 +15,7 @@ from ..operators import classify as C
 from ..operators import dedup, expand, policy, report, runs, score, search, store
 from ..operators import summarize as M
 from ..streaming.incremental import sessions, windowed_counts
-from .catalogue import TODAY, flagship, resource_from_documents
+from .catalogue import TODAY, first_line, flagship, resource_from_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,7 +44,7 @@ def _case_contains(hay: str, rules: list[tuple[str, list[str]]], rest: str) -> s
     return "CASE " + " ".join(f"WHEN {' OR '.join(map(test, needles))} THEN '{name}'" for name, needles in rules) + f" ELSE '{rest}' END"
 
 
-_ABSTRACT, _TITLE = "left(text, 1000)", "left(text, 80)"
+_ABSTRACT, _TITLE = "text", "split_part(text, chr(10), 1)"
 _TOPICS_SQL = " UNION ALL ".join(
     f"SELECT doc_id, '{t.topic_id}' topic, {i} ord, "
     + " + ".join(f"CASE WHEN contains(t, '{k}') THEN {2 * w} WHEN contains(b, '{k}') THEN {w} ELSE 0.0 END" for w, ks in ((3.0, t.strong), (1.0, t.weak)) for k in ks)
@@ -123,17 +123,17 @@ def q_first_wins(spark, sf_dir):
     return dedup.first_wins(_read(spark, sf_dir, "events"), ["event_type", "user_id"], ["event_id"]).select("event_type", "user_id", "event_id")
 
 
-_NORMAL_TITLE = r"trim(regexp_replace(regexp_replace(lower(left(text, 80)), '[^\w\s\p{L}\p{N}]', ' ', 'g'), '\s+', ' ', 'g'))"
+_NORMAL_TITLE = r"trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\w\s\p{L}\p{N}]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, {_NORMAL_TITLE} t FROM documents), w AS (SELECT *, list_distinct(string_split(t, ' ')) w FROM t WHERE t <> ''),
-    p AS (SELECT a.doc_id left_id, b.doc_id right_id, len(list_intersect(a.w, b.w)) i, len(a.w) n, len(b.w) m FROM w a JOIN w b ON left(a.t, 12) = left(b.t, 12) AND a.doc_id < b.doc_id)
-    SELECT left_id, right_id, round(i / (n + m - i), 6) similarity FROM p WHERE i / (n + m - i) >= 0.85"""
+    f"""WITH t AS (SELECT doc_id, {_NORMAL_TITLE} t FROM documents), r AS (SELECT t, min(doc_id) rep FROM t WHERE t <> '' GROUP BY t), w AS (SELECT *, list_distinct(string_split(t, ' ')) w FROM r),
+    p AS (SELECT least(a.rep, b.rep) left_id, greatest(a.rep, b.rep) right_id, len(list_intersect(a.w, b.w)) i, len(a.w) n, len(b.w) m FROM w a JOIN w b ON left(a.t, 12) = left(b.t, 12) AND a.rep < b.rep)
+    SELECT left_id, right_id, round(i / (n + m - i), 6) similarity FROM p WHERE i / (n + m - i) >= 0.85 UNION ALL SELECT rep, doc_id, 1.0 FROM t JOIN r USING (t) WHERE doc_id <> rep"""
 )
 def q_title_jaccard_pairs(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").select("doc_id", T.normalize_title(F.left("text", F.lit(80)), False).alias("t"))
-    return dedup.fuzzy_pairs(rows, "doc_id", "t").select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", T.normalize_title(first_line(F.col("text")), False).alias("t"))
+    return dedup.fuzzy_links(rows, "doc_id", "t").select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(
@@ -142,7 +142,7 @@ def q_title_jaccard_pairs(spark, sf_dir):
 )
 def q_topic_scores(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    title, body = F.lower(F.trim(F.concat(F.lit(" "), F.left("text", F.lit(80))))), F.lower(F.concat(F.left("text", F.lit(1000)), F.lit("  "), F.left("text", F.lit(20_000))))
+    title, body = F.lower(F.trim(F.concat(F.lit(" "), first_line(F.col("text"))))), F.lower(F.concat("text", F.lit("  "), F.left("text", F.lit(20_000))))
     rows = docs.select("doc_id", title.alias("t"), body.alias("b")).select("doc_id", C.topic_scores(C.DEMO, F.col("t"), F.col("b")).alias("s"))
     total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x["score"])
     return rows.select("doc_id", total.alias("total"), F.explode("s").alias("x")).select("doc_id", "x.topic", F.round("x.score", 6).alias("score"), F.round(F.col("x.score") / F.col("total"), 6).alias("share"))
@@ -206,7 +206,7 @@ def q_page_title(spark, sf_dir):
 
 @query(
     rf"""WITH p AS (SELECT page_id, {_PAGE_TITLE_SQL} pt, lower(html) low, html FROM pages),
-    n AS (SELECT p.*, left(text, 80) e FROM p JOIN documents ON page_id = doc_id),
+    n AS (SELECT p.*, split_part(text, chr(10), 1) e FROM p JOIN documents ON page_id = doc_id),
     w AS (SELECT *, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(pt), '[^\w\s\p{{L}}\p{{N}}]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '')) a,
       list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(e), '[^\w\s\p{{L}}\p{{N}}]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '')) b FROM n),
     s AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END sim FROM w)
@@ -215,7 +215,7 @@ def q_page_title(spark, sf_dir):
 )
 def q_page_match(spark, sf_dir):
     pages, docs = _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "documents")
-    joined = pages.join(docs.select(F.col("doc_id").alias("page_id"), F.left("text", F.lit(80)).alias("e")), "page_id")
+    joined = pages.join(docs.select(F.col("doc_id").alias("page_id"), first_line(F.col("text")).alias("e")), "page_id")
     match = policy.page_match(F.col("html"), F.lit(""), F.lit(""), F.col("e"), False)
     return joined.select("page_id", match.alias("m")).select("page_id", "m.reason", F.round(F.coalesce("m.similarity", F.lit(0.0)), 6).alias("similarity"))
 
@@ -506,11 +506,14 @@ def q_secret_mask(spark, sf_dir):
     return spark.createDataFrame([(a,) for a, _ in SECRETS], "raw string").select("raw", T.mask_secret(F.col("raw")).alias("masked"))
 
 
-@query("SELECT doc_id, array_to_string(string_split(trim(regexp_replace(left(text, 300), '\\s+', ' ', 'g')), ' '), ' ') abstract FROM documents")
+@query("SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) abstract FROM documents")
 def q_openalex_abstract(spark, sf_dir):
-    words = F.split(T.clean_whitespace(F.left("text", F.lit(300))), " ")
-    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("k"), F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("v"))))
-    return _read(spark, sf_dir, "documents").select("doc_id", index.alias("i")).select("doc_id", T.abstract_from_index(F.col("i")).alias("abstract"))
+    words = F.split(T.clean_whitespace(F.col("text")), " ")
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    places = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    entry = lambda p, b, at, k: F.struct(F.get(p, at)["w"].alias("k"), F.transform(F.slice(p, at + 1, F.coalesce(F.get(b, k + 1), F.size(p)) - at), lambda x: x["i"]).alias("v"))
+    index = let(places, lambda p: let(M.starts(p, "w"), lambda b: F.map_from_entries(F.transform(b, lambda at, k: entry(p, b, at, k)))))
+    return _read(spark, sf_dir, "documents").select("doc_id", index.alias("i")).select("doc_id", F.md5(T.abstract_from_index(F.col("i"))).alias("abstract"))
 
 
 @query("SELECT doc_id, first_doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) first_doc_id FROM documents) WHERE doc_id <> first_doc_id")
