@@ -41,8 +41,8 @@ def build_queries(terms: DataFrame, language: str, cap: int, scope: str | None =
     ko, en = boolean_query(korean_terms()), boolean_query(english_terms())
     multi = F.when(en.isNull(), ko).otherwise(F.concat(F.lit("("), ko, F.lit(") OR ("), en, F.lit(")")))
     built = terms.select("canonical_ko", {"ko": ko, "en": en, "multi": multi}[language].alias("query"), "topic_id", "priority").where("query is not null")
-    ordered = built.withColumn("ord", F.row_number().over(Window.orderBy("priority", "canonical_ko")))
-    return ordered.where(F.col("ord") <= cap).select("canonical_ko", "query", "topic_id", "ord")
+    first = built.orderBy("priority", "canonical_ko", "query").limit(cap)  # so the window numbers ``cap`` rows
+    return first.withColumn("ord", F.row_number().over(Window.orderBy("priority", "canonical_ko", "query"))).select("canonical_ko", "query", "topic_id", "ord")
 
 
 def missing_terms(terms: DataFrame, required: DataFrame) -> DataFrame:

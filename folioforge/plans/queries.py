@@ -431,79 +431,77 @@ def q_collision(spark, sf_dir):
     return store.file_names(rows, "folder", "name", "doc_id", "d").select("doc_id", "stored_name")
 
 
-#: A small dictionary of search terms, in both engines.
-TERMS = [
-    ("작전법", ["작전 법"], ["교전규칙"], ["operational law", "law of operations"], ["OPLAW"], ["domestic", "international"], "07", 1, [], True),
-    ("국제인도법", ["국제 인도법"], ["무력분쟁법"], ["international humanitarian law"], ["IHL"], ["domestic", "international"], "07", 1, [], True),
-    ("형사소송법", ["형소법", "형사 소송법"], [], ["criminal procedure"], [], ["domestic", "international"], "05", 2, ["주석"], True),
-    ("군인사법", [], ["진급"], [], [], ["domestic", "international"], "02", 2, [], False),
-    ("부정당업자", ["부정당 업자"], [], [], [], ["domestic"], "04", 3, [], True),
-]
-REQUIRED = ["작전법", "교전규칙", "방위사업법", "형소법", "위법수집증거"]
+#: Parts as entries of a dictionary of search terms, in words of both engines.
+_TERM = {
+    "canonical_ko": "p_name", "variants_ko": "array(lower(p_name), p_brand, upper(p_brand), '')", "related_ko": "array(p_type)", "terms_en": "CASE WHEN p_partkey % 3 = 0 THEN array(p_type, lower(p_type), p_name) ELSE array() END",
+    "acronyms": "CASE WHEN p_partkey % 2 = 0 THEN array(p_brand) ELSE array() END", "scope": "CASE WHEN p_partkey % 4 = 0 THEN array('domestic') ELSE array('domestic', 'international') END", "topic_id": "CAST(p_size AS STRING)",
+    "priority": "p_partkey % 3 + 1", "exclude_terms": "array()", "verified": "p_partkey % 5 <> 0",
+}
 
 
-def _terms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TERMS, expand.TERM_SCHEMA)
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _read(spark, sf_dir, "part")
+    kinds = dict(x.rsplit(" ", 1) for x in expand.TERM_SCHEMA.split(", "))
+    return parts.select(*[F.expr(v).cast(kinds[c]).alias(c) for c, v in _TERM.items()])
 
 
-def _sql_list(v) -> str:
-    return "[" + ", ".join("'" + x + "'" for x in v) + "]::VARCHAR[]" if isinstance(v, list) else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v + "'"
-
-
-_TERMS_VALUES = "t(canonical_ko, variants_ko, related_ko, terms_en, acronyms, scope, topic_id, priority, exclude_terms, verified) AS (VALUES " + ", ".join("(" + ", ".join(map(_sql_list, r)) + ")" for r in TERMS) + ")"
-_OR_SQL = "array_to_string(list_transform({}[:6], lambda x: CASE WHEN contains(x, ' ') THEN '\"' || x || '\"' ELSE x END), ' OR ')"
+_TERMS_SQL_ROWS = "t AS (SELECT " + ", ".join(f"{v.replace('array()', '[]::VARCHAR[]').replace('array(', 'list_value(')} AS {c}" for c, v in _TERM.items()) + " FROM part)"
+_ONCE_SQL = "list_filter(list_transform({0}, lambda x: trim(x)), lambda x, i: x <> '' AND NOT list_contains(list_transform(({0})[:i - 1], lambda y: lower(trim(y))), lower(x)))"
+_OR_SQL = "array_to_string(list_transform(({})[:6], lambda x: CASE WHEN contains(x, ' ') THEN '\"' || x || '\"' ELSE x END), ' OR ')"
+_KO_SQL, _EN_SQL = (_OR_SQL.format(_ONCE_SQL.format(x)) for x in ("list_concat([canonical_ko], variants_ko)", "list_concat(terms_en, acronyms)"))
 
 
 @query(
-    f"""WITH {_TERMS_VALUES}, q AS (SELECT canonical_ko, priority, topic_id, {_OR_SQL.format('list_concat([canonical_ko], variants_ko)')} ko, nullif({_OR_SQL.format('list_concat(terms_en, acronyms)')}, '') en FROM t),
+    f"""WITH {_TERMS_SQL_ROWS}, q AS (SELECT canonical_ko, priority, topic_id, {_KO_SQL} ko, nullif({_EN_SQL}, '') en FROM t),
     m AS (SELECT canonical_ko, topic_id, priority, CASE WHEN en IS NULL THEN ko ELSE '(' || ko || ') OR (' || en || ')' END query FROM q)
-    SELECT canonical_ko, query, topic_id, (row_number() OVER (ORDER BY priority, canonical_ko))::INT ord FROM m QUALIFY ord <= 4"""
+    SELECT canonical_ko, query, topic_id, (row_number() OVER (ORDER BY priority, canonical_ko, query))::INT ord FROM m QUALIFY ord <= 12"""
 )
 def q_query_builder(spark, sf_dir):
-    return expand.build_queries(_terms(spark), "multi", 4)
+    return expand.build_queries(_terms(spark, sf_dir), "multi", expand.CAPS[1])
 
 
-@query(f"WITH {_TERMS_VALUES}, k AS (SELECT unnest(list_concat([canonical_ko], variants_ko, related_ko)) term FROM t) SELECT term FROM (SELECT unnest({_sql_list(REQUIRED)}) term) WHERE term NOT IN (SELECT term FROM k)")
+@query(f"WITH {_TERMS_SQL_ROWS}, k AS (SELECT unnest(list_concat([canonical_ko], variants_ko, related_ko)) term FROM t) SELECT term FROM (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type || ' ' || p_partkey END term FROM part) WHERE term NOT IN (SELECT term FROM k)")
 def q_baseline_anti(spark, sf_dir):
-    return expand.missing_terms(_terms(spark), spark.createDataFrame([(r,) for r in REQUIRED], "term string"))
+    required = _read(spark, sf_dir, "part").select(F.expr("CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type || ' ' || p_partkey END").alias("term")).distinct()
+    return expand.missing_terms(_terms(spark, sf_dir), required)
 
 
-@query(f"WITH {_TERMS_VALUES}, q AS (SELECT canonical_ko, list_contains(scope, 'international') AND len(terms_en) = 0 lacks_english, NOT verified unverified FROM t) SELECT * FROM q WHERE lacks_english OR unverified")
+@query(f"WITH {_TERMS_SQL_ROWS}, q AS (SELECT canonical_ko, list_contains(scope, 'international') AND len(terms_en) = 0 lacks_english, NOT verified unverified FROM t) SELECT * FROM q WHERE lacks_english OR unverified")
 def q_term_quality(spark, sf_dir):
-    return expand.quality_report(_terms(spark))
-
-
-#: Runs of different kinds and sources with look-backs.
-RUNS = [("r1", "DAILY", "2026-08-01 07:30:00", "2026-08-01 08:00:00"), ("r2", "DAILY", "2026-08-15 07:30:00", "2026-08-15 08:00:00"), ("r3", "DAILY", "2026-08-20 07:30:00", None)]
-LOOKBACKS = [("kci", 3), ("law_go_kr", 7), ("nars", 30)]
+    return expand.quality_report(_terms(spark, sf_dir))
 
 
 @query(
-    """WITH b AS (SELECT least(DATE '2026-08-15', DATE '2026-08-22') - 3 since), s(source_id, days) AS (VALUES ('kci', 3), ('law_go_kr', 7), ('nars', 30))
-    SELECT source_id, least(since, DATE '2026-08-22' - (days - 1))::DATE::VARCHAR since FROM s, b"""
+    """WITH b AS (SELECT least(max(ts)::DATE, DATE '2026-08-22') - 3 since FROM events WHERE event_type = 'signup' AND event_id % 3 <> 0)
+    SELECT n_name source_id, least(since, DATE '2026-08-22' - n_nationkey * 100)::DATE::VARCHAR since FROM nation, b"""
 )
 def q_window_plan(spark, sf_dir):
-    table = spark.createDataFrame(RUNS, "run_id string, run_type string, started_at string, finished_at string").withColumns({c: F.col(c).cast("timestamp") for c in ("started_at", "finished_at")})
+    events = _read(spark, sf_dir, "events").where("event_type = 'signup'")
+    table = events.select(F.lit("DAILY").alias("run_type"), F.col("ts").alias("started_at"), F.when(F.col("event_id") % 3 != 0, F.col("ts")).alias("finished_at"))
     since, until = runs.run_window(table, TODAY, "DAILY", date(2020, 1, 1))
-    sources = spark.createDataFrame(LOOKBACKS, "source_id string, days int")
+    sources = _read(spark, sf_dir, "nation").select(F.col("n_name").alias("source_id"), (F.col("n_nationkey") * 100 + 1).cast("int").alias("days"))
     return sources.select("source_id", runs.source_since(F.lit(since), F.lit(until), F.col("days")).cast("string").alias("since"))
 
 
-DATES = ["2026-08-22", "2026.08.22", "20260822", "2026년 8월 22일", "2026-08", "2026", "", "2026-02-31", "2026/13/40", "2026-08-22T10:00:00Z", "Sat, 22 Aug 2026", "2026년 8월"]
-_PARSED = ["2026-08-22"] * 4 + ["2026-08-01", "2026-01-01", None, "2026-02-28", "2026-12-31", "2026-08-22", None, "2026-08-01"]
+_Y, _M, _D = ("CAST(year(o_orderdate) AS STRING)", *(f"lpad(CAST({x}(o_orderdate) AS STRING), 2, '0')" for x in ("month", "day")))
+_RAW = f"""CASE o_orderkey % 12 WHEN 0 THEN {_Y} || '-' || {_M} || '-' || {_D} WHEN 1 THEN {_Y} || '.' || {_M} || '.' || {_D} WHEN 2 THEN {_Y} || {_M} || {_D} WHEN 3 THEN {_Y} || '년 ' || month(o_orderdate) || '월 ' || day(o_orderdate) || '일'
+    WHEN 4 THEN {_Y} || '-' || {_M} WHEN 5 THEN {_Y} WHEN 6 THEN '' WHEN 7 THEN {_Y} || '-02-31' WHEN 8 THEN {_Y} || '/13/40' WHEN 9 THEN {_Y} || '-' || {_M} || '-' || {_D} || 'T10:00:00Z' WHEN 10 THEN 'Sat, ' || {_D} || ' Aug ' || {_Y}
+    ELSE {_Y} || '년 ' || month(o_orderdate) || '월' END"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {f"'{b}'" if b else 'NULL'})" for a, b in zip(DATES, _PARSED)) + ") v(raw, parsed)")
+@query(
+    f"""SELECT o_orderkey, {_RAW} raw, CASE o_orderkey % 12 WHEN 4 THEN {_Y} || '-' || {_M} || '-01' WHEN 11 THEN {_Y} || '-' || {_M} || '-01' WHEN 5 THEN {_Y} || '-01-01' WHEN 6 THEN NULL WHEN 10 THEN NULL
+    WHEN 7 THEN (make_date(year(o_orderdate), 3, 1) - 1)::DATE::VARCHAR WHEN 8 THEN {_Y} || '-12-31' ELSE {_Y} || '-' || {_M} || '-' || {_D} END parsed FROM orders"""
+)
 def q_parse_date(spark, sf_dir):
-    return spark.createDataFrame([(d,) for d in DATES], "raw string").select("raw", D.parse_date(F.col("raw")).cast("string").alias("parsed"))
-
-
-SECRETS = [("abc", "***"), ("abcdefgh", "ab****gh"), ("", "")]
+    return _read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_RAW).alias("raw")).withColumn("parsed", D.parse_date(F.col("raw")).cast("string"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SECRETS) + ") v(raw, masked)")
+@query("""WITH r AS (SELECT c_custkey, left(c_name, (c_custkey % 14)::INT) r FROM customer)
+    SELECT c_custkey, CASE WHEN length(r) <= 4 THEN repeat('*', length(r)) ELSE left(r, 2) || repeat('*', length(r) - 4) || right(r, 2) END masked FROM r""")
 def q_secret_mask(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in SECRETS], "raw string").select("raw", T.mask_secret(F.col("raw")).alias("masked"))
+    raw = F.left("c_name", (F.col("c_custkey") % 14).cast("int"))
+    return _read(spark, sf_dir, "customer").select("c_custkey", T.mask_secret(raw).alias("masked"))
 
 
 @query("SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) abstract FROM documents")
