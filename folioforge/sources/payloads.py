@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.dates import date_from_parts, parse_date
 from ..schema import as_resources
+from .readers import envelope_rows
 
 _PEOPLE = "array<struct<name:string,display_name:string,given:string,family:string>>"
 
@@ -351,3 +352,34 @@ def open_locations(lookups: DataFrame) -> DataFrame:
     df = lookups.withColumn("__v", F.try_parse_json("payload")).where(F.coalesce(_get("$.is_oa", "boolean"), F.lit(False)))
     url = T.first_filled(_clean("$.best_oa_location.url_for_pdf"), _clean("$.best_oa_location.url_for_landing_page"), _clean("$.best_oa_location.url"))
     return df.select(T.normalize_doi(F.col("doi")).alias("doi"), url.alias("url"), T.first_filled(_clean("$.best_oa_location.license"), F.lit("오픈액세스(라이선스 미표기)")).alias("license")).where("url <> ''")
+
+
+#: What an open copy without a stated licence reads as.
+CORE_OPEN, SCIENCEON_OPEN = "CORE 오픈액세스", "ScienceON/AccessON 공개 원문"
+
+
+def _first_location(lookups: DataFrame, records: Column, url: str, license: str | None, unnamed: str) -> DataFrame:
+    """(doi, url, license) of the first record of a lookup (array of VARIANT) that has a URL."""
+    text = lambda x, name: T.clean_whitespace(F.coalesce(F.try_variant_get(x, f"$.{name}", "string"), F.lit("")))
+    found = F.transform(records, lambda x: F.struct(text(x, url).alias("url"), (text(x, license) if license else F.lit("")).alias("license")))
+    rows = lookups.select(T.normalize_doi(F.col("doi")).alias("doi"), F.get(F.filter(found, lambda x: x["url"] != ""), 0).alias("x"))
+    return rows.where("doi <> '' and x is not null").select("doi", "x.url", T.first_filled(F.col("x.license"), F.lit(unnamed)).alias("license"))
+
+
+def core_locations(lookups: DataFrame) -> DataFrame:
+    """Open copies from captured CORE lookups (doi, payload); damaged payloads give none."""
+    df = lookups.withColumn("__v", F.try_parse_json("payload"))
+    return _first_location(df, _get("$.results", "array<variant>"), "downloadUrl", "license", CORE_OPEN)
+
+
+def scienceon_locations(lookups: DataFrame, field: str = "FullTextURL") -> DataFrame:
+    """Open copies from captured ScienceON lookups (doi, payload), whose records lie somewhere in an envelope."""
+    records = F.transform(envelope_rows(F.col("payload")), lambda r: F.try_parse_json(r))
+    return _first_location(lookups.withColumn("__r", records), F.col("__r"), field, None, SCIENCEON_OPEN)
+
+
+def with_fallback(primary: DataFrame, secondary: DataFrame, failed: DataFrame) -> DataFrame:
+    """Raw items of sources read by one access method, and of the sources (source_id) whose read failed or gave
+    nothing, those of the other method as well."""
+    done = primary.select("source_id").distinct().join(failed.select("source_id").distinct(), "source_id", "left_anti")
+    return primary.unionByName(secondary.join(done, "source_id", "left_anti").select(*primary.columns))
