@@ -135,7 +135,7 @@ def title_pairs(incoming: DataFrame, stored: DataFrame, threshold: float = FUZZY
 
     def keyed(side: DataFrame, name: str) -> DataFrame:
         ranked = side.select("title", F.size("w").alias("size"), F.explode("w").alias("t")).join(seen, "t")
-        ranked = ranked.groupBy("title", "size").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o"))
+        ranked = ranked.groupBy("title", "size").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("o"))
         keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)).cast("int") + 1
         return ranked.select(F.col("title").alias(name), F.explode(F.slice("o", F.lit(1), keep)).alias("x")).select(name, F.col("x.t").alias("t"))
 
