@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_filled, jaccard, normalize_title, title_tokens
 from .ordered import HOT_ROWS, handed_on, sliced, slices_before
+from .state import Scratch
 from .store import source_map
 
 FUZZY = 0.85
@@ -70,17 +71,30 @@ def fuzzy_pairs(df: DataFrame, identity: str, title: str, block: int = 12, thres
     return met.select(F.least("li", "ri").alias("left_id"), F.greatest("li", "ri").alias("right_id"), "s").withColumnRenamed("s", "similarity")
 
 
-def fuzzy_links(df: DataFrame, identity: str, title: str, block: int = 12, threshold: float = FUZZY) -> DataFrame:
+def fuzzy_links(df: DataFrame, identity: str, title: str, block: int = 12, threshold: float = FUZZY, scratch: Scratch | None = None) -> DataFrame:
     """Links (left_id < right_id, similarity) of normalised titles that share their first ``block`` characters and
     have a token Jaccard of ``threshold`` or more: between the least rows of different titles, and of each
-    further row of a title (1.0) to its least.  So a title that many rows hold costs a row each, and titles of a
-    block meet on their rarest tokens (``title_pairs``), not with all others."""
-    rows = df.select(F.col(identity).alias("i"), F.col(title).alias("title")).where("title <> ''")
-    least = rows.groupBy("title").agg(F.min("i").alias("rep"))
-    met = title_pairs(least, least, threshold).where((F.left("a", F.lit(block)) == F.left("b", F.lit(block))) & (F.col("a") < F.col("b")))
-    x, y = least.select(F.col("title").alias("a"), F.col("rep").alias("x")), least.select(F.col("title").alias("b"), F.col("rep").alias("y"))
-    near = met.join(x, "a").join(y, "b").select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "similarity")
-    same = rows.join(least, "title").where("i <> rep").select(F.col("rep").alias("left_id"), F.col("i").alias("right_id"), F.lit(1.0).alias("similarity"))
+    further row of a title (1.0) to its least.  So a title that many rows hold costs a row each.
+
+    Titles of a block meet on their tokens that are rarest in it: two sets of that similarity share one of their
+    first n - ceil(threshold * n) + 1.  Of the first that they share, the sizes and the places say how much they can
+    share at most; what could be enough is confirmed on all tokens, which travel only then."""
+    put = (scratch or Scratch(df.sparkSession)).put
+    rows = put(df.select(F.col(identity).alias("i"), F.col(title).alias("title")).where("title <> ''"))
+    least = put(rows.groupBy("title").agg(F.min("i").alias("rep")).withColumn("w", title_tokens(F.col("title"))).where(F.size("w") > 0))
+    each = least.select("rep", F.left("title", F.lit(block)).alias("b"), F.size("w").alias("size"), F.explode("w").alias("t"))
+    # Tokens that no other title of the block has come first in the order, and nothing meets on them.
+    ranked = each.join(each.groupBy("b", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["b", "t"])
+    ranked = ranked.groupBy("rep", "b", "size").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("o")).withColumn("alone", F.col("size") - F.size("o"))
+    keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)).cast("int") + 1 - F.col("alone")
+    keyed = ranked.where(keep > 0).select("rep", "b", "size", "alone", F.posexplode(F.slice("o", F.lit(1), keep)).alias("at", "x"))
+    keyed = put(keyed.select("rep", "b", "size", (F.col("size") - F.col("at") - F.col("alone")).alias("rest"), F.col("x.t").alias("t")))
+    x, y = keyed.alias("x"), keyed.alias("y")
+    enough = F.least("x.rest", "y.rest") >= F.lit(threshold / (1 + threshold)) * (F.col("x.size") + F.col("y.size")) - F.lit(1e-9)
+    met = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.t") == F.col("y.t")) & (F.col("x.rep") < F.col("y.rep")) & enough).select(F.col("x.rep").alias("left_id"), F.col("y.rep").alias("right_id")).distinct()
+    near = met.join(least.select(F.col("rep").alias("left_id"), F.col("w").alias("a")), "left_id").join(least.select(F.col("rep").alias("right_id"), F.col("w").alias("b")), "right_id")
+    near = near.select("left_id", "right_id", jaccard(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= threshold)
+    same = rows.join(least.select("title", "rep"), "title").where("i <> rep").select(F.col("rep").alias("left_id"), F.col("i").alias("right_id"), F.lit(1.0).alias("similarity"))
     return near.union(same)
 
 
