@@ -34,15 +34,17 @@ def boolean_query(terms: Column, limit: int = TERMS) -> Column:
 
 
 def build_queries(terms: DataFrame, language: str, cap: int, scope: str | None = None) -> DataFrame:
-    """(canonical_ko, query, topic_id, ord): built queries by (priority, canonical_ko), at most ``cap``;
-    language ko, en or multi.  Terms without a query don't count."""
+    """(canonical_ko, query, topic_id, ord): built queries by (priority, canonical_ko, query, topic_id), at most
+    ``cap``, so equal ones of several topics come in one order however the rows lie; language ko, en or multi.
+    Terms without a query don't count."""
     if scope:
         terms = terms.where(F.array_contains("scope", scope))
     ko, en = boolean_query(korean_terms()), boolean_query(english_terms())
     multi = F.when(en.isNull(), ko).otherwise(F.concat(F.lit("("), ko, F.lit(") OR ("), en, F.lit(")")))
     built = terms.select("canonical_ko", {"ko": ko, "en": en, "multi": multi}[language].alias("query"), "topic_id", "priority").where("query is not null")
-    first = built.orderBy("priority", "canonical_ko", "query").limit(cap)  # so the window numbers ``cap`` rows
-    return first.withColumn("ord", F.row_number().over(Window.orderBy("priority", "canonical_ko", "query"))).select("canonical_ko", "query", "topic_id", "ord")
+    order = ["priority", "canonical_ko", "query", "topic_id"]
+    first = built.orderBy(*order).limit(cap)  # so the window numbers ``cap`` rows
+    return first.withColumn("ord", F.row_number().over(Window.orderBy(*order))).select("canonical_ko", "query", "topic_id", "ord")
 
 
 def missing_terms(terms: DataFrame, required: DataFrame) -> DataFrame:
