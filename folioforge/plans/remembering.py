@@ -86,7 +86,7 @@ def record_run(
             "downloaded_at": F.when(got, now), "fulltext": F.when(got & ~F.coalesce("extract_failed", F.lit(False)), F.col("fulltext")), "repeats": F.coalesce("same_file.target", "same_text.target"),
         }
     )
-    df = summarize(S.score(C.classify(df, taxonomy, fulltext=True), today))
+    df = summarize(S.score(C.classify(df, taxonomy, fulltext=True), today), F.col("relevance_score") >= summary_from)
     df = scratch.put(df.withColumn("summary_ko", F.when(F.col("relevance_score") >= summary_from, markdown(df)).otherwise("")))
 
     kept = {c: F.col(c).cast(k) if c in df.columns else F.lit(None).cast(k) for c, k in RESOURCE_COLUMNS.items()}
