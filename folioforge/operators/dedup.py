@@ -54,34 +54,18 @@ def version_fold(df: DataFrame, key: str, modified: str, order: str, hot: int =
     return df.withColumn("base", base).drop("__at", "__most", "__start", "__top", "__first", "__is", "__base")
 
 
-def fuzzy_pairs(df: DataFrame, identity: str, title: str, block: int = 12, threshold: float = FUZZY, author: str | None = None) -> DataFrame:
-    """Pairs (left_id < right_id, similarity) of normalised titles that share their first ``block``
-    characters and have a token Jaccard of ``threshold`` or more.  ``author``: where both are filled,
-    they must agree.  Equal titles are compared once: pairs are sought among distinct titles, then met
-    with their holders, so a block of copies costs no quadratic comparison.
-    """
-    rows = df.select(F.col(identity).alias("i"), F.col(title).alias("t"), (F.col(author) if author else F.lit("")).alias("a")).where("t <> ''")
-    titles = rows.select("t").distinct().select("t", F.left("t", F.lit(block)).alias("b"), title_tokens(F.col("t")).alias("w"))
-    x, y = titles.alias("x"), titles.alias("y")
-    near = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.t") < F.col("y.t")) & (F.least(F.size("x.w"), F.size("y.w")) >= threshold * F.greatest(F.size("x.w"), F.size("y.w"))))
-    near = near.select(F.col("x.t").alias("lt"), F.col("y.t").alias("rt"), jaccard(F.col("x.w"), F.col("y.w")).alias("s")).where(F.col("s") >= threshold)
-    near = near.union(titles.where(F.size("w") > 0).select("t", "t", F.lit(1.0)))
-    left, right = rows.select(F.col("i").alias("li"), F.col("t").alias("lt"), F.col("a").alias("la")), rows.select(F.col("i").alias("ri"), F.col("t").alias("rt"), F.col("a").alias("ra"))
-    met = near.join(left, "lt").join(right, "rt").where("li <> ri and (lt <> rt or li < ri)").where("la = '' or ra = '' or lower(la) = lower(ra)")
-    return met.select(F.least("li", "ri").alias("left_id"), F.greatest("li", "ri").alias("right_id"), "s").withColumnRenamed("s", "similarity")
+#: Rows of a title that stand in one portion: pairs are made portion by portion.
+PORTION = 256
 
 
-def fuzzy_links(df: DataFrame, identity: str, title: str, block: int = 12, threshold: float = FUZZY, scratch: Scratch | None = None) -> DataFrame:
-    """Links (left_id < right_id, similarity) of normalised titles that share their first ``block`` characters and
-    have a token Jaccard of ``threshold`` or more: between the least rows of different titles, and of each
-    further row of a title (1.0) to its least.  So a title that many rows hold costs a row each.
+def _near_titles(rows: DataFrame, block: int, threshold: float, put) -> tuple[DataFrame, DataFrame]:
+    """Different titles of ``rows`` (i, title) with their least row, number of rows and tokens (title, rep, n, w), and
+    what is near among them: (left_id < right_id, similarity) of least rows.
 
     Titles of a block meet on their tokens that are rarest in it: two sets of that similarity share one of their
     first n - ceil(threshold * n) + 1.  Of the first that they share, the sizes and the places say how much they can
     share at most; what could be enough is confirmed on all tokens, which travel only then."""
-    put = (scratch or Scratch(df.sparkSession)).put
-    rows = put(df.select(F.col(identity).alias("i"), F.col(title).alias("title")).where("title <> ''"))
-    least = put(rows.groupBy("title").agg(F.min("i").alias("rep")).withColumn("w", title_tokens(F.col("title"))).where(F.size("w") > 0))
+    least = put(rows.groupBy("title").agg(F.min("i").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("w", title_tokens(F.col("title"))).where(F.size("w") > 0))
     each = least.select("rep", F.left("title", F.lit(block)).alias("b"), F.size("w").alias("size"), F.explode("w").alias("t"))
     # Tokens that no other title of the block has come first in the order, and nothing meets on them.
     ranked = each.join(each.groupBy("b", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["b", "t"])
@@ -94,6 +78,43 @@ def fuzzy_links(df: DataFrame, identity: str, title: str, block: int = 12, thres
     met = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.t") == F.col("y.t")) & (F.col("x.rep") < F.col("y.rep")) & enough).select(F.col("x.rep").alias("left_id"), F.col("y.rep").alias("right_id")).distinct()
     near = met.join(least.select(F.col("rep").alias("left_id"), F.col("w").alias("a")), "left_id").join(least.select(F.col("rep").alias("right_id"), F.col("w").alias("b")), "right_id")
     near = near.select("left_id", "right_id", jaccard(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= threshold)
+    return least, near
+
+
+def fuzzy_pairs(df: DataFrame, identity: str, title: str, block: int = 12, threshold: float = FUZZY, author: str | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """All pairs (left_id < right_id, similarity) of normalised titles that share their first ``block``
+    characters and have a token Jaccard of ``threshold`` or more.  ``author``: where both are filled,
+    they must agree.
+
+    Titles are compared once, however many rows hold them.  The pairs of their rows, as many as the square of a
+    title's rows, are made from pairs of portions of ``PORTION`` rows, which are dealt over all tasks: a task holds
+    two portions at a time, whatever the size of a title."""
+    put = (scratch or Scratch(df.sparkSession)).put
+    one = F.struct(F.col(identity).alias("i"), F.col(author).alias("a")) if author else F.struct(F.col(identity).alias("i"))
+    rows = put(df.select(F.col(identity).alias("i"), F.col(title).alias("title"), one.alias("x")).where("title <> ''"))
+    least, near = _near_titles(rows, block, threshold, put)
+    least = least.select("title", "rep", "n", F.ceil(F.col("n") / PORTION).cast("int").alias("k"))
+    held = rows.join(least, "title").select("rep", "x", F.pmod(F.xxhash64("i"), "k").cast("int").alias("p"))
+    held = put(held.groupBy("rep", "p").agg(F.collect_list("x").alias("xs")))
+    counts = least.select("rep", "k")
+    met = near.join(counts.toDF("left_id", "lk"), "left_id").join(counts.toDF("right_id", "rk"), "right_id")
+    met = met.select("left_id", "right_id", "similarity", "lk", "rk").union(least.where("n > 1").select("rep", "rep", F.lit(1.0), "k", "k"))
+    met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("lk") - 1)).alias("lp")).select("*", F.explode(F.sequence(F.lit(0), F.col("rk") - 1)).alias("rp")).where("left_id <> right_id or lp <= rp")
+    both = met.join(held.toDF("left_id", "lp", "ls"), ["left_id", "lp"]).join(held.toDF("right_id", "rp", "rs"), ["right_id", "rp"])
+    dealt = both.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "left_id", "lp", "right_id", "rp")  # a number, so few bytes that become many rows are not put together
+    itself = (F.col("left_id") == F.col("right_id")) & (F.col("lp") == F.col("rp"))
+    pairs = dealt.select(itself.alias("itself"), "similarity", "rs", F.explode("ls").alias("l")).select("itself", "similarity", "l", F.explode("rs").alias("r")).where("l.i <> r.i and (not itself or l.i < r.i)")
+    pairs = pairs.where("l.a = '' or r.a = '' or lower(l.a) = lower(r.a)") if author else pairs
+    return pairs.select(F.least("l.i", "r.i").alias("left_id"), F.greatest("l.i", "r.i").alias("right_id"), "similarity")
+
+
+def fuzzy_links(df: DataFrame, identity: str, title: str, block: int = 12, threshold: float = FUZZY, scratch: Scratch | None = None) -> DataFrame:
+    """Links (left_id < right_id, similarity) of normalised titles that share their first ``block`` characters and
+    have a token Jaccard of ``threshold`` or more: between the least rows of different titles, and of each
+    further row of a title (1.0) to its least.  So a title that many rows hold costs a row each."""
+    put = (scratch or Scratch(df.sparkSession)).put
+    rows = put(df.select(F.col(identity).alias("i"), F.col(title).alias("title")).where("title <> ''"))
+    least, near = _near_titles(rows, block, threshold, put)
     same = rows.join(least.select("title", "rep"), "title").where("i <> rep").select(F.col("rep").alias("left_id"), F.col("i").alias("right_id"), F.lit(1.0).alias("similarity"))
     return near.union(same)
 
