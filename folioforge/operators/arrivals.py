@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled, normalize_title
-from .dedup import fuzzy_match, title_pairs
+from .dedup import fuzzy_match, title_pairs, version_fold
 from .ordered import HOT_ROWS, last_before
 from .state import Scratch
 
@@ -28,6 +28,22 @@ def _comparable(df: DataFrame, *more: str | Column) -> DataFrame:
     )
 
 
+def _supposed(mine: DataFrame, heads: DataFrame, hot: int) -> DataFrame:
+    """(row, hit) if every arrival were looked for by the first of its keys alone: the fold of a key's dates in one
+    pass.  Rows without keys are accepted."""
+    key, stored = F.coalesce("doi_key", "id_key"), -(2**62)
+    rows = mine.select("row", key.alias("k"), "modified").where("k is not null")
+    folded = version_fold(rows.union(heads.select(F.lit(stored).alias("row"), "k", "fact.modified")), "k", "modified", "row", hot)
+    again = folded.where((F.col("verdict") == "DUPLICATE") & (F.col("row") != stored)).select("row", "k", "base")
+    old, new = heads.select("k", F.col("fact.target").alias("__old")), mine.select(F.col("row").alias("base"), F.col("target").alias("__new"))
+    again = again.join(old, "k", "left").join(new, "base", "left").select("row", F.coalesce("__new", "__old").alias("__hit"))
+    return mine.select("row", "target").join(again, "row", "left").select("row", F.coalesce("__hit", "target").alias("hit"))
+
+
+def _mark(state: DataFrame) -> tuple:
+    return tuple(state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("row", "hit").cast("decimal(20,0)"))).first())
+
+
 def fold_arrivals(arrivals: DataFrame, stored: DataFrame, scratch: Scratch, hot: int = HOT_ROWS, fuzzy: bool = True) -> DataFrame:
     """(resource_id, verdict, match_id, matched_by, version_of, work_id) of every arrival, as a loop would give
     it that takes them by ``seq`` and stores what isn't a duplicate before it takes the next.
@@ -37,11 +53,12 @@ def fold_arrivals(arrivals: DataFrame, stored: DataFrame, scratch: Scratch, hot:
     title the one that was there first.  A duplicate counts as a sight of what it repeats.  A match is a
     NEW_VERSION if it was modified later or has another file, else a DUPLICATE.
 
-    What a row finds depends on verdicts of rows before it, so verdicts are taken in rounds: in the first every
-    arrival counts as accepted, in each later one what the round before said.  A round settles all rows whose
-    finds were settled, so rounds end when nothing changes: after as many as the longest chain of verdicts that
-    hang on each other, two or three in practice.  A round shuffles narrow rows by key; only keys of arrivals are
-    read from ``stored``.
+    What a row finds depends on verdicts of rows before it, so verdicts are taken in rounds: the first goes by what
+    holds if each row is looked for by one key alone (``_supposed``), each later one by what the round before said.
+    A round settles all rows whose finds were settled, so rounds end when nothing changes, and what stays as it is
+    has one solution, wherever rounds begin: after as many as the longest chain of verdicts that hang on each other
+    over more than one key or title.  A round shuffles narrow rows by key; only keys of arrivals are read from
+    ``stored``.
 
     Both are resources with seq (stored ones: smaller for records stored earlier), resource_id, source_id, doi,
     official_identifier, title_original, title_ko, authors, publication_date, source_modified_date,
@@ -64,7 +81,8 @@ def fold_arrivals(arrivals: DataFrame, stored: DataFrame, scratch: Scratch, hot:
         known = known.union(old.select("old"))
     heads = scratch.put(heads)
     known = scratch.put(known.union(heads.select("fact")).select(F.col("fact.target").alias("hit"), "fact").groupBy("hit").agg(F.min("fact").alias("fact")))
-    state, mark = mine.select("row", F.col("target").alias("hit")), None
+    state = scratch.put(_supposed(mine, heads, hot))
+    mark = _mark(state)
     while True:
         seen = state.join(known, "hit").select(F.col("row").alias("seq"), "fact")
         events = seen.select("seq", F.explode(F.array("fact.doi_key", "fact.id_key")).alias("k"), "fact")
@@ -86,7 +104,7 @@ def fold_arrivals(arrivals: DataFrame, stored: DataFrame, scratch: Scratch, hot:
         later = F.coalesce(F.col("modified") > F.col("fact.modified"), F.lit(False)) | F.coalesce(F.col("sha") != F.col("fact.sha"), F.lit(False))
         found = scratch.put(found.withColumn("verdict", F.when(F.col("fact").isNull(), "NEW").when(later, "NEW_VERSION").otherwise("DUPLICATE")))
         state = found.select("row", F.when(F.col("verdict") == "DUPLICATE", F.col("fact.target")).otherwise(F.col("target")).alias("hit"))
-        new = tuple(state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("row", "hit").cast("decimal(20,0)"))).first())
+        new = _mark(state)
         if new == mark or not new[0]:
             break
         mark = new
